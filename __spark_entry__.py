@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,21 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
-from tenderloom.functions import labels  # noqa: E402
+from tenderloom.functions import calendar, labels, notice_text, text  # noqa: E402
+from tenderloom.functions.amounts import parse_amount  # noqa: E402
+from tenderloom.operators import pages, tables  # noqa: E402
 from tenderloom.plans import districts as D  # noqa: E402
+from tenderloom.plans import ingest as I  # noqa: E402
+from tenderloom.plans import lots as L  # noqa: E402
 from tenderloom.plans import reports as R  # noqa: E402
 from tenderloom.plans import serving as S  # noqa: E402
-from tenderloom.session import use_engine_settings  # noqa: E402
+from tenderloom.schemas import district_json_schema  # noqa: E402
+from tenderloom.session import checkpoint_root, use_engine_settings  # noqa: E402
+from tenderloom.sources import announcements as A  # noqa: E402
 from tenderloom.sources import fixtures as X  # noqa: E402
+from tenderloom.sources import notices as N  # noqa: E402
+from tenderloom.sources.sinks import for_each_batch  # noqa: E402
+from tenderloom.streaming import incremental as Z  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -166,13 +176,333 @@ def _serving() -> dict[str, Query]:
     }
 
 
+LINE = ("l_orderkey", "l_linenumber")
+
+
+def _ingest() -> dict[str, Query]:
+    def on(source: Callable[[SparkSession, str], DataFrame], fn: Callable[[DataFrame], DataFrame]) -> Query:
+        return lambda spark, sf: fn(source(spark, sf))
+
+    def error_report(spark: SparkSession, sf: str) -> DataFrame:
+        return I.error_report(
+            I.unknown_paths(A.raw_list(spark, sf)).unionByName(N.corrupt_notices(A.notice_values(spark, sf)))
+        )
+
+    def resolved(spark: SparkSession, sf: str) -> DataFrame:
+        # "Now" is fixed well after the data so that the result does not depend on the day.
+        return I.resolve_links(A.linked_notices(spark, sf), now_ms=F.lit(4102444800000))
+
+    def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
+        return resolved(spark, sf).select(
+            "article_id",
+            F.array_join("result_article_id", ",").alias("results"),
+            F.array_join("purchase_article_id", ",").alias("purchases"),
+            F.get("purchase_publish_date", F.lit(0)).alias("purchase_time"),
+            "tender_duration",
+            "start_position",
+            "link_error",
+        )
+
+    def registered_ids(spark: SparkSession, sf: str) -> DataFrame:
+        return I.registered_ids(
+            resolved(spark, sf).select(F.col("article_id").alias("result_source_article_id"), "result_article_id")
+        )
+
+    def removed_ids(spark: SparkSession, sf: str) -> DataFrame:
+        gone = I.unknown_paths(A.raw_list(spark, sf)).select("article_id")
+        return tables.without_keys(A.seen_ids(spark, sf), gone, "article_id")
+
+    def amount_of_text(df: DataFrame) -> DataFrame:
+        return df.select(*LINE, parse_amount(F.col("amount_text")).alias("r")).select(*LINE, "r.*")
+
+    def html_lines(spark: SparkSession, sf: str) -> DataFrame:
+        lines = X.table(spark, sf, "pages").select("page_id", pages.html_lines(F.col("html")).alias("lines"))
+        flat = lines.select("page_id", F.explode("lines").alias("line"))
+        return flat.groupBy("page_id").agg(
+            F.count("*").alias("lines"),
+            F.sum(F.length("line")).alias("chars"),
+            F.min("line").alias("first_line"),
+            F.max("line").alias("last_line"),
+        )
+
+    def url_parameter(spark: SparkSession, sf: str) -> DataFrame:
+        url = F.col("url")
+        return X.table(spark, sf, "pages").select(
+            "page_id",
+            text.url_param(url, "page").alias("page"),
+            text.url_param(url, "utm_source").alias("utm_source"),
+        )
+
+    def article_id_of_url(spark: SparkSession, sf: str) -> DataFrame:
+        raw = F.concat(F.lit("R+/"), F.col("o_orderkey").cast("string"), F.lit("=="))
+        url = F.concat(F.lit("https://notices.example.org/detail?site=1&articleId="), F.url_encode(raw))
+        orders = X.table(spark, sf, "orders").select("o_orderkey", url.alias("url"))
+        return orders.select("o_orderkey", text.article_id(F.col("url")).alias("article_id"))
+
+    def page_sections(df: DataFrame) -> DataFrame:
+        read = df.select(
+            *LINE, pages.sections_of(pages.html_lines(F.col("content")), F.col("is_win_bid")).alias("s")
+        )
+        rows = F.array(
+            *[F.struct(F.lit(n).alias("section"), F.col(f"s.{n}").alias("content")) for n in pages.SECTIONS]
+        )
+        long = read.select(*LINE, F.inline(rows)).filter(F.col("content").isNotNull())
+        return long.select(
+            *LINE, "section", F.size("content").alias("lines"), F.array_join("content", "").alias("text")
+        )
+
+    def result_lots(df: DataFrame) -> DataFrame:
+        lots = I.parse_result_pages(df).select("l_orderkey", F.inline("result_lots"))
+        return lots.select(
+            "l_orderkey", "index", "is_win", "name", "amount", "is_percent", "supplier", "supplier_address", "reason"
+        )
+
+    def result_facts(df: DataFrame) -> DataFrame:
+        return I.parse_result_pages(df).select(
+            *LINE,
+            "page_code",
+            "page_name",
+            F.array_join("review_expert", "|").alias("experts"),
+            F.array_join("purchase_representative", "|").alias("representatives"),
+            "purchaser",
+            "purchasing_agency",
+            "state",
+        )
+
+    def void_reasons(df: DataFrame) -> DataFrame:
+        read = df.select(*LINE, notice_text.void_reasons(F.col("reason_text")).alias("v"))
+        return read.select(*LINE, F.inline("v.lots"), F.col("v.shared").alias("shared"))
+
+    def termination_reason(df: DataFrame) -> DataFrame:
+        return df.select(*LINE, notice_text.termination_reason(F.col("lines")).alias("t")).select(*LINE, "t.*")
+
+    def review_experts(df: DataFrame) -> DataFrame:
+        read = df.select(*LINE, notice_text.review_experts(F.col("lines")).alias("e")).select(*LINE, "e.*")
+        fine = F.col("error").isNull()
+        return read.select(
+            *LINE,
+            *[F.when(fine, F.array_join(c, "|")).alias(c) for c in ("experts", "representatives")],
+            "error",
+        )
+
+    def contacts(df: DataFrame) -> DataFrame:
+        return df.select(*LINE, notice_text.contacts(F.col("contact_text")).alias("c")).select(*LINE, "c.*")
+
+    def purchase_facts(df: DataFrame) -> DataFrame:
+        read = df.select("l_linenumber", notice_text.purchase_facts(F.col("page_text")).alias("p"))
+        return read.select(
+            "l_linenumber",
+            *[F.col(f"p.{c}").alias(c) for c in ("project_code", "project_name", "total_budget", "without_lots", "error")],
+            F.inline_outer("p.lots"),
+        )
+
+    def merge_lots(spark: SparkSession, sf: str) -> DataFrame:
+        result = X.lots(spark, sf).withColumns(
+            {"name": F.lit(None).cast("string"), "budget": F.lit(-1.0)}
+        )
+        merged = L.merge_lots(A.lot_plan(spark, sf), result)
+        return merged.select("id", "index", "name", "budget", "amount", "supplier")
+
+    def missing_fields(n: DataFrame) -> DataFrame:
+        required = ["procurement_method", "purchaser", "purchasing_agency", "project_code"]
+        values = n.select("id", F.to_json(F.struct(*required[:3])).alias("doc"))
+        keyed = values.select("id", F.json_object_keys("doc").alias("present"))
+        return I.missing_fields(keyed, "present", required).select("id", F.array_join("missing", ",").alias("missing"))
+
+    def run_counters(spark: SparkSession, sf: str) -> DataFrame:
+        listed = A.raw_list(spark, sf)
+        fresh = I.unseen(listed, A.seen_ids(spark, sf).withColumnRenamed("article_id", "articleId"), "articleId")
+        status = F.when(F.col("kind").isNull(), "error").when(F.col("kind") == "dropped", "dropped").otherwise("sent")
+        return I.run_counters(I.classify_list(fresh).select(status.alias("status")), listed)
+
+    def district_documents(df: DataFrame) -> DataFrame:
+        docs = df.select(F.from_json("doc", district_json_schema()).alias("d")).select("d.*")
+        return D.flatten_district_json(docs)
+
+    def retry_list(df: DataFrame) -> DataFrame:
+        return I.retry_list(df.filter("year >= 1996"), df.filter("year < 1996").drop("year").distinct())
+
+    return {
+        "classify_list": on(
+            A.raw_list,
+            lambda df: I.flatten_list(df).select(
+                "article_id", "scrape_timestamp", "announcement_type", "is_win_bid", "is_termination"
+            ),
+        ),
+        "unknown_paths": on(A.raw_list, I.unknown_paths),
+        "error_report": error_report,
+        "unseen_notices": lambda spark, sf: I.unseen(
+            I.flatten_list(A.raw_list(spark, sf)), A.seen_ids(spark, sf)
+        ).select("article_id", "scrape_timestamp"),
+        "registered_ids": registered_ids,
+        "removed_ids": removed_ids,
+        "latest_time": _on_notices(I.latest_time),
+        "notices_per_month": _on_notices(I.notices_per_month),
+        "resolve_links": resolve_links,
+        "skip_rules": on(
+            A.titled_details,
+            lambda df: df.select("id", I.skip_reason(F.col("title"), F.col("announcement_type")).alias("skip")),
+        ),
+        "amount_of_text": on(A.amount_texts, amount_of_text),
+        "html_lines": html_lines,
+        "url_parameter": url_parameter,
+        "article_id_of_url": article_id_of_url,
+        "page_sections": on(A.result_pages, page_sections),
+        "result_lots": on(A.result_pages, result_lots),
+        "result_facts": on(A.result_pages, result_facts),
+        "void_reasons": on(A.void_texts, void_reasons),
+        "termination_reason": on(A.termination_lines, termination_reason),
+        "review_experts": on(A.expert_lines, review_experts),
+        "contacts": on(A.contact_texts, contacts),
+        "purchase_facts": on(A.purchase_texts, purchase_facts),
+        "merge_lots": merge_lots,
+        "lot_count_mismatch": lambda spark, sf: L.lot_count_mismatch(A.lot_plan(spark, sf), X.lots(spark, sf)),
+        "lot_budget": on(X.lots, L.budget_of_lots),
+        "lot_amount": _on_lots(L.amount_of_lots),
+        "budget_mismatch": lambda spark, sf: L.budget_mismatch(X.notices(spark, sf), X.lots(spark, sf)),
+        "first_usable": on(A.project_candidates, lambda df: I.first_usable(df, "project")),
+        "completeness": _on_notices(
+            lambda n: I.completeness(
+                n, ["procurement_method", "purchaser", "purchasing_agency", "total_amount", "project_code"]
+            )
+        ),
+        "missing_fields": _on_notices(missing_fields),
+        "run_counters": run_counters,
+        "district_documents": on(A.district_documents, district_documents),
+        "retry_list": on(A.error_log, retry_list),
+    }
+
+
+def _sources_and_streams() -> dict[str, Query]:
+    def notice_json(spark: SparkSession, sf: str) -> DataFrame:
+        read = N.with_int_district(N.parse_notices(A.notice_values(spark, sf)))
+        flat = R.lots_of(
+            read.select(
+                "result_source_article_id",
+                "scrape_timestamp",
+                "district_code",
+                "is_win_bid",
+                "is_termination",
+                "total_amount",
+                "result_article_id",
+                F.transform(
+                    "bid_items",
+                    lambda x: F.struct(
+                        x["name"].alias("lot_name"), x["index"].alias("lot_index"), x["amount"].alias("lot_amount")
+                    ),
+                ).alias("bid_items"),
+            )
+        )
+        return N.to_row_format(flat)
+
+    def row_defaults(n: DataFrame) -> DataFrame:
+        stored = n.select("id", "purchasing_agency", "is_win_bid", "is_termination", "total_budget")
+        return N.from_row_format(N.to_row_format(stored))
+
+    def dense_id(n: DataFrame) -> DataFrame:
+        rows = n.select(F.col("id").alias("notice"), "scrape_timestamp")
+        return tables.with_dense_id(rows, ["scrape_timestamp", "notice"]).select("notice", "id")
+
+    def old_and_new(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+        old = X.table(spark, sf, "supplier").select(
+            F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
+        )
+        new = X.table(spark, sf, "customer").select(
+            (F.col("c_custkey") % 150).alias("code"),
+            F.col("c_name").alias("name"),
+            F.col("c_acctbal").alias("balance"),
+            F.col("c_custkey").alias("stamp"),
+        )
+        return old, new
+
+    def month_scaffold(spark: SparkSession, sf: str) -> DataFrame:
+        day = F.col("o_orderdate").cast("date")
+        bounds = X.table(spark, sf, "orders").agg(F.min(day).alias("begin_date"), F.max(day).alias("end_date"))
+        return calendar.month_scaffold(bounds)
+
+    def calendar_columns(n: DataFrame) -> DataFrame:
+        ms = F.col("scrape_timestamp")
+        day = F.timestamp_millis(ms).cast("date")
+        rows = n.select(
+            "id",
+            "scrape_timestamp",
+            calendar.days_in_month(day).alias("days"),
+            calendar.format_ms(ms).alias("day_text"),
+            calendar.format_ms(ms, with_time=True).alias("minute_text"),
+        )
+        return calendar.with_calendar(rows)
+
+    def run_folder(spark: SparkSession) -> str:
+        return f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
+
+    def order_stream(spark: SparkSession, sf: str) -> DataFrame:
+        return X.notices(spark, sf, Z.parquet_stream(spark, f"{sf}/[o]rders.parquet"))
+
+    def streamed_volume_cube(spark: SparkSession, sf: str) -> DataFrame:
+        root = run_folder(spark)
+        won = order_stream(spark, sf).filter("is_win_bid")
+        Z.fold_stream(won, f"{root}/cells", f"{root}/log", [], R.volume_measures).awaitTermination()
+        return Z.cube_of_cells(spark, f"{root}/cells", [], R.volume_measures)
+
+    def streamed_unique_events(spark: SparkSession, sf: str) -> DataFrame:
+        root = run_folder(spark)
+        events = Z.parquet_stream(spark, f"{sf}/[e]vents.parquet")
+        twice = events.select(
+            "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2)))
+        ).drop("col")
+        once = Z.drop_repeats(twice, "event_id").select("event_id", "event_type")
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+
+        for_each_batch(once, write, f"{root}/log").awaitTermination()
+        return spark.read.parquet(f"{root}/rows").drop("batch")
+
+    def streamed_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+        root = run_folder(spark)
+        timed = order_stream(spark, sf).withColumn("ts", F.timestamp_millis("scrape_timestamp"))
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{root}/latest")
+
+        for_each_batch(Z.daily_counts(timed), write, f"{root}/log", mode="complete").awaitTermination()
+        latest = spark.read.parquet(f"{root}/latest")
+        return latest.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+    def text_helpers(spark: SparkSession, sf: str) -> DataFrame:
+        t = F.col("text")
+        return X.table(spark, sf, "documents").select(
+            "doc_id",
+            F.length(t).alias("chars"),
+            F.length(text.strip_blanks(t)).alias("solid_chars"),
+            text.index_of(t, F.lit(" ")).alias("first_blank"),
+            text.leading_number(t).alias("leading_number"),
+            text.first_symbol(t, ("。", ";")).isNotNull().alias("has_mark"),
+        )
+
+    return {
+        "notice_json": notice_json,
+        "corrupt_notices": lambda spark, sf: I.error_report(N.corrupt_notices(A.notice_values(spark, sf))),
+        "row_defaults": _on_notices(row_defaults),
+        "dense_id": _on_notices(dense_id),
+        "upsert": lambda spark, sf: tables.upsert(*old_and_new(spark, sf), "code", "stamp"),
+        "changed_keys": lambda spark, sf: tables.changed_keys(*old_and_new(spark, sf), "code"),
+        "month_scaffold": month_scaffold,
+        "calendar_columns": _on_notices(calendar_columns),
+        "streamed_volume_cube": streamed_volume_cube,
+        "streamed_unique_events": streamed_unique_events,
+        "streamed_daily_counts": streamed_daily_counts,
+        "text_helpers": text_helpers,
+    }
+
+
 def _with_settings(query: Query) -> Query:
     return lambda spark, sf: query(use_engine_settings(spark), sf)
 
 
 def queries() -> dict[str, Query]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
-    registered = {**_reports(), **_serving()}
+    registered = {**_reports(), **_serving(), **_ingest(), **_sources_and_streams()}
     return {name: _with_settings(q) for name, q in registered.items()}
 
 

@@ -387,5 +387,251 @@ SELECT code, name, parent_code, level, path FROM tree""",
 }
 
 
+# --- ingestion ---------------------------------------------------------------
+
+RAW_LIST = NOTICE + """,
+raw_list AS (
+  SELECT concat('R', CAST(id AS VARCHAR)) AS article_id, epoch_ms(ts) AS time, author, catalog, is_win_bid, is_termination, id, ts,
+    CASE WHEN id % 17 = 0 THEN '更正公告' WHEN id % 13 = 0 THEN '公开招标资格入围公告'
+         WHEN is_win_bid THEN CASE id % 3 WHEN 0 THEN '中标公告' WHEN 1 THEN '成交公告' ELSE '中标（成交）结果公告' END
+         WHEN is_termination THEN '终止公告' ELSE '废标公告' END AS path
+  FROM notice),
+meta AS (SELECT article_id, time AS scrape_timestamp, path AS announcement_type, is_win_bid, is_termination, ts
+  FROM raw_list WHERE id % 17 <> 0 AND id % 13 <> 0)"""
+
+LINE = "(SELECT *, CAST(round(l_discount * 100) AS INT) AS off, CAST(l_quantity AS INT) AS qty FROM lineitem)"
+
+LINKS = NOTICE + """,
+linked AS (SELECT *, id % 7 <> 0 AS has_links FROM notice)"""
+
+WIN_PAGE_SECTIONS = {
+    "project_code": ("1", "concat('CODE-', CAST(l_orderkey AS VARCHAR))"),
+    "project_name": ("1", "concat('NAME-', CAST(l_partkey AS VARCHAR))"),
+    "win": (
+        "18",
+        "concat('1.中标结果：序号中标（成交）金额(元)中标供应商名称中标供应商地址', CAST(l_linenumber AS VARCHAR), '总报价:',"
+        " CAST(l_extendedprice AS VARCHAR), '(元)SUP-', CAST(l_suppkey AS VARCHAR), 'ADDR&-', CAST(l_partkey % 3 AS VARCHAR),"
+        " '2.废标结果:序号标项名称废标理由', CAST(l_linenumber + 7 AS VARCHAR), 'LOT-', CAST(l_partkey AS VARCHAR), 'REASON-', l_linestatus, '/')",
+    ),
+    "review": (
+        "1",
+        "concat('张', CAST(l_suppkey AS VARCHAR), '（采购人代表）、李', CAST(l_partkey % 5 AS VARCHAR), '、王', CAST(l_linenumber AS VARCHAR))",
+    ),
+    "contact": (
+        "7",
+        "concat('1.采购人信息名 称：BUYER-', CAST(l_orderkey AS VARCHAR), '地址：A联系方式：12.采购代理机构信息名 称：',"
+        " CASE l_suppkey % 3 WHEN 0 THEN '甲方代理' WHEN 1 THEN '乙方代理' ELSE '丙方代理' END, '地址：B')",
+    ),
+}
+
+HTML = r"""
+cut AS (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS code, html FROM pages),
+safe AS (SELECT page_id, code, replace(regexp_replace(html, '<!--.*?-->', '<c>', 'gs'),
+    concat('<script>', code, '</script>'), concat('<s>', replace(code, '<', chr(1)), '</s>')) AS html FROM cut),
+nodes AS (SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]*>')) AS raw FROM safe),
+lines AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), chr(1), '<'),
+    '^\s+|\s+$', '', 'g') AS line FROM nodes)"""
+
+INGEST = {
+    "classify_list": with_(
+        RAW_LIST, "SELECT article_id, scrape_timestamp, announcement_type, is_win_bid, is_termination FROM meta"
+    ),
+    "unknown_paths": with_(
+        RAW_LIST,
+        "SELECT 'list row: path name not known' AS message, article_id, time AS timestamp, path AS content FROM raw_list WHERE id % 17 = 0",
+    ),
+    "error_report": with_(
+        RAW_LIST,
+        """SELECT message, count(*) AS count FROM (SELECT 'list row: path name not known' AS message FROM raw_list WHERE id % 17 = 0
+  UNION ALL SELECT 'notice: json not understood' FROM notice WHERE id % 19 = 0) e GROUP BY message""",
+    ),
+    "unseen_notices": with_(
+        RAW_LIST, "SELECT article_id, scrape_timestamp FROM meta WHERE year(ts) >= 1997"
+    ),
+    "registered_ids": with_(
+        LINKS,
+        """SELECT DISTINCT article_id FROM (SELECT concat('R', CAST(id AS VARCHAR)) AS article_id FROM linked
+  UNION ALL SELECT concat('S', CAST(id AS VARCHAR)) FROM linked WHERE has_links AND id % 3 = 0) x""",
+    ),
+    "removed_ids": with_(
+        RAW_LIST,
+        "SELECT article_id FROM raw_list WHERE year(ts) < 1997 AND id % 17 <> 0",
+    ),
+    "latest_time": with_(NOTICE, "SELECT epoch_ms(max(ts)) AS latest_timestamp FROM notice"),
+    "notices_per_month": with_(
+        NOTICE,
+        "SELECT concat(CAST(year(ts) AS VARCHAR), '-', CAST(month(ts) AS VARCHAR)) AS month, count(*) AS count FROM notice GROUP BY 1",
+    ),
+    "resolve_links": with_(
+        LINKS,
+        """SELECT concat('R', CAST(id AS VARCHAR)) AS article_id,
+  CASE WHEN has_links AND id % 3 = 0 THEN concat('R', CAST(id AS VARCHAR), ',S', CAST(id AS VARCHAR)) ELSE concat('R', CAST(id AS VARCHAR)) END AS results,
+  CASE WHEN NOT has_links THEN '' WHEN id % 2 = 0 THEN concat('P', CAST(id AS VARCHAR)) ELSE concat('O', CAST(id AS VARCHAR)) END AS purchases,
+  CASE WHEN NOT has_links THEN NULL WHEN id % 2 = 0 THEN epoch_ms(ts) - 864000000 ELSE epoch_ms(ts) - 1728000000 END AS purchase_time,
+  CASE WHEN NOT has_links THEN -1 WHEN id % 3 = 0 THEN 25 * 86400000::BIGINT ELSE 20 * 86400000::BIGINT END AS tender_duration,
+  1 AS start_position, CAST(NULL AS VARCHAR) AS link_error FROM linked""",
+    ),
+    "skip_rules": with_(
+        NOTICE,
+        """SELECT id, CASE WHEN id % 7 IN (1, 2, 3) THEN 'title' WHEN id % 5 = 0 THEN 'type' END AS skip FROM notice""",
+    ),
+    "amount_of_text": f"""SELECT l_orderkey, l_linenumber,
+  CASE l_linenumber % 7 WHEN 2 THEN CAST(100 - off AS DOUBLE) WHEN 4 THEN l_extendedprice + qty WHEN 5 THEN NULL ELSE l_extendedprice END AS amount,
+  l_linenumber % 7 IN (2, 6) AS is_percent, l_linenumber % 7 <> 5 AS ok FROM {LINE} x""",
+    "html_lines": with_(
+        HTML,
+        """SELECT page_id, count(*) AS lines, sum(length(line)) AS chars, min(line) AS first_line, max(line) AS last_line
+  FROM lines WHERE line <> '' AND line NOT IN ('"', '“', '”') GROUP BY page_id""",
+    ),
+    "url_parameter": """SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page,
+  nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source FROM pages""",
+    "article_id_of_url": "SELECT o_orderkey, concat('R+/', CAST(o_orderkey AS VARCHAR), '==') AS article_id FROM orders",
+    "page_sections": " UNION ALL ".join(
+        f"SELECT l_orderkey, l_linenumber, '{name}' AS section, {n} AS lines, {text} AS text FROM lineitem"
+        for name, (n, text) in WIN_PAGE_SECTIONS.items()
+    ),
+    "result_lots": """SELECT l_orderkey, l_linenumber AS index, true AS is_win, CAST(NULL AS VARCHAR) AS name, l_extendedprice AS amount, false AS is_percent,
+  concat('SUP-', CAST(l_suppkey AS VARCHAR)) AS supplier, concat('ADDR&-', CAST(l_partkey % 3 AS VARCHAR)) AS supplier_address,
+  CAST(NULL AS VARCHAR) AS reason FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber + 7, false, concat('LOT-', CAST(l_partkey AS VARCHAR)), -1, false, NULL, NULL,
+  concat('REASON-', l_linestatus) FROM lineitem""",
+    "result_facts": """SELECT l_orderkey, l_linenumber, concat('CODE-', CAST(l_orderkey AS VARCHAR)) AS page_code,
+  concat('NAME-', CAST(l_partkey AS VARCHAR)) AS page_name,
+  concat('张', CAST(l_suppkey AS VARCHAR), '|李', CAST(l_partkey % 5 AS VARCHAR), '|王', CAST(l_linenumber AS VARCHAR)) AS experts,
+  concat('张', CAST(l_suppkey AS VARCHAR)) AS representatives, concat('BUYER-', CAST(l_orderkey AS VARCHAR)) AS purchaser,
+  CASE l_suppkey % 3 WHEN 0 THEN '甲方代理' WHEN 1 THEN '乙方代理' ELSE '丙方代理' END AS purchasing_agency,
+  'usable' AS state FROM lineitem""",
+    "void_reasons": f"""WITH line AS (SELECT *, CAST(l_partkey AS VARCHAR) AS p, l_linenumber % 7 AS f FROM {LINE} x)
+  SELECT l_orderkey, l_linenumber, qty AS index, concat('原因', p) AS reason, false AS shared FROM line WHERE f = 0
+  UNION ALL SELECT l_orderkey, l_linenumber, qty + 1, concat('理由', p), false FROM line WHERE f = 0
+  UNION ALL SELECT l_orderkey, l_linenumber, qty, concat('提交文件的供应商不足', p, '家'), false FROM line WHERE f = 1
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, concat('原因', p), false FROM line WHERE f = 2
+  UNION ALL SELECT l_orderkey, l_linenumber, 3, concat('理由', p), false FROM line WHERE f = 2
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, concat('供应商不足', p, '家，本项目废标'), false FROM line WHERE f = 3
+  UNION ALL SELECT l_orderkey, l_linenumber, qty + 1, concat('供应商不足', p, '家，本项目废标'), false FROM line WHERE f = 3
+  UNION ALL SELECT l_orderkey, l_linenumber, unnest([1, 2, qty + 2]), concat('供应商不足', p, '家'), false FROM line WHERE f = 4
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, concat('供应商不足', p, '家，本次采购失败。'), true FROM line WHERE f = 5
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, concat('分标1至分标', CAST(qty AS VARCHAR), '供应商不足。'), true FROM line WHERE f = 6""",
+    "termination_reason": """SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_linenumber % 3 <> 2 THEN concat('终止原因', CAST(l_partkey AS VARCHAR)) END AS reason,
+  CASE WHEN l_linenumber % 3 = 2 THEN 'termination reason: more than two lines' END AS error FROM lineitem""",
+    "review_experts": """WITH line AS (SELECT *, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS s, l_linenumber % 5 AS f FROM lineitem)
+  SELECT l_orderkey, l_linenumber,
+  CASE f WHEN 0 THEN concat('张', s, '|李', p, '|王', CAST(l_linenumber AS VARCHAR)) WHEN 1 THEN concat('张', s, '|李', p, '|王', CAST(l_linenumber AS VARCHAR))
+         WHEN 2 THEN concat('张', s, '|李', p) WHEN 3 THEN '' END AS experts,
+  CASE f WHEN 0 THEN concat('张', s) WHEN 1 THEN concat('李', p) WHEN 2 THEN '' WHEN 3 THEN '' END AS representatives,
+  CASE WHEN f = 4 THEN 'review experts: brackets not understood' END AS error FROM line""",
+    "contacts": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 < 2 THEN concat('局', CAST(l_partkey AS VARCHAR)) END AS purchaser,
+  CASE WHEN l_linenumber % 3 < 2 THEN CASE l_suppkey % 2 WHEN 0 THEN '甲方代理' ELSE '乙方代理' END END AS agency FROM lineitem""",
+    "purchase_facts": f"""WITH line AS (SELECT *, CAST(l_partkey AS VARCHAR) AS p, l_linenumber % 5 AS f FROM {LINE} x),
+  lots AS (
+    SELECT l_orderkey, l_linenumber, l_partkey, 1 AS index, concat('甲', p) AS name,
+      CASE f WHEN 1 THEN CAST(qty * 10000 - 5000 AS DOUBLE) WHEN 4 THEN qty ELSE l_extendedprice END AS budget, f, qty, l_extendedprice FROM line WHERE f <> 3
+    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 2, concat('乙', p), CASE f WHEN 1 THEN 5000 ELSE qty END, f, qty, l_extendedprice FROM line WHERE f IN (1, 2)
+    UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, NULL, NULL, NULL, f, qty, l_extendedprice FROM line WHERE f = 3)
+  SELECT concat('CODE-', CAST(l_orderkey AS VARCHAR)) AS project_code, concat('NAME-', CAST(l_partkey AS VARCHAR)) AS project_name, l_linenumber,
+    CASE f WHEN 1 THEN CAST(qty * 10000 AS DOUBLE) WHEN 2 THEN l_extendedprice + qty ELSE l_extendedprice END AS total_budget,
+    f = 3 AS without_lots, CASE WHEN f = 4 AND l_extendedprice <> qty THEN 'purchase budget: lots do not add up' END AS error, index, name, budget FROM lots""",
+    "merge_lots": with_(
+        LOT
+        + """,
+plan AS (SELECT l_orderkey AS id, l_linenumber AS idx, concat('PLAN-', CAST(max(l_partkey) AS VARCHAR)) AS name, max(l_extendedprice) AS budget
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+        "SELECT item.id, item.idx AS index, plan.name, plan.budget, item.amount, item.supplier FROM item JOIN plan ON item.id = plan.id AND item.idx = plan.idx",
+    ),
+    "lot_count_mismatch": """SELECT id, purchase_count, result_max FROM (
+  SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS purchase_count, CAST(max(l_linenumber) AS BIGINT) AS result_max FROM lineitem GROUP BY l_orderkey) x
+  WHERE purchase_count <> result_max""",
+    "lot_budget": with_(
+        LOT,
+        """SELECT id, CAST(round(sum(b), 2) AS DOUBLE) AS lot_budget
+  FROM (SELECT id, idx, max(CAST(budget AS DECIMAL(20,4))) AS b FROM item GROUP BY id, idx) x GROUP BY id""",
+    ),
+    "lot_amount": with_(
+        LOT,
+        f"SELECT id, coalesce(CAST(round(sum(CASE WHEN is_win_bid AND is_win THEN {LOT_VALUE} END), 2) AS DOUBLE), 0) AS lot_amount FROM lot GROUP BY id",
+    ),
+    "budget_mismatch": with_(
+        LOT,
+        """SELECT n.id, n.total_budget, b.lot_budget FROM notice n JOIN (
+  SELECT id, CAST(round(sum(b), 2) AS DOUBLE) AS lot_budget
+  FROM (SELECT id, idx, max(CAST(budget AS DECIMAL(20,4))) AS b FROM item GROUP BY id, idx) x GROUP BY id) b ON n.id = b.id
+  WHERE n.total_budget <> 0 AND abs(n.total_budget - b.lot_budget) > 1e-5""",
+    ),
+    "first_usable": """WITH c AS (SELECT l_orderkey AS project, l_returnflag = 'R' AS bought, l_linenumber AS pos, concat('A', CAST(l_suppkey AS VARCHAR)) AS id,
+    l_discount > 0.03 AND year(l_shipdate) >= 1996 AS usable FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY project, bought ORDER BY pos, id) AS up, row_number() OVER (PARTITION BY project, bought ORDER BY pos DESC, id DESC) AS down
+    FROM c WHERE usable)
+  SELECT p.project, max(r.id) FILTER (WHERE NOT bought AND up = 1) AS result_id, max(r.id) FILTER (WHERE bought AND down = 1) AS purchase_id
+  FROM (SELECT DISTINCT project FROM c) p LEFT JOIN r ON p.project = r.project GROUP BY p.project""",
+    "completeness": with_(
+        NOTICE,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM notice"
+            for c in ("procurement_method", "purchaser", "purchasing_agency", "total_amount")
+        )
+        + " UNION ALL SELECT 'project_code', count(*) FROM notice",
+    ),
+    "missing_fields": with_(
+        NOTICE,
+        """SELECT id, concat(CASE WHEN procurement_method IS NULL THEN 'procurement_method,' ELSE '' END, 'project_code',
+  CASE WHEN purchasing_agency IS NULL THEN ',purchasing_agency' ELSE '' END) AS missing FROM notice""",
+    ),
+    "run_counters": with_(
+        RAW_LIST,
+        """SELECT status AS name, count(*) AS n FROM (SELECT CASE WHEN id % 17 = 0 THEN 'error' WHEN id % 13 = 0 THEN 'dropped' ELSE 'sent' END AS status
+    FROM raw_list WHERE year(ts) >= 1997) s GROUP BY status
+  UNION ALL SELECT 'planned', count(*) FROM raw_list UNION ALL SELECT 'actual', count(*) FROM raw_list WHERE year(ts) >= 1997
+  UNION ALL SELECT 'remaining', count(*) FROM raw_list WHERE year(ts) < 1997""",
+    ),
+    "district_documents": """WITH s AS (SELECT s_suppkey AS k, s_suppkey * 10000 + 100000000 AS b FROM supplier),
+  r AS (SELECT b AS code, concat('P', CAST(k AS VARCHAR)) AS name, -1 AS parent_code FROM s
+    UNION ALL SELECT b + 100, concat('C', CAST(k AS VARCHAR)), b FROM s UNION ALL SELECT b + 199, concat('O', CAST(k AS VARCHAR)), b FROM s
+    UNION ALL SELECT b + 102, concat('L', CAST(k AS VARCHAR)), b + 100 FROM s UNION ALL SELECT b + 103, concat('M', CAST(k AS VARCHAR)), b + 100 FROM s)
+  SELECT code, name, concat('FULL-', CAST(code AS VARCHAR)) AS full_name, concat('SHORT-', CAST(code AS VARCHAR)) AS short_name, parent_code,
+    CASE WHEN code % 100 IN (0, 99) THEN 2 ELSE 3 END AS type FROM r""",
+    "retry_list": """WITH e AS (SELECT DISTINCT concat('R', CAST(l_orderkey AS VARCHAR)) AS article_id, l_returnflag <> 'R' AS is_win,
+    concat('ERROR-', l_linestatus) AS message, year(l_shipdate) < 1996 AS old FROM lineitem)
+  SELECT article_id, is_win, message FROM e WHERE NOT old EXCEPT SELECT article_id, is_win, message FROM e WHERE old""",
+}
+
+OTHER = {
+    "notice_json": with_(
+        NOTICE,
+        """SELECT concat('R', CAST(id AS VARCHAR)) AS result_source_article_id, epoch_ms(ts) AS scrape_timestamp, district_code,
+  CAST(is_win_bid AS INT) AS is_win_bid, CAST(is_termination AS INT) AS is_termination, total_amount,
+  concat('["R', CAST(id AS VARCHAR), '","S', CAST(id AS VARCHAR), '"]') AS result_article_id,
+  concat('LOT-', CAST(id AS VARCHAR)) AS lot_name, unnest([1, 1]) AS lot_index, CAST(total_amount AS DOUBLE) AS lot_amount
+  FROM notice WHERE id % 19 <> 0""",
+    ),
+    "corrupt_notices": with_(NOTICE, "SELECT 'notice: json not understood' AS message, count(*) AS count FROM notice WHERE id % 19 = 0"),
+    "row_defaults": with_(
+        NOTICE,
+        """SELECT id, coalesce(purchasing_agency, '') AS purchasing_agency, is_win_bid, is_termination, total_budget FROM notice""",
+    ),
+    "dense_id": with_(
+        NOTICE, "SELECT id AS notice, row_number() OVER (ORDER BY ts, id) - 1 AS id FROM notice"
+    ),
+    "upsert": """WITH fresh AS (SELECT code, name, balance FROM (
+    SELECT c_custkey % 150 AS code, c_name AS name, c_acctbal AS balance, row_number() OVER (PARTITION BY c_custkey % 150 ORDER BY c_custkey DESC) AS r FROM customer) x WHERE r = 1)
+  SELECT code, name, balance FROM fresh UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT code FROM fresh)""",
+    "changed_keys": """SELECT k.code, CASE WHEN s_suppkey IS NULL THEN 'inserted' ELSE 'updated' END AS action
+  FROM (SELECT DISTINCT c_custkey % 150 AS code FROM customer) k LEFT JOIN supplier ON code = s_suppkey""",
+    "month_scaffold": """SELECT year(m) AS year, month(m) AS month, strftime(m, '%Y-%m-%d') AS begin_day, strftime(last_day(m), '%Y-%m-%d') AS end_day, day(last_day(m)) AS days
+  FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders) x""",
+    "calendar_columns": """SELECT o_orderkey AS id, year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day, quarter(o_orderdate) AS quarter,
+  day(last_day(o_orderdate)) AS days, strftime(o_orderdate, '%Y-%m-%d') AS day_text, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS minute_text FROM orders""",
+    "streamed_volume_cube": with_(NOTICE, VOLUME),
+    "streamed_unique_events": "SELECT DISTINCT event_id, event_type FROM events",
+    "streamed_daily_counts": with_(
+        NOTICE,
+        "SELECT strftime(ts, '%Y-%m-%d') AS day, district_code, count(*) AS count FROM notice GROUP BY 1, 2",
+    ),
+    "text_helpers": r"""SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) AS solid_chars,
+  strpos(text, ' ') AS first_blank, coalesce(try_cast(nullif(regexp_extract(text, '^([0-9]+(?:\.[0-9]*)?|\.[0-9]+)', 1), '') AS DOUBLE), 0) AS leading_number,
+  text LIKE '%。%' OR text LIKE '%;%' AS has_mark FROM documents""",
+}
+
+
 def all_statements() -> dict[str, str]:
-    return {**REPORTS, **SERVING}
+    return {**REPORTS, **SERVING, **INGEST, **OTHER}

@@ -27,7 +27,7 @@ from tenderloom.functions.notice_text import (
     termination_reason,
     void_reasons,
 )
-from tenderloom.functions.text import contains_any
+from tenderloom.functions.text import bind, contains_any
 from tenderloom.operators.pages import html_lines, lots_of_section, sections_of
 from tenderloom.operators.ranking import first_per_group
 from tenderloom.schemas import (
@@ -217,13 +217,13 @@ def _lot_struct(**values: Column) -> Column:
 
 def priced_lot(raw: Column, amount: Column) -> Column:
     """Raw lot plus its read amount; an amount that is not understood becomes -1."""
-    won = raw["is_win"]
+    won = raw["is_win"] & amount.isNotNull()
     return _lot_struct(
         name=raw["name"],
         index=raw["index"],
-        is_win=won,
+        is_win=raw["is_win"],
         amount=F.when(won & amount["ok"], amount["amount"]).otherwise(F.lit(AMOUNT_NOT_DEAL)),
-        is_percent=won & amount["ok"] & amount["is_percent"],
+        is_percent=F.when(won & amount["ok"], amount["is_percent"]).otherwise(F.lit(False)),
         supplier=raw["supplier"],
         supplier_address=raw["supplier_address"],
         reason=raw["reason"],
@@ -250,7 +250,9 @@ def parse_result_pages(pages: DataFrame, content: str = "content") -> DataFrame:
             "_contact": F.when(F.col("_s.contact").isNotNull(), contacts(text("contact"))),
         }
     )
-    won_lots = F.transform(F.col("_w.lots"), lambda x: priced_lot(x, parse_amount(x["price_text"])))
+    won_lots = F.transform(
+        F.col("_w.lots"), lambda x: bind(F.when(x["is_win"], parse_amount(x["price_text"])), lambda a: priced_lot(x, a))
+    )
     void_lots = F.transform(
         F.col("_void.lots"), lambda x: _lot_struct(index=x["index"], reason=x["reason"])
     )
@@ -310,14 +312,16 @@ def first_usable(candidates: DataFrame, key: str, kind: str = "kind") -> DataFra
 def _merged(purchase_lots: Column, result_lots: Column) -> Column:
     """Result lots with name and budget of the purchase lot of the same index."""
 
-    def fill(r: Column) -> Column:
-        p = F.get(F.filter(purchase_lots, lambda x: x["index"] == r["index"]), F.lit(0))
+    def fill(r: Column, p: Column) -> Column:
         values = {f.name: r[f.name] for f in LOT_SCHEMA}
         values["name"] = F.when(p.isNotNull(), p["name"]).otherwise(r["name"])
         values["budget"] = F.when(p.isNotNull(), p["budget"]).otherwise(r["budget"])
         return _lot_struct(**values)
 
-    return F.transform(result_lots, fill)
+    def planned(r: Column) -> Column:
+        return F.get(F.filter(purchase_lots, lambda x: x["index"] == r["index"]), F.lit(0))
+
+    return F.transform(result_lots, lambda r: bind(planned(r), lambda p: fill(r, p)))
 
 
 def _planned(purchase_lots: Column, reason: Column | None = None) -> Column:

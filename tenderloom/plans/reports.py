@@ -107,11 +107,13 @@ def district_levels(notices: DataFrame) -> DataFrame:
     return rows.agg(*aggs)
 
 
+def volume_measures() -> list:
+    return [money_sum("transactions_volume", "total_amount")]
+
+
 def volumes(notices: DataFrame, grains=tuple(GRAINS), scopes=SCOPES) -> DataFrame:
     """Amount of won notices per district and period."""
-    return calendar_cube(
-        notices.filter(_WIN), [], [money_sum("transactions_volume", "total_amount")], grains, scopes
-    )
+    return calendar_cube(notices.filter(_WIN), [], volume_measures(), grains, scopes)
 
 
 def method_counts(notices: DataFrame, grains=tuple(GRAINS), scopes=SCOPES) -> DataFrame:

@@ -54,9 +54,10 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as notices, one row per order, without their lots."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+def notices(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Orders as notices, one row per order, without their lots; ``orders`` may be a stream."""
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    customer = table(spark, sf_dir, "customer")
     place = district_codes(spark, sf_dir)
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         place, F.col("c_nationkey") == F.col("nation")
