@@ -240,9 +240,7 @@ def _ingest() -> dict[str, Query]:
         return orders.select("o_orderkey", text.article_id(F.col("url")).alias("article_id"))
 
     def page_sections(df: DataFrame) -> DataFrame:
-        read = df.select(
-            *LINE, pages.sections_of(pages.html_lines(F.col("content")), F.col("is_win_bid")).alias("s")
-        )
+        read = df.select(*LINE, pages.read_result_page(F.col("content"), F.col("is_win_bid")).alias("s"))
         rows = F.array(
             *[F.struct(F.lit(n).alias("section"), F.col(f"s.{n}").alias("content")) for n in pages.SECTIONS]
         )
@@ -252,8 +250,9 @@ def _ingest() -> dict[str, Query]:
         )
 
     def result_lots(df: DataFrame) -> DataFrame:
-        lots = I.parse_result_pages(df).select("l_orderkey", F.inline("result_lots"))
-        return lots.select(
+        # inline_outer: the plain form repeats the parsing in a filter on the array's size.
+        lots = I.parse_result_pages(df).select("l_orderkey", F.inline_outer("result_lots"))
+        return lots.filter(F.col("index").isNotNull()).select(
             "l_orderkey", "index", "is_win", "name", "amount", "is_percent", "supplier", "supplier_address", "reason"
         )
 
@@ -271,7 +270,8 @@ def _ingest() -> dict[str, Query]:
 
     def void_reasons(df: DataFrame) -> DataFrame:
         read = df.select(*LINE, notice_text.void_reasons(F.col("reason_text")).alias("v"))
-        return read.select(*LINE, F.inline("v.lots"), F.col("v.shared").alias("shared"))
+        lots = read.select(*LINE, F.inline_outer("v.lots"), F.col("v.shared").alias("shared"))
+        return lots.filter(F.col("index").isNotNull())
 
     def termination_reason(df: DataFrame) -> DataFrame:
         return df.select(*LINE, notice_text.termination_reason(F.col("lines")).alias("t")).select(*LINE, "t.*")

@@ -28,7 +28,7 @@ from tenderloom.functions.notice_text import (
     void_reasons,
 )
 from tenderloom.functions.text import bind, contains_any
-from tenderloom.operators.pages import html_lines, lots_of_section, sections_of
+from tenderloom.operators.pages import html_lines, read_result_page
 from tenderloom.operators.ranking import first_per_group
 from tenderloom.schemas import (
     AMOUNT_NOT_DEAL,
@@ -235,8 +235,7 @@ def parse_result_pages(pages: DataFrame, content: str = "content") -> DataFrame:
 
     ``state`` is usable, switch (another announcement may have the lots) or error.
     """
-    read = pages.withColumn("_s", sections_of(html_lines(F.col(content)), F.col("is_win_bid"))).drop(content)
-    read = read.withColumn("_w", lots_of_section(F.col("_s.win")))
+    read = pages.withColumn("_s", read_result_page(F.col(content), F.col("is_win_bid"))).drop(content)
     win = F.col("is_win_bid")
 
     def text(section: str) -> Column:
@@ -251,19 +250,19 @@ def parse_result_pages(pages: DataFrame, content: str = "content") -> DataFrame:
         }
     )
     won_lots = F.transform(
-        F.col("_w.lots"), lambda x: bind(F.when(x["is_win"], parse_amount(x["price_text"])), lambda a: priced_lot(x, a))
+        F.col("_s.lots"), lambda x: bind(F.when(x["is_win"], parse_amount(x["price_text"])), lambda a: priced_lot(x, a))
     )
     void_lots = F.transform(
         F.col("_void.lots"), lambda x: _lot_struct(index=x["index"], reason=x["reason"])
     )
     none = F.array().cast(_LOTS)
     error = F.coalesce(
-        F.when(win, F.col("_w.error")),
+        F.when(win, F.col("_s.lots_error")),
         F.when(F.col("_void.error") != "void reason: no lot", F.col("_void.error")),
         F.col("_end.error"),
         F.col("_experts.error"),
     )
-    no_lots = F.when(win, F.size("_w.lots") == 0).otherwise(
+    no_lots = F.when(win, F.size("_s.lots") == 0).otherwise(
         F.coalesce(F.col("_void.error") == "void reason: no lot", F.lit(False))
     )
     names = F.array().cast("array<string>")
@@ -529,7 +528,7 @@ def ingest(
 
 
 def _notice_column(field) -> Column:
-    return F.col(field.name).cast(field.dataType).alias(field.name)
+    return F.col(field.name).cast(field.dataType.simpleString()).alias(field.name)
 
 
 def _choose_result(projects: DataFrame, raw_detail: DataFrame, seen: DataFrame | None) -> DataFrame:
