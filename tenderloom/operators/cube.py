@@ -105,30 +105,71 @@ def cube_from_partials(
     Cells of the same day may occur several times (one per micro-batch): they are
     merged here.
     """
-    cols = [*keys, "district_code", *TIME]
-    sets = []
     for scope in scopes:
         if scope not in SCOPES:
             raise ValueError(f"unknown scope {scope!r}")
-        place = ["district_code"] if scope == "district" else []
-        sets += [[*keys, *place, *GRAINS[g]] for g in grains]
     cells = partials.withColumn("quarter", quarter_of_month(F.col("month")))
-    merged = cells.groupingSets(sets, *cols).agg(
-        *[_MERGE[how](n).alias(n) for m in measures for n, (_, how) in m.partials.items()],
-        *[F.grouping(c).alias(f"_all_{c}") for c in ("district_code", "month", "day", "quarter")],
+    merged = [
+        _MERGE[how](n).alias(n) for m in measures for n, (_, how) in m.partials.items()
+    ]
+    roll = _roll_by_key if keys else _roll_all
+    return roll(cells, list(keys), merged, grains, scopes).select(
+        "district_code", *keys, *TIME, *[m.final.alias(m.name) for m in measures]
+    )
+
+
+def _roll_all(
+    cells: DataFrame, keys: list[str], merged: list[Column], grains: Sequence[str], scopes: Sequence[str]
+) -> DataFrame:
+    """Grouping sets: without keys the cells are few and combine well before the shuffle."""
+    sets = [
+        [*keys, *(["district_code"] if scope == "district" else []), *GRAINS[grain]]
+        for scope in scopes
+        for grain in grains
+    ]
+    grouped = cells.groupingSets(sets, *keys, "district_code", *TIME).agg(
+        *merged, *[F.grouping(c).alias(f"_all_{c}") for c in ("district_code", "month", "day", "quarter")]
     )
 
     def level(c: str, rolled_up: int = 0) -> Column:
-        return F.when(F.col(f"_all_{c}") == 1, F.lit(rolled_up)).otherwise(F.col(c)).alias(c)
-
-    return merged.select(
-        level("district_code", PROVINCE_STATS_CODE),
-        *keys,
-        "year",
-        level("month"),
-        level("day"),
-        level("quarter"),
-        *[m.final.alias(m.name) for m in measures],
+        return F.when(F.col(f"_all_{c}") == 1, F.lit(rolled_up)).otherwise(F.col(c))
+
+    return grouped.withColumns(
+        {
+            "district_code": level("district_code", PROVINCE_STATS_CODE),
+            **{c: level(c) for c in ("month", "day", "quarter")},
+        }
+    )
+
+
+def _roll_by_key(
+    cells: DataFrame, keys: list[str], merged: list[Column], grains: Sequence[str], scopes: Sequence[str]
+) -> DataFrame:
+    """One shuffle of the cells by key and year, which every grouping set contains.
+
+    The sets are then formed and summed inside the partition, so sparse keys do not
+    send each cell once per set.  A key and year has at most districts times days
+    cells, however many rows it had.
+    """
+
+    def one_set(number: int, scope: str, grain: str) -> Column:
+        kept = GRAINS[grain]
+        place = F.col("district_code") if scope == "district" else F.lit(PROVINCE_STATS_CODE)
+        return F.struct(
+            F.lit(number).alias("_set"),
+            place.cast("int").alias("_district"),
+            *[(F.col(c) if c in kept else F.lit(0)).alias(f"_{c}") for c in ("month", "day", "quarter")],
+        )
+
+    names = [c for c in cells.columns if c not in (*keys, "district_code", *TIME)]
+    pairs = [(scope, grain) for scope in scopes for grain in grains]
+    sets = F.array(*[one_set(i, *pair) for i, pair in enumerate(pairs)])
+    local = cells.repartition(*keys, "year").select(*keys, "year", *names, F.explode(sets).alias("set"))
+    grouped = local.select(*keys, "year", *names, "set.*").groupBy(
+        *keys, "year", "_set", "_district", "_month", "_day", "_quarter"
+    )
+    return grouped.agg(*merged).withColumnsRenamed(
+        {"_district": "district_code", "_month": "month", "_day": "day", "_quarter": "quarter"}
     )
 
 

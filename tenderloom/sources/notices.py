@@ -47,19 +47,31 @@ CUBE_DEFAULTS = {
 
 
 def _parsed(df: DataFrame) -> DataFrame:
+    """Parsed fields and the corrupt text.
+
+    The one-element inline keeps Spark from copying ``from_json`` into the filters
+    that follow, so each value is parsed once.
+    """
     schema = StructType([*NOTICE_SCHEMA.fields, StructField(_CORRUPT, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return df.select(F.from_json(F.col("value").cast("string"), schema, options).alias("json"))
+    value = df.filter(F.col("value").isNotNull()).select(F.col("value").cast("string").alias("value"))
+    rows = value.select("value", F.inline_outer(F.array(F.from_json("value", schema, options))))
+    empty = F.trim("value") == ""
+    return rows.withColumn(_CORRUPT, F.when(empty, F.col("value")).otherwise(F.col(_CORRUPT))).drop("value")
 
 
 def parse_notices(df: DataFrame) -> DataFrame:
-    """Notices of a ``value`` column (Kafka bytes or text); records that do not parse are left out."""
-    return _parsed(df).select("json.*").filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    """Notices of a ``value`` column (Kafka bytes or text).
+
+    Deletion marks (null values) hold no record; values that do not parse go to
+    :func:`corrupt_notices`.
+    """
+    return _parsed(df).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
 
 
 def corrupt_notices(df: DataFrame) -> DataFrame:
     """Quarantine rows of the values that do not parse."""
-    bad = _parsed(df).select("json.*").filter(F.col(_CORRUPT).isNotNull())
+    bad = _parsed(df).filter(F.col(_CORRUPT).isNotNull())
     return quarantine(
         bad, "notice: json not understood", F.lit(None).cast("string"), F.lit(None), F.col(_CORRUPT)
     )

@@ -107,7 +107,7 @@ def test_partials_of_two_batches_merge(spark):
 
 def test_hot_key_shuffles_one_row_per_task(spark):
     rows = spark.range(0, 60000, 1, 4).select(
-        F.lit(ms(2023, 1, 1)).alias("scrape_timestamp"),
+        (F.lit(ms(2023, 1, 1)) + F.col("id") % 7).alias("scrape_timestamp"),
         F.lit(450100).alias("district_code"),
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("supplier"),
     )
