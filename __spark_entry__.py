@@ -322,7 +322,33 @@ def _ingest() -> dict[str, Query]:
     def retry_list(df: DataFrame) -> DataFrame:
         return I.retry_list(df.filter("year >= 1996"), df.filter("year < 1996").drop("year").distinct())
 
+    def job(spark: SparkSession, sf: str) -> I.Ingested:
+        return I.ingest(
+            A.raw_list(spark, sf), A.raw_detail(spark, sf), A.seen_ids(spark, sf), now_ms=F.lit(4102444800000)
+        )
+
+    def ingested_notices(spark: SparkSession, sf: str) -> DataFrame:
+        return job(spark, sf).notices.select(
+            "result_source_article_id",
+            "purchase_source_article_id",
+            "project_code",
+            "is_win_bid",
+            "is_termination",
+            "total_budget",
+            "total_amount",
+            F.size("bid_items").alias("lots"),
+            F.array_join(F.transform("bid_items", lambda x: F.coalesce(x["name"], F.lit("-"))), ",").alias("names"),
+            "purchaser",
+            "termination_reason",
+            "tender_duration",
+        )
+
+    def ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
+        return I.error_report(job(spark, sf).quarantine)
+
     return {
+        "ingested_notices": ingested_notices,
+        "ingest_errors": ingest_errors,
         "classify_list": on(
             A.raw_list,
             lambda df: I.flatten_list(df).select(

@@ -432,7 +432,31 @@ nodes AS (SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]*>')) AS raw
 lines AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), chr(1), '<'),
     '^\s+|\s+$', '', 'g') AS line FROM nodes)"""
 
+JOB = RAW_LIST + """,
+project AS (
+  SELECT r.*, o_custkey, o_totalprice, o_orderstatus AS st, r.id % 7 <> 0 AS planned, CAST(r.id AS VARCHAR) AS k
+  FROM raw_list r JOIN orders ON r.id = o_orderkey WHERE r.id % 17 <> 0 AND r.id % 13 <> 0 AND year(r.ts) >= 1997)"""
+
 INGEST = {
+    "ingested_notices": with_(
+        JOB,
+        """SELECT concat('R', k) AS result_source_article_id,
+  CASE WHEN planned THEN concat(CASE WHEN id % 2 = 0 THEN 'P' ELSE 'O' END, k) END AS purchase_source_article_id,
+  concat('CODE-', k) AS project_code, is_win_bid, is_termination,
+  CAST(CASE WHEN planned THEN id % 100 + 51 WHEN st = 'F' THEN -2 WHEN st = 'O' THEN -1 ELSE 0 END AS DOUBLE) AS total_budget,
+  CASE WHEN st = 'F' THEN o_totalprice ELSE 0 END AS total_amount,
+  CASE WHEN planned OR st = 'F' THEN 2 WHEN st = 'O' THEN 1 ELSE 0 END AS lots,
+  CASE WHEN planned THEN concat('甲', k, ',乙', k) WHEN st = 'F' THEN '-,标乙' WHEN st = 'O' THEN '-' ELSE '' END AS names,
+  CASE WHEN st = 'F' THEN concat('局', CAST(o_custkey AS VARCHAR)) END AS purchaser,
+  CASE WHEN st = 'P' THEN concat('政策', CAST(id % 3 AS VARCHAR), '变化') END AS termination_reason,
+  CASE WHEN NOT planned THEN -1 WHEN id % 3 = 0 THEN 25 * 86400000::BIGINT ELSE 20 * 86400000::BIGINT END AS tender_duration
+  FROM project WHERE NOT (st = 'F' AND id % 23 = 0)""",
+    ),
+    "ingest_errors": with_(
+        JOB,
+        """SELECT 'list row: path name not known' AS message, count(*) AS count FROM raw_list WHERE id % 17 = 0
+  UNION ALL SELECT 'result lots: layout not known', count(*) FROM project WHERE st = 'F' AND id % 23 = 0""",
+    ),
     "classify_list": with_(
         RAW_LIST, "SELECT article_id, scrape_timestamp, announcement_type, is_win_bid, is_termination FROM meta"
     ),

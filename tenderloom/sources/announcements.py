@@ -319,3 +319,61 @@ def district_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = node(base + 199, F.filter(leaves, lambda x: F.lit(False)), "O")
     root = node(base, F.array(city, own), "P")
     return table(spark, sf_dir, "supplier").select(F.to_json(root).alias("doc"))
+
+
+def raw_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result and purchase pages of the orders in :func:`raw_list`, with the links of their project.
+
+    The purchase page is dated 30 years later than the order so that it is usable.
+    """
+    rows = table(spark, sf_dir, "orders")
+    linked = linked_notices(spark, sf_dir).withColumnRenamed("article_id", "articleId")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    win = _t(
+        "<p>三、中标（成交）信息</p><p>1.中标结果：</p><td>1</td><td>报价:",
+        price,
+        "(元)</td><td>SUP-",
+        F.col("o_custkey"),
+        "</td><td>路</td><p>2.废标结果：</p><td>2</td><td>标乙</td><td>不足</td><p>八、联系方式</p><p>采购人：局",
+        F.col("o_custkey"),
+        "地址：街</p>",
+    )
+    content = (
+        F.when((F.col("o_orderstatus") == "F") & (k % 23 == 0), "<p>三、中标信息</p><p>见附件</p>")
+        .when(F.col("o_orderstatus") == "F", win)
+        .when(F.col("o_orderstatus") == "O", _t("<p>二、项目废标的原因</p><p>供应商不足", k % 3, "家</p>"))
+        .otherwise(_t("<p>二、终止说明</p><p>政策", k % 3, "变化</p>"))
+    )
+    pages = rows.select(
+        _t("R", k).alias("articleId"),
+        F.lit("结果公告").alias("title"),
+        _t("CODE-", k).alias("projectCode"),
+        _t("NAME-", k).alias("projectName"),
+        F.lit("450100").alias("districtCode"),
+        F.lit(3004).alias("announcementType"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("publishDate"),
+        content.alias("content"),
+    ).join(linked.select("articleId", F.col("links").alias("announcementLinkDtoList")), "articleId")
+    plan = _t(
+        "<p>预算总金额（元）：",
+        k % 100 + 51,
+        " 采购需求：</p><p>标项一标项名称：甲",
+        k,
+        "数量：1预算金额（元）：",
+        k % 100 + 1,
+        "数量：</p><p>标项二标项名称：乙",
+        k,
+        "数量：1预算金额（元）：50数量：</p>",
+    )
+    purchases = rows.select(
+        _t(_pick(k, "P", "O"), k).alias("articleId"),
+        F.lit("采购公告").alias("title"),
+        F.lit(None).cast("string").alias("projectCode"),
+        F.lit(None).cast("string").alias("projectName"),
+        F.lit("450100").alias("districtCode"),
+        F.lit(1).alias("announcementType"),
+        (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + 10958 * DAY_MS).alias("publishDate"),
+        plan.alias("content"),
+        F.lit(None).cast(pages.schema["announcementLinkDtoList"].dataType).alias("announcementLinkDtoList"),
+    )
+    return pages.unionByName(purchases)
