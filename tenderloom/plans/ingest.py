@@ -28,6 +28,7 @@ from tenderloom.functions.notice_text import (
     void_reasons,
 )
 from tenderloom.functions.text import bind, contains_any
+from tenderloom.operators.frames import compute_once
 from tenderloom.operators.pages import html_lines, read_result_page
 from tenderloom.operators.ranking import first_per_group
 from tenderloom.schemas import (
@@ -266,28 +267,29 @@ def parse_result_pages(pages: DataFrame, content: str = "content") -> DataFrame:
         F.coalesce(F.col("_void.error") == "void reason: no lot", F.lit(False))
     )
     names = F.array().cast("array<string>")
-    return facts.select(
-        *[c for c in pages.columns if c != content],
-        F.when(F.col("_s.project_code").isNotNull(), text("project_code")).alias("page_code"),
-        F.when(F.col("_s.project_name").isNotNull(), text("project_name")).alias("page_name"),
-        F.coalesce(F.when(win, won_lots).otherwise(void_lots).cast(_LOTS), none).alias("result_lots"),
-        F.coalesce("_void.shared", F.lit(False)).alias("shared_reason"),
-        F.col("_end").isNotNull().alias("page_termination"),
-        F.col("_end.reason").alias("termination_reason"),
-        F.coalesce("_experts.experts", names).alias("review_expert"),
-        F.coalesce("_experts.representatives", names).alias("purchase_representative"),
-        F.col("_contact.purchaser").alias("purchaser"),
-        F.col("_contact.agency").alias("purchasing_agency"),
-        error.alias("page_error"),
-        F.when(error.isNotNull(), "error").when(no_lots, "switch").otherwise("usable").alias("state"),
-    )
+    typed = {
+        "page_code": F.when(F.col("_s.project_code").isNotNull(), text("project_code")),
+        "page_name": F.when(F.col("_s.project_name").isNotNull(), text("project_name")),
+        "result_lots": F.coalesce(F.when(win, won_lots).otherwise(void_lots).cast(_LOTS), none),
+        "shared_reason": F.coalesce("_void.shared", F.lit(False)),
+        "page_termination": F.col("_end").isNotNull(),
+        "termination_reason": F.col("_end.reason"),
+        "review_expert": F.coalesce("_experts.experts", names),
+        "purchase_representative": F.coalesce("_experts.representatives", names),
+        "purchaser": F.col("_contact.purchaser"),
+        "purchasing_agency": F.col("_contact.agency"),
+        "page_error": error,
+        "state": F.when(error.isNotNull(), "error").when(no_lots, "switch").otherwise("usable"),
+    }
+    kept = [c for c in pages.columns if c != content]
+    return compute_once(facts, typed).select(*kept, *typed)
 
 
 def parse_purchase_pages(pages: DataFrame, content: str = "content") -> DataFrame:
     """Add the typed facts of purchase pages; only usable rows are kept."""
     text = F.array_join(html_lines(F.col(content)), "")
     read = pages.withColumn("_page_text", text).drop(content)
-    facts = read.withColumn("p", purchase_facts(F.col("_page_text"))).drop("_page_text")
+    facts = compute_once(read, {"p": purchase_facts(F.col("_page_text"))}).drop("_page_text")
     return facts.filter(F.col("p.error").isNull())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 
 from tenderloom.functions.labels import decode_lots, decode_names
 from tenderloom.functions.money import clamp
+from tenderloom.operators.frames import compute_once
 from tenderloom.plans.ingest import quarantine
 from tenderloom.schemas import NOTICE_SCHEMA
 
@@ -47,15 +48,11 @@ CUBE_DEFAULTS = {
 
 
 def _parsed(df: DataFrame) -> DataFrame:
-    """Parsed fields and the corrupt text.
-
-    The one-element inline keeps Spark from copying ``from_json`` into the filters
-    that follow, so each value is parsed once.
-    """
+    """Parsed fields and the corrupt text; each value is parsed once."""
     schema = StructType([*NOTICE_SCHEMA.fields, StructField(_CORRUPT, StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     value = df.filter(F.col("value").isNotNull()).select(F.col("value").cast("string").alias("value"))
-    rows = value.select("value", F.inline_outer(F.array(F.from_json("value", schema, options))))
+    rows = compute_once(value, {"json": F.from_json("value", schema, options)}).select("value", "json.*")
     empty = F.trim("value") == ""
     return rows.withColumn(_CORRUPT, F.when(empty, F.col("value")).otherwise(F.col(_CORRUPT))).drop("value")
 
