@@ -86,8 +86,13 @@ def day_partials(
     measures: Sequence[Measure],
     ms_col: str = "scrape_timestamp",
 ) -> DataFrame:
-    """Additive day cells: the only aggregation that sees the base rows."""
-    cells = with_calendar(df, ms_col, quarter=False)
+    """Additive day cells: the only aggregation that sees the base rows.
+
+    District codes become int; text that is no number counts under a null code.
+    """
+    cells = with_calendar(df, ms_col, quarter=False).withColumn(
+        "district_code", F.col("district_code").try_cast("int")
+    )
     return cells.groupBy(*keys, "district_code", "year", "month", "day").agg(
         *[agg.alias(n) for m in measures for n, (agg, _) in m.partials.items()]
     )
@@ -157,7 +162,7 @@ def _roll_by_key(
         place = F.col("district_code") if scope == "district" else F.lit(PROVINCE_STATS_CODE)
         return F.struct(
             F.lit(number).alias("_set"),
-            place.cast("int").alias("_district"),
+            place.alias("_district"),
             *[(F.col(c) if c in kept else F.lit(0)).alias(f"_{c}") for c in ("month", "day", "quarter")],
         )
 

@@ -174,3 +174,9 @@ def test_quartiles_are_exact_beyond_the_sketch(spark):
     assert [rows[q].total_amount for q in ("25%", "50%", "75%")] == [values[12500], values[25000], values[37500]]
     assert rows["count"].total_budget == 50001 and rows["max"].total_budget == 50001.0
     assert R.amount_summary(df.limit(0)).filter("metric = 'count'").count() == 0
+
+
+def test_text_district_codes_are_read_as_numbers(spark):
+    df = frame(spark).withColumn("district_code", F.coalesce(F.col("district_code").cast("string"), F.lit("?")))
+    for cube in (R.volumes(df), R.method_counts(df)):
+        assert {r.district_code for r in cube.select("district_code").distinct().collect()} >= {0, 450100, None}
