@@ -33,6 +33,15 @@ from tenderloom.sources import notices as N  # noqa: E402
 from tenderloom.sources.sinks import for_each_batch  # noqa: E402
 from tenderloom.streaming import incremental as Z  # noqa: E402
 
+# The operators for training data and their pipeline are optional; nothing else depends on them.
+try:
+    import corpus_pipeline
+    from tenderloom.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tenderloom.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 YEAR = ("year",)
@@ -529,9 +538,16 @@ def _with_settings(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     registered = {**_reports(), **_serving(), **_ingest(), **_sources_and_streams()}
+    if llm:
+        registered |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return {name: _with_settings(q) for name, q in registered.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements with the expected result of each query."""
-    return oracle_queries.all_statements()
+    statements = oracle_queries.all_statements()
+    if llm:
+        statements |= llm.statements()
+        if corpus_pipeline.ORACLE_SQL:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
