@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tenderloom.llm.decontaminate import op7_decontamination
 from tenderloom.llm.mixing import OP8_SQL, op8_mixing
 from tenderloom.llm.tables import bounded_batches
+from tenderloom.llm.token_counts import op4_token_counts
+from tenderloom.llm.token_files import op9_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    registered = {"op8_mixing": op8_mixing}
+    registered = {
+        "op4_token_counts": op4_token_counts,
+        "op7_decontamination": op7_decontamination,
+        "op8_mixing": op8_mixing,
+        "op9_token_files": op9_token_files,
+    }
     return {name: lambda spark, sf, q=q: q(bounded_batches(spark), sf) for name, q in registered.items()}
 
 
