@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderloom.llm.tables import map_column
+from tenderloom.llm.tables import map_column, named_again, numbered_columns
 
 WINDOW = 10
 SHARD_BYTES = 16 << 20
@@ -104,7 +104,9 @@ def scan_text(machine: ahocorasick.Automaton, text: str | None) -> tuple[np.ndar
     return marked, items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, carry: Sequence[str], window: int = WINDOW) -> DataFrame:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, carry: Sequence[str], window: int = WINDOW, text: str = "text"
+) -> DataFrame:
     """``carry`` columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated,
     item_ids and the hit code point ranges of each whole text."""
     spark = docs.sparkSession
@@ -148,8 +150,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: Sequence[str], window: in
         return make
 
     if shards == 1:
-        return map_column(docs, "text", one_pass(rows_of(0), True), FOUND, carry)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("_text"))
+        return map_column(docs, text, one_pass(rows_of(0), True), FOUND, carry)
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("_text"))
     for k in range(shards):
         step = T.StructType([T.StructField(f"{f.name}{k}", f.dataType) for f in state])
         make = one_pass(rows_of(k), False)
@@ -183,8 +185,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: Sequence[str], window: in
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit word, with the columns of ``docs``."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return scan(row, benchmark, ["row"], window).filter(~F.col("contaminated")).select("row.*")
+    plain, short = numbered_columns(docs)
+    found = scan(plain, benchmark, plain.columns, window, short["text"])
+    return named_again(found.filter(~F.col("contaminated")), short)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

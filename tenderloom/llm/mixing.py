@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.tables import written
+from tenderloom.llm.tables import named_again, numbered_columns, written
 from tenderloom.operators.tables import with_dense_id
 
 WEIGHTS = (3, 1, 2)
@@ -69,23 +69,25 @@ def source_targets(
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to rows with ``doc_id`` and ``source``."""
+def with_copies(
+    docs: DataFrame, targets: DataFrame, seed: str = SEED, doc_id: str = "doc_id", source: str = "source"
+) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to the rows of ``docs``."""
     t = targets.withColumnRenamed("source", "_source")
-    rows = docs.drop("source_size", "target", "copies")
-    joined = rows.join(t, rows["source"].eqNullSafe(t["_source"]), "left").drop("_source")
+    joined = docs.join(t, docs[source].eqNullSafe(t["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    extra = F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
+    extra = F.when(draw(F.col(doc_id), seed) < rate - whole, 1).otherwise(0)
     return joined.withColumn("copies", (whole + extra).cast("long"))
 
 
-def mixed(docs: DataFrame, **params: object) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, **params: object) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     targets = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), **params)
-    keys = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    taken = with_copies(keys.select(F.struct("*").alias("row"), "doc_id", "source"), targets)
-    return taken.select("row", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("row.*")
+    plain, short = numbered_columns(docs)
+    taken = with_copies(plain, targets, seed, short["doc_id"], short["source"])
+    again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return named_again(taken.select(*plain.columns, again), short)
 
 
 def mix_counts(docs: DataFrame, seed: str = SEED, **params: object) -> DataFrame:

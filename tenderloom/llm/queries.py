@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm.decontaminate import op7_decontamination
 from tenderloom.llm.mixing import OP8_SQL, op8_mixing
+from tenderloom.llm.quality import op6_quality
 from tenderloom.llm.tables import bounded_batches
 from tenderloom.llm.token_counts import op4_token_counts
 from tenderloom.llm.token_files import op9_token_files
+from tenderloom.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     registered = {
+        "op1_toxicity": op1_toxicity,
         "op4_token_counts": op4_token_counts,
+        "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
         "op9_token_files": op9_token_files,

@@ -36,8 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes; single rows stay whole."""
+    values = batch.column(column)
+    if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
+        yield from (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024))
+        return
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pa.compute.binary_length(values).to_pylist()):
         n = n or 0
         if i > start and size + n > limit:
             yield batch.slice(start, i - start)
@@ -49,27 +53,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 def map_column(
     df: DataFrame,
-    column: str,
-    make: Callable[[], Callable[[list], dict[str, Sequence]]],
+    columns: str | Sequence[str],
+    make: Callable[[], Callable[..., dict[str, Sequence]]],
     out: T.StructType,
     carry: Sequence[str],
 ) -> DataFrame:
     """One Arrow pass: ``make()`` runs once per task and returns a function from the values of
-    ``column`` to the columns of ``out``.  ``carry`` columns pass through untouched; a carried
-    column with the name of an output column is replaced by it."""
+    ``columns`` (a list for each) to the columns of ``out``.  ``carry`` columns pass through
+    untouched; a carried column with the name of an output column is replaced by it."""
+    columns = [columns] if isinstance(columns, str) else list(columns)
     names = {f.name for f in out.fields}
-    carry = [c for c in carry if c not in names]
+    carry = [c for c in dict.fromkeys(carry) if c not in names]
+    given = [f"_in{i}" for i in range(len(columns))]
+    # A column that is carried anyway is not sent twice.
+    sources = [c if c in carry else g for c, g in zip(columns, given, strict=True)]
     fields = [df.schema[c] for c in carry]
-    source = "_in"
-    while source in names or source in carry:
-        source = "_" + source
     types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, source):
-                found = work(part.column(source).to_pylist())
+            for part in slices(batch, sources[0]):
+                found = work(*[part.column(c).to_pylist() for c in sources])
                 arrays = [part.column(c) for c in carry]
                 arrays += [
                     v if isinstance(v := found[f.name], pa.Array) else pa.array(v, f.type, from_pandas=False)
@@ -77,10 +82,22 @@ def map_column(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *(f.name for f in types)])
 
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{column}`").alias(source))
+    extra = [F.col(f"`{c}`").alias(s) for c, s in zip(columns, sources, strict=True) if c != s]
+    rows = df.select(*[F.col(f"`{c}`") for c in carry], *extra)
     return rows.mapInArrow(run, T.StructType([*fields, *out.fields]))
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each, so that no result column can clash."""
+    short = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*short.values()), short
+
+
+def named_again(df: DataFrame, short: dict[str, str]) -> DataFrame:
+    """The columns that ``numbered_columns`` renamed, under their own names."""
+    return df.select(*[F.col(s).alias(c) for c, s in short.items()])
+
+
 # A bit map over 64-bit hashes: a superset test of bounded size that spares a shuffle of wide rows.
 
 
