@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -18,7 +19,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Remembered parts and pieces; beyond that a memory starts anew, so a worker's memory is bounded.
-REMEMBER = 400_000
+REMEMBER = 800_000
 
 # The white-space, splitting and lower-casing steps that allow the short way.
 DROPS_BLANKS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -37,9 +38,10 @@ def _byte_characters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """Part to its number; a new part is encoded when first asked for and its ids are kept in arrays."""
+    """Part to its number; a new part is encoded when first asked for (to packed 32-bit ids) and its
+    ids are kept in arrays."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode, self.new = encode, []
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -54,8 +56,8 @@ class _Memory(dict):
         if self.new:
             known = len(self) - len(self.new)
             used = int(self.start[known - 1] + self.length[known - 1]) if known else 0
-            n = np.fromiter(map(len, self.new), np.int64, len(self.new))
-            ids = np.fromiter(chain.from_iterable(self.new), np.uint32, int(n.sum()))
+            n = np.fromiter(map(len, self.new), np.int64, len(self.new)) // 4
+            ids = np.frombuffer(b"".join(self.new), np.uint32)
             for name, extra, at in (("start", used + np.cumsum(n) - n, known), ("length", n, known), ("ids", ids, used)):
                 held = getattr(self, name)
                 if at + len(extra) > len(held):
@@ -83,22 +85,21 @@ class PieceEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.table = _byte_characters()
         self.remember = remember
-        self.known: dict[str, list[int]] = {}  # pieces of plain parts
+        self.known: dict[str, bytes] = {}  # pieces of plain parts
         self.plain = _Memory(self._of_plain)
         self.other = _Memory(self._of_other)
 
-    def _of_plain(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for piece in _PLAIN.findall(part):
-            got = self.known.get(piece)
-            if got is None:
-                shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
-                got = self.known[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-            ids += got
+    def _of_plain(self, part: str) -> bytes:
+        found = [self.known.get(piece) or self._of_piece(piece) for piece in _PLAIN.findall(part)]
+        return found[0] if len(found) == 1 else b"".join(found)
+
+    def _of_piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.table)
+        ids = self.known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return ids
 
-    def _of_other(self, part: str) -> list[int]:
-        return self.tokenizer.encode(part, add_special_tokens=False).ids
+    def _of_other(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _parts(self, text: str) -> tuple[_Memory, list[str]]:
         try:

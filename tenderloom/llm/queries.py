@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm.decontaminate import op7_decontamination
 from tenderloom.llm.mixing import OP8_SQL, op8_mixing
+from tenderloom.llm.prob_minhash import op10_prob_minhash
 from tenderloom.llm.quality import op6_quality
 from tenderloom.llm.tables import bounded_batches
 from tenderloom.llm.token_counts import op4_token_counts
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
         "op9_token_files": op9_token_files,
+        "op10_prob_minhash": op10_prob_minhash,
     }
     return {name: lambda spark, sf, q=q: q(bounded_batches(spark), sf) for name, q in registered.items()}
 
