@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm.decontaminate import op7_decontamination
+from tenderloom.llm.licenses import OP2_SQL, op2_licenses
 from tenderloom.llm.mixing import OP8_SQL, op8_mixing
 from tenderloom.llm.prob_minhash import op10_prob_minhash
 from tenderloom.llm.quality import op6_quality
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     registered = {
         "op1_toxicity": op1_toxicity,
+        "op2_licenses": op2_licenses,
         "op4_token_counts": op4_token_counts,
         "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op2_licenses": OP2_SQL, "op8_mixing": OP8_SQL}
