@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm.decontaminate import op7_decontamination
+from tenderloom.llm.embedding_pairs import op5_cover_tree
 from tenderloom.llm.licenses import OP2_SQL, op2_licenses
 from tenderloom.llm.mixing import OP8_SQL, op8_mixing
+from tenderloom.llm.pii import op3_pii
 from tenderloom.llm.prob_minhash import op10_prob_minhash
 from tenderloom.llm.quality import op6_quality
 from tenderloom.llm.tables import bounded_batches
@@ -23,7 +25,9 @@ def queries() -> dict[str, Query]:
     registered = {
         "op1_toxicity": op1_toxicity,
         "op2_licenses": op2_licenses,
+        "op3_pii": op3_pii,
         "op4_token_counts": op4_token_counts,
+        "op5_cover_tree": op5_cover_tree,
         "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
