@@ -104,7 +104,8 @@ def token_counts(
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs``."""
     listed = fill_cache(docs, tokenizer_path, cache_path, normal)
-    cache = read_cache(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
+    # Written, so that the join below is between two plain shuffles and a hot content can be split.
+    cache = written(read_cache(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path)), "count-cache")
     return listed.join(cache, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content"
     )
