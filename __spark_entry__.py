@@ -25,12 +25,11 @@ from tenderloom.plans import ingest as I  # noqa: E402
 from tenderloom.plans import lots as L  # noqa: E402
 from tenderloom.plans import reports as R  # noqa: E402
 from tenderloom.plans import serving as S  # noqa: E402
-from tenderloom.schemas import district_json_schema  # noqa: E402
 from tenderloom.session import checkpoint_root, use_engine_settings  # noqa: E402
 from tenderloom.sources import announcements as A  # noqa: E402
 from tenderloom.sources import fixtures as X  # noqa: E402
 from tenderloom.sources import notices as N  # noqa: E402
-from tenderloom.sources.sinks import for_each_batch  # noqa: E402
+from tenderloom.sources.sinks import for_each_batch, save_json_by_month, save_notices  # noqa: E402
 from tenderloom.streaming import incremental as Z  # noqa: E402
 
 # The operators for training data and their pipeline are optional; nothing else depends on them.
@@ -110,11 +109,11 @@ def _serving() -> dict[str, Query]:
         quarter = ("quarter",)
         return S.quarter_series(R.outcome_counts(n, quarter, PROVINCE), R.volumes(n, quarter, PROVINCE))
 
-    def notices_page(spark: SparkSession, sf: str) -> DataFrame:
+    def notices_page(spark: SparkSession, sf: str, **period: int) -> DataFrame:
         rows = X.notices(spark, sf).select(
             "id", "scrape_timestamp", "district_code", "catalog", "purchaser", "total_amount"
         )
-        return S.notices_page(rows, page_no=2, page_size=20, year=1997, quarter=2)
+        return S.notices_page(rows, page_no=2, page_size=20, **period)
 
     def with_places(fn: Callable[[DataFrame, DataFrame], DataFrame], grain: str) -> Query:
         return lambda spark, sf: fn(
@@ -154,7 +153,10 @@ def _serving() -> dict[str, Query]:
         "scale_by_grain": _on_notices(
             lambda n: S.scale_by_grain(R.volumes(n, scopes=PROVINCE), (1996, 1997, 1998))
         ),
-        "notices_page": notices_page,
+        "scale_by_grain_all": _on_notices(lambda n: S.scale_by_grain(R.volumes(n, scopes=PROVINCE))),
+        "notices_page": lambda spark, sf: notices_page(spark, sf, year=1997, quarter=2),
+        "notices_page_all": notices_page,
+        "notices_total_all": _on_notices(S.notices_total),
         "notices_total": _on_notices(lambda n: S.notices_total(n, district=CITY, year=1997, month=2)),
         "level_rows": _on_notices(lambda n: S.level_rows(R.district_levels(n))),
         "outcomes_by_year": _on_notices(lambda n: S.outcomes_by_year(R.outcome_counts(n, YEAR, PROVINCE))),
@@ -325,8 +327,7 @@ def _ingest() -> dict[str, Query]:
         return I.run_counters(I.classify_list(fresh).select(status.alias("status")), listed)
 
     def district_documents(df: DataFrame) -> DataFrame:
-        docs = df.select(F.from_json("doc", district_json_schema()).alias("d")).select("d.*")
-        return D.flatten_district_json(docs)
+        return D.flatten_district_json(df)
 
     def retry_list(df: DataFrame) -> DataFrame:
         return I.retry_list(df.filter("year >= 1996"), df.filter("year < 1996").drop("year").distinct())
@@ -480,18 +481,39 @@ def _sources_and_streams() -> dict[str, Query]:
         return Z.cube_of_cells(spark, f"{root}/cells", [], R.volume_measures)
 
     def streamed_unique_events(spark: SparkSession, sf: str) -> DataFrame:
+        # Every event comes twice, in four files without any order of time, one file to a micro-batch.
+        root = run_folder(spark)
+        events = X.table(spark, sf, "events").select("event_id", "event_type")
+        copies = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+        dealt = copies.repartition(4, F.xxhash64("copy", "event_id")).drop("copy")
+        dealt.write.parquet(f"{root}/twice")
+        stream = Z.parquet_stream(spark, f"{root}/twice", files_per_trigger=1)
+        Z.fold_unique(stream, f"{root}/rows", f"{root}/log", "event_id").awaitTermination()
+        return spark.read.parquet(f"{root}/rows").drop("batch", "bucket")
+
+    def stored_notices_page(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{run_folder(spark)}/notices"
+        save_notices(X.notices(spark, sf), path)
+        rows = spark.read.parquet(path)
+        return S.notices_page(rows, page_no=1, page_size=20, year=1997, month=2).select(
+            "id", "scrape_timestamp", "district_code", "purchaser"
+        )
+
+    def json_by_month(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{run_folder(spark)}/json"
+        save_json_by_month(X.notices(spark, sf).select("id", "scrape_timestamp", "purchaser"), path)
+        rows = spark.read.schema("id long, scrape_timestamp long, purchaser string, year int, month int").json(path)
+        return rows.groupBy("year", "month").agg(F.count("*").alias("notices"), F.max("purchaser").alias("last_purchaser"))
+
+    def latest_of_stream(spark: SparkSession, sf: str) -> DataFrame:
         root = run_folder(spark)
-        events = Z.parquet_stream(spark, f"{sf}/[e]vents.parquet")
-        twice = events.select(
-            "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2)))
-        ).drop("col")
-        once = Z.drop_repeats(twice, "event_id").select("event_id", "event_type")
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+            batch.write.mode("overwrite").parquet(f"{root}/latest")
 
-        for_each_batch(once, write, f"{root}/log").awaitTermination()
-        return spark.read.parquet(f"{root}/rows").drop("batch")
+        latest = Z.latest_seen(order_stream(spark, sf))
+        for_each_batch(latest, write, f"{root}/log", mode="complete").awaitTermination()
+        return spark.read.parquet(f"{root}/latest")
 
     def streamed_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
         root = run_folder(spark)
@@ -527,6 +549,9 @@ def _sources_and_streams() -> dict[str, Query]:
         "streamed_volume_cube": streamed_volume_cube,
         "streamed_unique_events": streamed_unique_events,
         "streamed_daily_counts": streamed_daily_counts,
+        "stored_notices_page": stored_notices_page,
+        "json_by_month": json_by_month,
+        "latest_of_stream": latest_of_stream,
         "text_helpers": text_helpers,
     }
 

@@ -284,6 +284,19 @@ SERVING = {
   transactions_volume AS value
   FROM volume WHERE district_code = 0 AND year IN (1996, 1997, 1998) AND NOT (month = 0 AND quarter = 0)""",
     ),
+    "scale_by_grain_all": with_(
+        TABLES,
+        """SELECT year, CASE WHEN day <> 0 THEN 'day' WHEN month <> 0 THEN 'month' ELSE 'quarter' END AS grain,
+  CASE WHEN day <> 0 THEN month ELSE 0 END AS month, CASE WHEN day <> 0 THEN day WHEN month <> 0 THEN month ELSE quarter END AS idx,
+  transactions_volume AS value
+  FROM volume WHERE district_code = 0 AND year <> 10000 AND NOT (month = 0 AND quarter = 0)""",
+    ),
+    "notices_page_all": with_(
+        NOTICE,
+        """SELECT id, epoch_ms(ts) AS scrape_timestamp, district_code, catalog, purchaser, total_amount FROM notice
+  ORDER BY ts, id LIMIT 20 OFFSET 20""",
+    ),
+    "notices_total_all": with_(NOTICE, "SELECT count(*) AS total FROM notice"),
     "notices_page": with_(
         NOTICE,
         """SELECT id, epoch_ms(ts) AS scrape_timestamp, district_code, catalog, purchaser, total_amount FROM notice
@@ -443,7 +456,7 @@ INGEST = {
         """SELECT concat('R', k) AS result_source_article_id,
   CASE WHEN planned THEN concat(CASE WHEN id % 2 = 0 THEN 'P' ELSE 'O' END, k) END AS purchase_source_article_id,
   concat('CODE-', k) AS project_code, is_win_bid, is_termination,
-  CAST(CASE WHEN planned THEN id % 100 + 51 WHEN st = 'F' THEN -2 WHEN st = 'O' THEN -1 ELSE 0 END AS DOUBLE) AS total_budget,
+  CAST(CASE WHEN planned THEN id % 100 + 51 WHEN st IN ('F', 'O') THEN -1 ELSE 0 END AS DOUBLE) AS total_budget,
   CASE WHEN st = 'F' THEN o_totalprice ELSE 0 END AS total_amount,
   CASE WHEN planned OR st = 'F' THEN 2 WHEN st = 'O' THEN 1 ELSE 0 END AS lots,
   CASE WHEN planned THEN concat('甲', k, ',乙', k) WHEN st = 'F' THEN '-,标乙' WHEN st = 'O' THEN '-' ELSE '' END AS names,
@@ -611,7 +624,8 @@ plan AS (SELECT l_orderkey AS id, l_linenumber AS idx, concat('PLAN-', CAST(max(
     "district_documents": """WITH s AS (SELECT s_suppkey AS k, s_suppkey * 10000 + 100000000 AS b FROM supplier),
   r AS (SELECT b AS code, concat('P', CAST(k AS VARCHAR)) AS name, -1 AS parent_code FROM s
     UNION ALL SELECT b + 100, concat('C', CAST(k AS VARCHAR)), b FROM s UNION ALL SELECT b + 199, concat('O', CAST(k AS VARCHAR)), b FROM s
-    UNION ALL SELECT b + 102, concat('L', CAST(k AS VARCHAR)), b + 100 FROM s UNION ALL SELECT b + 103, concat('M', CAST(k AS VARCHAR)), b + 100 FROM s)
+    UNION ALL SELECT b + 102, concat('L', CAST(k AS VARCHAR)), b + 100 FROM s UNION ALL SELECT b + 103, concat('M', CAST(k AS VARCHAR)), b + 100 FROM s
+    UNION ALL SELECT b + 104, concat('T', CAST(k AS VARCHAR)), b + 100 FROM s UNION ALL SELECT b + 105, concat('V', CAST(k AS VARCHAR)), b + 104 FROM s)
   SELECT code, name, concat('FULL-', CAST(code AS VARCHAR)) AS full_name, concat('SHORT-', CAST(code AS VARCHAR)) AS short_name, parent_code,
     CASE WHEN code % 100 IN (0, 99) THEN 2 ELSE 3 END AS type FROM r""",
     "retry_list": """WITH e AS (SELECT DISTINCT concat('R', CAST(l_orderkey AS VARCHAR)) AS article_id, l_returnflag <> 'R' AS is_win,
@@ -651,6 +665,17 @@ OTHER = {
         NOTICE,
         "SELECT strftime(ts, '%Y-%m-%d') AS day, district_code, count(*) AS count FROM notice GROUP BY 1, 2",
     ),
+    "stored_notices_page": with_(
+        NOTICE,
+        """SELECT id, epoch_ms(ts) AS scrape_timestamp, district_code, purchaser FROM notice
+  WHERE ts >= TIMESTAMP '1997-02-01' AND ts < TIMESTAMP '1997-03-01' ORDER BY ts, id LIMIT 20""",
+    ),
+    "json_by_month": with_(
+        NOTICE,
+        """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, count(*) AS notices,
+  max(purchaser) AS last_purchaser FROM notice GROUP BY 1, 2""",
+    ),
+    "latest_of_stream": with_(NOTICE, "SELECT max(epoch_ms(ts)) AS latest_timestamp FROM notice"),
     "text_helpers": r"""SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) AS solid_chars,
   strpos(text, ' ') AS first_blank, coalesce(try_cast(nullif(regexp_extract(text, '^([0-9]+(?:\.[0-9]*)?|\.[0-9]+)', 1), '') AS DOUBLE), 0) AS leading_number,
   text LIKE '%。%' OR text LIKE '%;%' AS has_mark FROM documents""",

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The range used when no year is asked for.
-DEFAULT_BEGIN = date(2021, 1, 1)
-DEFAULT_END = date(2025, 1, 1)
-
-
 def quarter_of_month(month: Column) -> Column:
     return F.floor((month + 2) / 3).cast("int")
 
@@ -25,30 +18,33 @@ def with_calendar(df: DataFrame, ms_col: str = "scrape_timestamp", quarter: bool
     return df.withColumns(parts).drop(ms_col)
 
 
-def period_range(year: int = 0, month: int = 0, day: int = 0, quarter: int = 0) -> tuple[Column, Column]:
-    """Half-open range in epoch milliseconds of a day, month, quarter, year or of everything.
+def period_range(year: int, month: int = 0, day: int = 0, quarter: int = 0) -> tuple[Column, Column]:
+    """Half-open range in epoch milliseconds of a day, month, quarter or year.
 
     Both ends fold to literals, so the filter reaches the scan.
     """
-    if year > 0 and month > 0 and day > 0:
+    if year <= 0:
+        raise ValueError("a period needs a year")
+    if month > 0 and day > 0:
         begin = F.make_date(F.lit(year), F.lit(month), F.lit(day))
         end = F.date_add(begin, 1)
-    elif year > 0 and month > 0:
+    elif month > 0:
         begin = F.make_date(F.lit(year), F.lit(month), F.lit(1))
         end = F.add_months(begin, 1)
-    elif year > 0 and quarter > 0:
+    elif quarter > 0:
         begin = F.make_date(F.lit(year), F.lit(3 * quarter - 2), F.lit(1))
         end = F.add_months(begin, 3)
-    elif year > 0:
+    else:
         begin = F.make_date(F.lit(year), F.lit(1), F.lit(1))
         end = F.add_months(begin, 12)
-    else:
-        begin, end = F.lit(DEFAULT_BEGIN), F.lit(DEFAULT_END)
     return date_to_ms(begin), date_to_ms(end)
 
 
 def in_period(ms: Column | str, year: int = 0, month: int = 0, day: int = 0, quarter: int = 0) -> Column:
+    """Rows of the period; without a year all rows with a time."""
     c = F.col(ms) if isinstance(ms, str) else ms
+    if year <= 0:
+        return c.isNotNull()
     begin, end = period_range(year, month, day, quarter)
     return (c >= begin) & (c < end)
 

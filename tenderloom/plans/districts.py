@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.plans.reports import level_of
+from tenderloom.schemas import DISTRICT_NODE
 
 # Fixed value: name suffix of a city's own office.
 OWN_LEVEL_SUFFIX = "本级"
@@ -21,23 +22,22 @@ def short_place_name(col):
     return F.regexp_replace(col, f"{OWN_LEVEL_SUFFIX}$", "")
 
 
-def flatten_district_json(docs: DataFrame, levels: int = 3) -> DataFrame:
-    """Nested district documents to rows with parent and type, one generation per level."""
+def flatten_district_json(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """Nested district documents (JSON text) to rows with parent and type, of any depth.
+
+    Each generation is parsed from its parents' ``children`` text until none is left; the driver
+    only asks whether there is a next one.
+    """
     fields = ("code", "name", "fullName", "shortName")
-    frames = []
-    nodes = docs.select("*", F.lit(None).cast("string").alias("parent"))
-    for depth in range(levels):
-        frames.append(nodes.select(*fields, "parent"))
-        if depth == levels - 1:
-            break
-        nodes = (
-            nodes.filter(~F.coalesce(F.col("isLeaf"), F.lit(True)))
-            .select(F.col("code").alias("parent"), F.explode("children").alias("child"))
-            .select("child.*", "parent")
+    texts = docs.select(F.col(column).alias("node"), F.lit(None).cast("string").alias("parent"))
+    rows = None
+    while rows is None or not texts.isEmpty():
+        nodes = texts.select(F.from_json("node", DISTRICT_NODE).alias("n"), "parent").select("n.*", "parent")
+        found = nodes.select(*fields, "parent")
+        rows = found if rows is None else rows.unionByName(found)
+        texts = nodes.filter(~F.coalesce(F.col("isLeaf"), F.lit(True))).select(
+            F.explode(F.from_json("children", "array<string>")).alias("node"), F.col("code").alias("parent")
         )
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
     code = F.col("code").try_cast("int")
     return rows.select(
         code.alias("code"),

@@ -368,7 +368,12 @@ def assemble(projects: DataFrame) -> DataFrame:
     once = F.array_distinct(
         F.transform(F.col("bid_items"), lambda x: F.struct(x["index"].alias("i"), x["budget"].alias("b")))
     )
-    computed = F.aggregate(once, F.lit(0.0), lambda acc, x: acc + x["b"])
+    # A lot without a readable budget or price carries -1, which is no money; without any budget the
+    # whole is unassigned.
+    unknown = (F.size(once) > 0) & ~F.exists(once, lambda x: x["b"] >= 0)
+    computed = F.when(unknown, F.lit(BUDGET_UNASSIGNED)).otherwise(
+        F.aggregate(once, F.lit(0.0), lambda acc, x: acc + F.greatest(x["b"], F.lit(0.0)))
+    )
     declared = F.nullif(F.col("p.total_budget"), F.lit(0.0))
     with_budget = with_items.withColumns(
         {
@@ -383,7 +388,8 @@ def assemble(projects: DataFrame) -> DataFrame:
     amount = F.aggregate(
         F.filter(F.col("bid_items"), lambda x: x["is_win"]),
         F.lit(0.0),
-        lambda acc, x: acc + F.when(x["is_percent"], base * x["amount"] * 0.01).otherwise(x["amount"]),
+        lambda acc, x: acc
+        + F.greatest(F.when(x["is_percent"], base * x["amount"] * 0.01).otherwise(x["amount"]), F.lit(0.0)),
     )
     budget_error = (~special) & (F.abs(F.col("_declared") - F.col("_computed")) > BUDGET_TOLERANCE)
     no_place = F.col("district_code").isNull() | (F.col("district_code") == "")
@@ -465,6 +471,34 @@ def retry_list(errors: DataFrame, old: DataFrame) -> DataFrame:
 # --- the job -----------------------------------------------------------------
 
 
+def newest_details(raw_detail: DataFrame) -> DataFrame:
+    """The newest detail row of each article; of equal times the one with the least hash of its content.
+
+    Only (id, time, hash) is aggregated; pages are not moved into the aggregate.  Rows that are
+    equal in all columns may remain, which changes no result.
+    """
+    time = F.coalesce("publishDate", F.lit(0))
+    keyed = raw_detail.withColumns({"_time": -time, "_hash": F.xxhash64(*raw_detail.columns)})
+    best = keyed.groupBy("articleId").agg(F.min(F.struct("_time", "_hash")).alias("_best"))
+    best = best.select(F.col("articleId").alias("_id"), "_best.*").withColumnsRenamed({"_time": "_t", "_hash": "_h"})
+    same = (F.col("articleId") == F.col("_id")) & (F.col("_time") == F.col("_t")) & (F.col("_hash") == F.col("_h"))
+    return keyed.join(best, same, "left_semi").drop("_time", "_hash")
+
+
+def one_per_project(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to store and rows covered by them: one announcement of each project of the run.
+
+    All announcements of a project carry the same links, so the least linked id names it.  The
+    announcement that comes first in its project is stored and covers the others."""
+    project = F.coalesce(F.array_min("result_article_id"), F.col("article_id"))
+    rows = linked.withColumn("_project", project)
+    order = [F.col("start_position"), F.col("scrape_timestamp")]
+    lead = first_per_group(rows, ["_project"], order, ["article_id"]).select(F.col("article_id").alias("_lead"))
+    stored = rows.join(lead, rows["article_id"] == lead["_lead"], "left_semi").drop("_project")
+    covered = rows.join(lead, rows["article_id"] == lead["_lead"], "left_anti").drop("_project")
+    return stored, covered
+
+
 @dataclass(frozen=True)
 class Ingested:
     notices: DataFrame
@@ -478,9 +512,15 @@ def ingest(
     seen: DataFrame | None = None,
     excluded: DataFrame | None = None,
     now_ms: Column | None = None,
+    first_purchase_ms: int = FIRST_USABLE_MS,
 ) -> Ingested:
     """Typed notices of the unseen list rows, with quarantine and per-row status.
 
+    Statuses are "stored", "error" (in the quarantine), "covered" (another announcement of the
+    project was stored in this run) and "candidates" (an error of a notice that only lists winning
+    candidates).  Purchase pages published before ``first_purchase_ms`` are not read, because their
+    layout differs; a project whose purchase pages are all older is stored without one.
+
     The linked projects and the finished records are written once as checkpoints:
     each is read several times, and the pages must be parsed only once.
     """
@@ -488,7 +528,8 @@ def ingest(
     listed = unseen(unseen(flatten_list(raw_list), seen), excluded)
     rest = [c for c in listed.columns if c != "article_id"]
     meta = first_per_group(listed, ["article_id"], [F.col(c) for c in rest], rest)
-    facts = raw_detail.select(
+    details = newest_details(raw_detail)
+    facts = details.select(
         F.col("articleId").alias("article_id"),
         F.col("publishDate").alias("detail_time"),
         F.col("title").alias("detail_title"),
@@ -504,10 +545,9 @@ def ingest(
     early = F.when(F.col("has_detail").isNull(), F.lit("detail: no data")).otherwise(F.col("link_error"))
     linked = own.withColumn("early_error", early).drop("links", "has_detail", "link_error").checkpoint()
 
-    projects = _choose_result(
-        linked.filter(F.col("early_error").isNull()).drop("early_error"), raw_detail, seen
-    )
-    purchases = _choose_purchase(projects, raw_detail)
+    leading, covered = one_per_project(linked.filter(F.col("early_error").isNull()).drop("early_error"))
+    projects = _choose_result(leading, details, seen)
+    purchases = _choose_purchase(projects, details, first_purchase_ms)
     records = assemble(projects.join(purchases, "article_id", "left")).checkpoint()
 
     # Errors of notices that only list winning candidates are not worth a second look.
@@ -523,9 +563,17 @@ def ingest(
         .unionByName(errors(records, "record_error", F.to_json("bid_items")))
     )
     notices = records.filter(F.col("record_error").isNull()).select(*[_notice_column(f) for f in NOTICE_SCHEMA])
-    statuses = notices.select(
-        F.col("result_source_article_id").alias("article_id"), F.lit("stored").alias("status")
-    ).unionByName(rejected.select("article_id", F.lit("error").alias("status")))
+
+    def passed_over(df: DataFrame, error: str) -> DataFrame:
+        return df.filter(F.col(error).isNotNull() & listed_candidates).select("article_id")
+
+    statuses = records.filter(F.col("record_error").isNull()).select("article_id", F.lit("stored").alias("status"))
+    for rows, status in (
+        (rejected.select("article_id"), "error"),
+        (covered.select("article_id"), "covered"),
+        (passed_over(linked, "early_error").unionByName(passed_over(records, "record_error")), "candidates"),
+    ):
+        statuses = statuses.unionByName(rows.withColumn("status", F.lit(status)))
     return Ingested(notices, rejected, statuses)
 
 
@@ -619,12 +667,12 @@ def _choose_result(projects: DataFrame, raw_detail: DataFrame, seen: DataFrame |
     )
 
 
-def _choose_purchase(projects: DataFrame, raw_detail: DataFrame) -> DataFrame:
+def _choose_purchase(projects: DataFrame, raw_detail: DataFrame, first_ms: int) -> DataFrame:
     """(article_id, purchase source, title, facts ``p``) of the last usable purchase page."""
     ids = projects.filter(~F.col("without_items")).select(
         F.col("article_id").alias("project"), F.posexplode("purchase_article_id").alias("pos", "article_id")
     )
-    detail = raw_detail.filter(F.col("publishDate") >= FIRST_USABLE_MS).select(
+    detail = raw_detail.filter(F.col("publishDate") >= first_ms).select(
         F.col("articleId").alias("article_id"), F.col("title").alias("purchase_title"), "content"
     )
     parsed = parse_purchase_pages(ids.join(detail, "article_id"))

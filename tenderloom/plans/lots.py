@@ -39,18 +39,20 @@ def lot_count_mismatch(purchase: DataFrame, result: DataFrame) -> DataFrame:
 def budget_of_lots(lots: DataFrame) -> DataFrame:
     """Total budget per notice, each lot index counted once.
 
-    Lots of one index carry the same budget; where they differ the greatest counts.
+    Lots of one index carry the same budget; where they differ the greatest counts.  An unassigned
+    budget (-1) adds nothing; without any budget the total is unassigned too.
     """
     once = lots.groupBy("id", "index").agg(F.max(as_money("budget")).alias("budget"))
-    return once.groupBy("id").agg(to_double(F.sum("budget")).alias("lot_budget"))
+    known = F.sum(F.when(F.col("budget") >= 0, F.col("budget")))
+    return once.groupBy("id").agg(to_double(F.coalesce(known, F.min("budget"))).alias("lot_budget"))
 
 
 def amount_of_lots(lots: DataFrame) -> DataFrame:
-    """Total won amount per notice; 0 for a notice that is not a win.
+    """Total won amount per notice; 0 for a notice that is not a win.  An unread price (-1) adds nothing.
 
     ``lots`` carries ``is_win_bid`` and ``total_budget`` of its notice.
     """
-    value = lot_value(F.col("amount"), F.col("is_percent"), clamp("total_budget"))
+    value = lot_value(clamp("amount"), F.col("is_percent"), clamp("total_budget"))
     counted = F.sum(F.when(F.col("is_win_bid") & F.col("is_win"), value))
     return lots.groupBy("id").agg(F.coalesce(to_double(counted), F.lit(0.0)).alias("lot_amount"))
 

@@ -73,9 +73,11 @@ def quarter_series(outcomes: DataFrame, volume: DataFrame) -> DataFrame:
     return counts.join(money, ["year", "quarter"], "left").orderBy("year", "quarter")
 
 
-def scale_by_grain(volume: DataFrame, years: Iterable[int] = (2022, 2023, 2024)) -> DataFrame:
-    """Province volume as day, month and quarter series per year."""
-    rows = province_rows(volume).filter(F.col("year").isin(*years))
+def scale_by_grain(volume: DataFrame, years: Iterable[int] | None = None) -> DataFrame:
+    """Province volume as day, month and quarter series per year, of all years unless some are named."""
+    rows = province_rows(volume).filter(F.col("year") != 10000)
+    if years is not None:
+        rows = rows.filter(F.col("year").isin(*years))
     grain = (
         F.when(F.col("day") != 0, "day")
         .when(F.col("month") != 0, "month")
@@ -104,6 +106,13 @@ def _notices_where(
     notices: DataFrame, district: int, year: int, month: int, day: int, quarter: int
 ) -> DataFrame:
     rows = notices.filter(in_period("scrape_timestamp", year, month, day, quarter))
+    # A stored table has year and month folders, which the filter on the time alone would not prune.
+    folders = {"year": year, "month": month if year else 0}
+    for name, value in folders.items():
+        if value and name in notices.columns:
+            rows = rows.filter(F.col(name) == value)
+    if year and quarter and not month and "month" in notices.columns:
+        rows = rows.filter(F.col("month").between(3 * quarter - 2, 3 * quarter))
     return rows.filter(F.col("district_code") == district) if district else rows
 
 

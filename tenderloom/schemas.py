@@ -142,15 +142,14 @@ RAW_DETAIL_SCHEMA = StructType(
 )
 
 
-def district_json_schema(levels: int = 3) -> StructType:
-    """Nested district document: ``levels`` generations of ``children``."""
-    fields = [
+#: A district document; ``children`` keeps the JSON text of the next generation.
+DISTRICT_NODE = StructType(
+    [
         StructField("code", StringType()),
         StructField("name", StringType()),
         StructField("fullName", StringType()),
         StructField("shortName", StringType()),
         StructField("isLeaf", BooleanType()),
+        StructField("children", StringType()),
     ]
-    if levels > 1:
-        fields.append(StructField("children", ArrayType(district_json_schema(levels - 1))))
-    return StructType(fields)
+)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.operators.frames import spread
 from tenderloom.sources.fixtures import notices, table
 
 DAY_MS = 86400000
@@ -108,8 +107,8 @@ def titled_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items for the text forms; one small file is spread over the cores first."""
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Line items for the text forms, dealt anew: the costly text work must not follow the row groups."""
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rows.select(
         "*",
         F.round(F.col("l_discount") * 100).cast("int").alias("off"),
@@ -301,7 +300,7 @@ def notice_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def district_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as three-generation district documents."""
+    """Suppliers as district documents of four generations."""
     base = F.col("s_suppkey") * 10000 + 100000000
 
     def node(code: Column, children: Column | None, name: str) -> Column:
@@ -314,11 +313,20 @@ def district_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
         return F.struct(*fields, *([] if children is None else [children.alias("children")]))
 
-    leaves = F.array(node(base + 102, None, "L"), node(base + 103, None, "M"))
-    city = node(base + 100, leaves, "C")
-    own = node(base + 199, F.filter(leaves, lambda x: F.lit(False)), "O")
-    root = node(base, F.array(city, own), "P")
-    return table(spark, sf_dir, "supplier").select(F.to_json(root).alias("doc"))
+    last = F.array(node(base + 105, None, "V"))
+    # Text, because generations of different depth have different structs.
+    text = F.concat(
+        F.lit("["), F.to_json(node(base + 102, None, "L")), F.lit(","), F.to_json(node(base + 103, None, "M")),
+        F.lit(","), F.to_json(node(base + 104, last, "T")), F.lit("]"),
+    )
+    own = node(base + 199, F.filter(last, lambda x: F.lit(False)), "O")
+
+    def holding(n: Column, children: Column) -> Column:
+        return F.concat(F.regexp_replace(F.to_json(n), '"isLeaf":true}$', '"isLeaf":false,"children":'), children, F.lit("}"))
+
+    city = holding(node(base + 100, None, "C"), text)
+    root = holding(node(base, None, "P"), F.concat(F.lit("["), city, F.lit(","), F.to_json(own), F.lit("]")))
+    return table(spark, sf_dir, "supplier").select(root.alias("doc"))
 
 
 def raw_detail(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,17 +44,24 @@ def read_table(spark: SparkSession, path: str, defaults: dict | None = None) ->
     return from_row_format(spark.read.parquet(path), defaults)
 
 
-def save_notices(notices: DataFrame, path: str) -> None:
-    """Notice table in year and month folders, so that period filters prune files."""
+def by_month(notices: DataFrame, files_per_month: int = 1) -> DataFrame:
+    """Add year and month and bring the rows of a month to at most ``files_per_month`` tasks.
+
+    Raise it with the rows of a month, so that one task holds about one file's worth."""
     ts = F.timestamp_millis("scrape_timestamp")
-    save_table(notices.withColumns({"year": F.year(ts), "month": F.month(ts)}), path, ("year", "month"))
+    part = F.pmod(F.xxhash64("scrape_timestamp"), F.lit(files_per_month))
+    dated = notices.withColumns({"year": F.year(ts), "month": F.month(ts)})
+    return dated.repartition("year", "month", part)
+
+
+def save_notices(notices: DataFrame, path: str, files_per_month: int = 1) -> None:
+    """Notice table in year and month folders, so that period filters prune files."""
+    save_table(by_month(notices, files_per_month), path, ("year", "month"))
 
 
-def save_json_by_month(notices: DataFrame, path: str) -> None:
+def save_json_by_month(notices: DataFrame, path: str, files_per_month: int = 1) -> None:
     """Notices as JSON lines, one folder per month of publication."""
-    ts = F.timestamp_millis("scrape_timestamp")
-    dated = notices.withColumns({"year": F.year(ts), "month": F.month(ts)})
-    dated.write.mode("overwrite").partitionBy("year", "month").json(path)
+    by_month(notices, files_per_month).write.mode("overwrite").partitionBy("year", "month").json(path)
 
 
 def show(df: DataFrame, rows: int = 25, truncate: bool = False) -> None:

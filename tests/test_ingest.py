@@ -123,9 +123,9 @@ def test_job(spark):
     assert switched.result_article_id == ["sw", "gone", "sw2"] and len(switched.bid_items) == 3
 
     alone = notices["nolink"]
-    # A price that is not understood becomes -1 and is summed as such; budgets stay unassigned.
+    # A price that is not understood becomes -1 in its lot and adds nothing; no budget is known.
     assert alone.bid_items[0].amount == -1.0 and alone.district_code == "450102"
-    assert (alone.total_budget, alone.total_amount, alone.tender_duration) == (-2.0, -1.0, -1)
+    assert (alone.total_budget, alone.total_amount, alone.tender_duration) == (-1.0, 0.0, -1)
     assert alone.result_article_id == ["nolink"] and alone.result_publish_date == [T0]
 
     assert errors == {
@@ -139,6 +139,36 @@ def test_job(spark):
     assert counts == {"stored": 6, "error": 4, "planned": 13, "actual": 10, "remaining": 3}
 
 
+PROJECT = [link(1, "p1", "采购公告"), link(2, "r1", "结果公告"), link(3, "r2", "结果公告")]
+
+
+def stored(notices):
+    return sorted((r.result_source_article_id, r.total_amount, tuple(r.result_article_id)) for r in notices.values())
+
+
+def test_one_record_per_project_in_one_run_or_two(spark):
+    lists = [listed("r2", "中标公告"), listed("r1", "中标公告")]
+    details = [detail("p1", purchase_page(total=100), type_=1), detail("r1", win_page(), PROJECT), detail("r2", win_page(), PROJECT)]
+    done, both, _ = run(spark, lists, details)
+    assert len(both) == 1
+    assert {(r.article_id, r.status) for r in done.statuses.collect()} == {("r1", "stored"), ("r2", "covered")}
+    first, once, _ = run(spark, lists[1:], details)
+    _, later, _ = run(spark, lists[:1], details, seen=I.registered_ids(first.notices))
+    assert stored(once) == stored(both) and not later
+
+
+def test_order_of_repeated_details_does_not_matter(spark):
+    old, new = win_page("报价:40(元)"), win_page("报价:70(元)")
+    pages = [
+        detail("p1", purchase_page(total=100), type_=1),
+        detail("r1", old, PROJECT[:2], time=T0 - DAY),
+        detail("r1", new, PROJECT[:2], time=T0),
+        detail("r1", old.replace("某局", "他局"), PROJECT[:2], time=T0),
+    ]
+    found = {str(stored(run(spark, [listed("r1", "中标公告")], [pages[i] for i in order])[1])) for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1))}
+    assert len(found) == 1
+
+
 def test_registered_ids_cover_every_result(spark):
     df = spark.createDataFrame([("a", ["a", "b"]), (None, None), ("c", None)], "result_source_article_id string, result_article_id array<string>")
     assert {r.article_id for r in I.registered_ids(df).collect()} == {"a", "b", "c"}

@@ -9,7 +9,7 @@ from tenderloom.functions import calendar, labels
 from tenderloom.operators import frames, ranking, tables
 from tenderloom.plans import districts as D
 from tenderloom.plans import serving as S
-from tenderloom.schemas import DISTRICT_SCHEMA, NOTICE_SCHEMA, district_json_schema
+from tenderloom.schemas import DISTRICT_SCHEMA, NOTICE_SCHEMA
 from tenderloom.sources import kafka, notices, sinks
 
 PLACES = [
@@ -88,7 +88,6 @@ def test_method_total_does_not_change_the_first_year(spark):
         ({"year": 2023, "quarter": 1}, (2023, 1, 1), (2023, 4, 1)),
         ({"year": 2023, "quarter": 4}, (2023, 10, 1), (2024, 1, 1)),
         ({"year": 2023}, (2023, 1, 1), (2024, 1, 1)),
-        ({}, (2021, 1, 1), (2025, 1, 1)),
     ],
 )
 def test_periods_are_half_open(spark, period, first, last):
@@ -97,6 +96,30 @@ def test_periods_are_half_open(spark, period, first, last):
     assert (row.b, row.e) == (ms(*first), ms(*last))
 
 
+def test_no_year_means_every_row(spark):
+    rows = [(1, ms(1999, 5, 1), 1), (2, ms(2022, 1, 1), 1), (3, ms(2026, 1, 1), 2), (4, None, 1)]
+    notices = spark.createDataFrame(rows, "id long, scrape_timestamp long, district_code int")
+    assert S.notices_total(notices).first().total == 3
+    assert S.notices_total(notices, district=1).first().total == 2
+    with pytest.raises(ValueError):
+        calendar.period_range(0, month=3)
+
+
+def test_period_prunes_folders_of_the_stored_table(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    days = spark.range(400).select("id", (F.lit(ms(2022, 1, 1)) + F.col("id") * 86400000).alias("scrape_timestamp"), F.lit(1).alias("district_code"))
+    sinks.save_notices(days, path)
+    stored = spark.read.parquet(path)
+    for period, n, mark in (({"year": 2022, "month": 2}, 28, "month"), ({"year": 2022, "quarter": 2}, 91, "month"), ({"year": 2023}, 35, "year")):
+        rows = S.notices_total(stored, **period)
+        assert rows.first().total == n
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+        assert mark in filters
+    files = [f for f in (tmp_path / "stored").rglob("part-*.parquet")]
+    assert len(files) == 14  # one for each month
+
+
 def test_period_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "n")
     df = spark.range(100).select(F.col("id"), (F.lit(ms(2023, 1, 1)) + F.col("id") * 86400000).alias("scrape_timestamp"), F.lit(1).alias("district_code"))
@@ -127,12 +150,13 @@ def test_tree_and_look_ups(places):
 def test_district_documents(spark):
     doc = (
         '{"code":"450000","name":"省","fullName":"省","shortName":"省","isLeaf":false,"children":['
-        '{"code":"450100","name":"甲","fullName":"甲","shortName":"甲","isLeaf":false,"children":[{"code":"450199","name":"乙","isLeaf":true}]},'
+        '{"code":"450100","name":"甲","fullName":"甲","shortName":"甲","isLeaf":false,"children":[{"code":"450199","name":"乙","isLeaf":false,'
+        '"children":[{"code":"450198","name":"丙","isLeaf":true}]}]},'
         '{"code":"459900","name":"级","isLeaf":true,"children":null}]}'
     )
-    docs = spark.createDataFrame([(doc,)], "doc string").select(F.from_json("doc", district_json_schema()).alias("d")).select("d.*")
+    docs = spark.createDataFrame([(doc,)], "doc string")
     got = {r.code: (r.parent_code, r.type) for r in D.flatten_district_json(docs).collect()}
-    assert got == {450000: (-1, 1), 450100: (450000, 2), 450199: (450100, 2), 459900: (450000, 1)}
+    assert got == {450000: (-1, 1), 450100: (450000, 2), 450199: (450100, 2), 450198: (450199, 3), 459900: (450000, 1)}
 
 
 def test_month_scaffold_stays_in_range(spark):

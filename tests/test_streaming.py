@@ -45,16 +45,22 @@ def test_fold_equals_batch_and_survives_a_replay(spark, notices_path, tmp_path):
     assert same(Z.cube_of_cells(spark, str(tmp_path / "compact"), [], R.volume_measures), whole)
 
 
-def test_repeats_are_dropped_in_the_stream(spark, notices_path, tmp_path):
-    stream = Z.parquet_stream(spark, notices_path).withColumn("ts", F.timestamp_millis("scrape_timestamp"))
-    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    query = (
-        Z.drop_repeats(twice, "article_id", delay="500 days")
-        .writeStream.format("memory").queryName("once").trigger(availableNow=True)
-        .option("checkpointLocation", str(tmp_path / "log")).start()
-    )
-    query.awaitTermination()
-    assert spark.table("once").count() == 600
+def test_repeats_are_dropped_for_ever(spark, tmp_path):
+    """Ids far behind in time and repeats in later batches; a replayed batch changes nothing."""
+    source, rows, log = (str(tmp_path / x) for x in ("in", "rows", "log"))
+    batches = [[(1, 500), (2, 10), (2, 10)], [(3, 1), (1, 900)], [(2, 2000), (4, 0), (3, 1)]]
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, "id long, time long").coalesce(1).write.mode("append").parquet(source)
+        stream = Z.parquet_stream(spark, source)
+        Z.fold_unique(stream, rows, log, "id", buckets=2).awaitTermination()
+        assert len(spark.read.parquet(rows).select("batch").distinct().collect()) == n + 1
+    assert sorted((r.id, r.time) for r in spark.read.parquet(rows).collect()) == [(1, 500), (2, 10), (3, 1), (4, 0)]
+
+    commits = tmp_path / "log" / "commits"
+    (commits / "2").unlink()
+    (commits / ".2.crc").unlink(missing_ok=True)
+    Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id", buckets=2).awaitTermination()
+    assert sorted((r.id, r.time) for r in spark.read.parquet(rows).collect()) == [(1, 500), (2, 10), (3, 1), (4, 0)]
 
 
 def test_complete_mode_counts_and_latest(spark, notices_path, tmp_path):
