@@ -20,6 +20,7 @@ import numpy as np
 
 _SLACK = 1e-9
 _STRIP = 1024
+_PAIRS = 1 << 16
 
 
 @dataclass
@@ -57,14 +58,17 @@ class CoverTree:
             level = 2.0
             while level >= radius:  # levels that cover the node in one child
                 level /= 2
-            left, c, groups = order[first:last], centre, []
-            while len(left):
-                dist = chord(c, left)
-                near = dist <= level
+            left, c, groups = order[first:last].copy(), centre, []
+            there, x = np.ones(len(left), bool), points[left]
+            while c >= 0:
+                near = there & (2 - 2 * (x @ points[c]) <= level * level)
                 near[left == c] = True
-                groups.append((c, left[near], dist[near]))
-                left = left[~near]
-                c = int(left[0]) if len(left) else -1
+                groups.append((c, left[near], chord(c, left[near])))
+                there &= ~near
+                if 2 * there.sum() < len(left):
+                    left, x = left[there], x[there]
+                    there = np.ones(len(left), bool)
+                c = int(left[there.argmax()]) if there.any() else -1
             nodes[at][4:] = len(nodes), len(groups)
             for c, idx, dist in groups:
                 order[first : first + len(idx)] = idx
@@ -84,8 +88,16 @@ class CoverTree:
         return np.repeat(start - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
 
 
-def _close(a: CoverTree, s: np.ndarray, b: CoverTree, t: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes that the covering bound leaves, and the chord between their centres."""
+def _chords(a: CoverTree, p: np.ndarray, b: CoverTree, q: np.ndarray) -> np.ndarray:
+    out = np.empty(len(p))
+    for k in range(0, len(p), _PAIRS):
+        gap = a.points[a.centre[p[k : k + _PAIRS]]] - b.points[b.centre[q[k : k + _PAIRS]]]
+        out[k : k + _PAIRS] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _close(a: CoverTree, s: np.ndarray, b: CoverTree, t: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two sets of nodes that a matrix of cosines does not rule out by the covering bound."""
     found = []
     # Points without extent are most of the nodes; apart from the others their bound is tighter.
     for leaf_s in (True, False):
@@ -94,21 +106,29 @@ def _close(a: CoverTree, s: np.ndarray, b: CoverTree, t: np.ndarray, limit: floa
             if not len(p) or not len(q):
                 continue
             y = b.points[b.centre[q]].astype(np.float32)
-            reach = limit + a.radius[p].max() + b.radius[q].max()
-            least = 1 - min(reach, 2.0) ** 2 / 2 - 1e-4  # float32 only for the first sieve
             for k in range(0, len(p), _STRIP):
                 x = a.points[a.centre[p[k : k + _STRIP]]].astype(np.float32)
+                reach = np.float32(limit)
+                if not (leaf_s and leaf_t):
+                    reach = reach + a.radius[p[k : k + _STRIP], None].astype(np.float32) + b.radius[q].astype(np.float32)
+                least = 1 - np.minimum(reach, 2) ** 2 / 2 - np.float32(1e-4)  # float32 only for the first sieve
                 i, j = np.nonzero(x @ y.T >= least)
                 found.append((p[k + i], q[j]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-    chord = np.empty(len(p))
-    for k in range(0, len(p), 1 << 16):
-        gap = a.points[a.centre[p[k : k + (1 << 16)]]] - b.points[b.centre[q[k : k + (1 << 16)]]]
-        chord[k : k + (1 << 16)] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-    keep = chord <= a.radius[p] + b.radius[q] + limit + _SLACK
-    return p[keep], q[keep], chord[keep]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
+
+
+def _split(tree: CoverTree, nodes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's children, with the other node of the pair repeated for them."""
+    return tree.below(nodes), np.repeat(other, np.maximum(tree.children[nodes], 1))
+
+
+def _narrow(tree: CoverTree, nodes: np.ndarray, limit: float) -> np.ndarray:
+    """The nodes with those split whose radius is so large that no pair of such nodes can be pruned."""
+    while (tree.radius[nodes] > (2 - limit) / 2).any():
+        wide = tree.radius[nodes] > (2 - limit) / 2
+        nodes = np.concatenate((nodes[~wide], tree.below(nodes[wide])))
+    return nodes
 
 
 def linked_nodes(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -117,34 +137,44 @@ def linked_nodes(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple
     ``same``: both are one tree; each unordered pair is then found once, and a node paired with
     itself stands for the pairs inside it."""
     limit = float(np.sqrt(2 - 2 * cosine))
+    none = np.zeros(0, np.int64)
+    if not len(a.centre) or not len(b.centre):
+        return none, none
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    root = np.zeros(min(len(a.centre), len(b.centre), 1), np.int64)
-    todo = [(root, root, same)] if len(root) else []
-    while todo:
-        s, t, own = todo.pop()
-        p, q, chord = _close(a, s, b, t, limit)
-        if own:
-            once = p <= q
-            p, q, chord = p[once], q[once], chord[once]
+    root = np.zeros(1, np.int64)
+    wide = [(_narrow(a, root, limit), _narrow(b, root, limit), same)]  # sets of nodes, all against all
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    while wide or pairs:
+        if pairs:
+            p, q = pairs.pop()
+            own = False
+            if len(p) > _PAIRS:
+                pairs.append((p[_PAIRS:], q[_PAIRS:]))
+                p, q = p[:_PAIRS], q[:_PAIRS]
+        else:
+            s, t, own = wide.pop()
+            p, q = _close(a, s, b, t, limit)
+            if own:
+                p, q = p[p <= q], q[p <= q]
+        chord = _chords(a, p, b, q)
         both = (p == q) if own else np.zeros(len(p), bool)
         span = np.where(both, 2 * a.radius[p], chord + a.radius[p] + b.radius[q])
+        keep = chord <= a.radius[p] + b.radius[q] + limit + _SLACK
         points = (a.radius[p] == 0) & (b.radius[q] == 0)
-        exact = np.einsum("ij,ij->i", a.points[a.centre[p[points]]], b.points[b.centre[q[points]]]) >= cosine
         whole = span <= limit - _SLACK
+        exact = np.einsum("ij,ij->i", a.points[a.centre[p[points]]], b.points[b.centre[q[points]]]) >= cosine
         whole[points] = exact | both[points]
         out.append((p[whole], q[whole]))
-        rest = ~whole & ~points
+        rest = keep & ~whole & ~points
         for x in p[rest & both].tolist():
             inner = a.below(np.array([x]))
-            todo.append((inner, inner, True))
-        mixed = rest & ~both
-        order = np.argsort(p[mixed], kind="stable")
-        p, q = p[mixed][order], q[mixed][order]
-        for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1):
-            if len(part):
-                todo.append((a.below(p[part[:1]]), b.below(q[part]), False))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            wide.append((inner, inner, True))
+        p, q = p[rest & ~both], q[rest & ~both]
+        larger = a.radius[p] >= b.radius[q]
+        if larger.any():
+            pairs.append(_split(a, p[larger], q[larger]))
+        if not larger.all():
+            pairs.append(_split(b, q[~larger], p[~larger])[::-1])
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
