@@ -12,10 +12,10 @@ which is the Jaccard similarity where all weights are equal.  Texts that share a
 signature are candidates, and J of candidates is computed exactly from the shingles.
 
 Documents with equal words are one node from the start.  In each bucket the members are
-verified against the bucket's least node.  1 - J is a metric, so a member that is farther from
-the leader than the linked members' distances allow cannot link to them.  The pairs
-that remain, and only those between different components, are compared by signature in blocks
-of bounded size and verified too.  No bucket is capped, gathered whole or expanded into pairs.
+verified against a few leaders, and the links found make components.  Buckets that still hold
+several components are compared pair by pair across components, by a longer signature and in blocks of
+bounded size, and what may be similar is verified too.  No bucket is capped or gathered whole,
+and pairs inside a component are never formed.
 
 Defined results: null and empty texts have no shingles and form one class of copies; a null id
 takes part by its text (a class of null ids only has a null class id); rows equal in id and
@@ -43,6 +43,21 @@ BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: A pair of similarity SIMILARITY agrees in fewer slots than this once in some millions (five deviations).
 LEAST_AGREE = int(SLOTS * SIMILARITY - 5 * (SLOTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Leaders of a bucket that its members are verified against.
+LEADERS = 3
+#: Slots (of one byte) of the fine signature, and how many of them are compared first.
+FINE, SIEVE = 2048, 256
+
+
+def _least_agree(slots: int) -> int:
+    """Fewer bytes than this agree for a pair of similarity SIMILARITY once in some millions."""
+    share = SIMILARITY + (1 - SIMILARITY) / 256
+    return int(slots * share - 5 * (slots * share * (1 - share)) ** 0.5)
+
+
+LEAST_FINE, LEAST_SIEVE = _least_agree(FINE), _least_agree(SIEVE)
+#: Rows that small buckets share a task's group with.
+GROUP = 4000
 #: Rows of a block when buckets are compared pair by pair.
 BLOCK = 512
 
@@ -135,20 +150,25 @@ def _agreement(a: str, b: str):
     return count(F.col(a), F.col(b))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``pairs`` (a, b) with their exact similarity.
+def _texts_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text) of distinct ``nodes``.
 
-    Only documents that stand for a node of a pair have their texts moved; a bit map of fixed
+    Only documents that stand for one of the nodes have their texts moved; a bit map of fixed
     size leaves out the others before the shuffle and the join then is exact."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(needed.join(firsts, "node").select("node", "first.*"), "near-wanted")
+    wanted = written(nodes.join(firsts, "node").select("node", "first.*"), "near-wanted")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("content", F.xxhash64("text"))
     row_hash = F.xxhash64("doc_id", "content")
     bits = written(bit_map(wanted.select(row_hash.alias("h"))), "near-bits")
     likely = with_bit(rows, row_hash, bits, "likely").filter("likely").select("doc_id", "content", "text")
     w = wanted.withColumnsRenamed({"doc_id": "w_id", "content": "w_content"})
-    texts = likely.join(w, F.expr("content = w_content and doc_id <=> w_id")).dropDuplicates(["node"])
+    texts = likely.join(w, F.expr("content = w_content and doc_id <=> w_id"))
+    return texts.select("node", "text").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, texts_of) -> DataFrame:
+    """The ``pairs`` (a, b) that are similar, by the exact similarity of their shingles."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def make():
         def work(found: list[str]) -> dict[str, list]:
@@ -161,7 +181,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: str,
 
         return work
 
-    sets = written(map_column(texts, "text", make, SHINGLED, ["node"]), "near-shingles")
+    sets = written(map_column(texts_of(needed), "text", make, SHINGLED, ["node"]), "near-shingles")
 
     @F.pandas_udf(T.DoubleType())
     def similarity(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
@@ -175,38 +195,62 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: str,
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", similarity("sa", "ca", "sb", "cb").alias("similarity"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("sa", "ca", "sb", "cb").alias("similarity"))
+    return written(found.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of a bucket and of different components whose signatures agree enough.
+def _leader_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each member with the leaders of its bucket, where the signatures agree enough.
 
-    ``members``: key, node, component, signature, agree (slots shared with the leader), near
-    (distance to the leader where linked to it).  Linked members need no test among themselves.
-    The others are compared with one another, and those within reach of a linked member with
-    the linked ones; both sides are cut into blocks, and a task holds two blocks at a time."""
-    reach = members.groupBy("key").agg(
-        F.max("near").alias("reach"),
-        F.min("component").alias("least"),
-        F.max("component").alias("most"),
+    A leader is the least of a bucket by a seeded hash; several seeds give members that sit at
+    the rim of a family more than one chance."""
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(LEADERS)]
+    leaders = members.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    pairs = members.join(leaders, "key").select("node", F.explode("leaders").alias("leader")).filter("node != leader")
+    pairs = pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a").join(
+        nodes.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b"
     )
-    open_rows = members.join(reach.filter("least != most"), "key")
-    linked = F.col("near").isNotNull()
-    within = F.col("agree") >= F.lit(LEAST_AGREE) - F.lit(float(SLOTS)) * F.col("reach")
-    sides = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), is_in.alias("is_in"))
-            for kind, side, is_in in (
-                (0, 0, ~linked), (0, 1, ~linked), (1, 0, ~linked & within), (1, 1, linked),
-            )
-        ]
-    )
-    rows = open_rows.select("key", "node", "component", "signature", F.inline(sides)).filter("is_in").drop("is_in")
+    return written(both.filter(_agreement("s", "t") >= LEAST_AGREE).select("a", "b"), "near-pairs")
+
+
+def _cross_pairs(members: DataFrame, known: DataFrame, texts_of) -> DataFrame:
+    """(a, b) of one bucket and of different components whose fine signatures agree enough.
+
+    Members of a bucket's largest component are not compared with one another.  The others are
+    compared with one another and with that component; both sides are cut into blocks, and a
+    task holds two blocks at a time."""
+    placed = members.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "near-placed")
+    per_bucket = (
+        placed.groupBy("key", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
+        .filter("k > 1")
+    )
+    rows = written(
+        placed.join(per_bucket.select("key", "main"), "key").select(
+            "key", "node", "component", (F.col("component") == F.col("main")).alias("is_main")
+        ),
+        "near-open",
+    )
+
+    def make():
+        def work(found: list[str]) -> dict[str, list]:
+            fine = signatures(*shingle_sets([normal(t) for t in found]), FINE).astype(np.uint8)
+            return {"fine": [f.tobytes() for f in fine]}
+
+        return work
+
+    shape = T.StructType([T.StructField("fine", T.BinaryType())])
+    fine = written(map_column(texts_of(rows.select("node").distinct()), "text", make, shape, ["node"]), "near-fine")
+    sides = F.when(F.col("is_main"), F.array(F.struct(F.lit(1).alias("kind"), F.lit(1).alias("side")))).otherwise(
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side")) for k, s in ((0, 0), (0, 1), (1, 0))])
+    )
+    rows = rows.select("key", "node", "component", F.inline(sides))
     sizes = rows.groupBy("key", "kind").agg(
-        *[
-            F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}")
-            for s in (0, 1)
-        ]
+        *[F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)]
     )
     rows = rows.join(sizes.filter("blocks0 > 0 and blocks1 > 0"), ["key", "kind"])
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1")))
@@ -215,22 +259,38 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("p", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn(
         "q", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
     )
-    # Of two equal sides, one order of the blocks is enough.
-    rows = rows.filter("kind = 1 or p <= q").select("key", "kind", "p", "q", "side", "node", "component", "signature")
+    # Of two equal sides one order of the blocks is enough, and a block against itself is sent once.
+    rows = rows.filter("kind = 1 or p < q or (p = q and side = 0)")
+    # Buckets of one block share a task's group with others, the rest have one for each pair of blocks.
+    n = rows.count()
+    small = (F.col("blocks0") == 1) & (F.col("blocks1") == 1)
+    together = F.when(small, F.pmod(F.col("key"), F.lit(n // GROUP + 1))).otherwise(F.col("key"))
+    rows = rows.withColumn("together", together).withColumn("small", small).join(fine, "node")
+    rows = rows.select("together", "small", "key", "kind", "p", "q", "side", "node", "component", "fine")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [group[group["side"] == s] for s in (0, 1)]
-        sig = [np.frombuffer(b"".join(p["signature"]), "<u4").reshape(len(p), SLOTS) for p in parts]
-        comp = [p["component"].to_numpy() for p in parts]
-        node = [p["node"].to_numpy() for p in parts]
-        found = []
-        for i in range(len(parts[0])):
-            agree = (sig[1] == sig[0][i]).sum(axis=1)
-            for j in np.flatnonzero((agree >= LEAST_AGREE) & (comp[1] != comp[0][i])):
-                found.append((max(node[0][i], node[1][j]), min(node[0][i], node[1][j])))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.groupBy("key", "kind", "p", "q").applyInPandas(compare, "a binary, b binary").distinct()
+        group = group.sort_values(["key", "kind", "p", "q", "side"], kind="stable")
+        sig = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(len(group), FINE)
+        place = group[["key", "kind", "p", "q"]].to_numpy()
+        component = pd.factorize(group["component"])[0]
+        node, side = group["node"].to_numpy(), group["side"].to_numpy()
+        edge = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        found = set()
+        for first, last in zip([0, *edge.tolist()], [*edge.tolist(), len(group)], strict=True):
+            middle = first + int((side[first:last] == 0).sum())
+            itself = middle == last
+            for i in range(first, middle):
+                j = np.arange(i + 1 if itself else middle, last)
+                j = j[component[j] != component[i]]
+                j = j[(sig[j, :SIEVE] == sig[i, :SIEVE]).sum(axis=1) >= LEAST_SIEVE]
+                j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_FINE]
+                found.update((max(node[i], node[k]), min(node[i], node[k])) for k in j.tolist())
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    keys = ["small", "together", F.when(F.col("small"), 0).otherwise(F.col("kind"))]
+    keys += [F.when(F.col("small"), 0).otherwise(F.col(c)) for c in ("p", "q")]
+    pairs = rows.groupBy(*keys).applyInPandas(compare, "a binary, b binary")
+    return written(pairs.distinct(), "near-cross")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,51 +304,24 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     key = [F.xxhash64(F.lit(b), F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]
     bands = firsts.select("node", F.explode(F.array(*key)).alias("key"))
-    shared = written(
-        bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"),
-        "near-buckets",
-    )
+    shared = written(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-buckets")
     bits = written(bit_map(shared.select(F.col("key").alias("h"))), "near-bucket-bits")
     likely = with_bit(bands, F.col("key"), bits, "likely").filter("likely").select("key", "node")
     members = written(likely.join(shared, "key"), "near-members")
 
-    nodes = firsts.select("node", "signature")
-    pairs = members.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    agreed = written(
-        pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a")
-        .join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b")
-        .select("a", "b", _agreement("s", "t").alias("agree")),
-        "near-agreed",
-    )
-    likely_pairs = agreed.filter(F.col("agree") >= LEAST_AGREE).select("a", "b")
-    first_links = written(_verified(likely_pairs, firsts, docs, doc_id, text).filter(F.col("similarity") >= SIMILARITY), "near-links")
-    known = components(first_links.select("a", "b"))
-
-    placed = (
-        members.join(agreed.withColumnsRenamed({"a": "node", "b": "leader"}), ["node", "leader"], "left")
-        .join(first_links.withColumnsRenamed({"a": "node", "b": "leader"}), ["node", "leader"], "left")
-        .join(written(known, "near-known"), "node", "left")
-        .join(nodes, "node")
-    )
-    placed = placed.select(
-        "key",
-        "node",
-        F.coalesce("component", "node").alias("component"),
-        "signature",
-        F.coalesce("agree", F.lit(SLOTS)).alias("agree"),
-        F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")).alias("near"),
-    )
-    more = written(_cross_pairs(written(placed, "near-placed")), "near-more")
-    links = first_links.select("a", "b")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return _texts_of(nodes, firsts, docs, doc_id, text)
+
+    links = _verified(_leader_pairs(members, firsts.select("node", "signature")), texts_of)
+    known = written(components(links), "near-known")
+    more = _cross_pairs(members, known, texts_of)
     if not more.isEmpty():
-        second = _verified(more, firsts, docs, doc_id, text).filter(F.col("similarity") >= SIMILARITY)
-        links = links.unionByName(written(second, "near-more-links").select("a", "b"))
-        known = components(links)
+        known = components(links.unionByName(_verified(more, texts_of)))
     rows = signed.select("doc_id", "content", "node").distinct().join(known, "node", "left")
     rows = written(rows.withColumn("component", F.coalesce("component", "node")), "near-rows")
-    chosen = rows.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "content")).alias("best"), F.count("*").alias("class_size")
-    )
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "content")).alias("best")
+    # Written, so that the join below is between two plain shuffles and a large class can be split.
+    chosen = written(rows.groupBy("component").agg(best, F.count("*").alias("class_size")), "near-chosen")
     return rows.join(chosen, "component").select(
         "doc_id",
         F.col("best.doc_id").alias("class_id"),
