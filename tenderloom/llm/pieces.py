@@ -19,8 +19,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Remembered parts and pieces; beyond that a memory starts anew, so a worker's memory is bounded
-#: (about 350 MB at this many).
-REMEMBER = 800_000
+#: (about 260 MB at this many).
+REMEMBER = 600_000
 
 # The white-space, splitting and lower-casing steps that allow the short way.
 DROPS_BLANKS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
