@@ -58,10 +58,11 @@ def automaton(items: Iterable[tuple[object, str | None]], window: int = WINDOW)
     """Keys are windows between blanks, one character per byte; values are (words, item ids)."""
     owners: dict[str, tuple[int, set[str]]] = {}
     for item_id, text in items:
-        words = normal_bytes(text).decode("latin-1").split()
+        words = normal_bytes(text).split()  # as bytes: str.split() takes 85 and A0 for blanks
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
-            owners.setdefault(" " + " ".join(words[i : i + n]) + " ", (n, set()))[1].add(str(item_id))
+            key = (b" " + b" ".join(words[i : i + n]) + b" ").decode("latin-1")
+            owners.setdefault(key, (n, set()))[1].add(str(item_id))
     found = ahocorasick.Automaton()
     for key, value in owners.items():
         found.add_word(key, value)

@@ -92,6 +92,23 @@ def test_random_texts(spark):
         assert (len(marked), int(marked.sum()), len(owners)) == want[1:4]
 
 
+def test_words_with_bytes_85_and_a0():
+    rng = random.Random(7)
+    vocabulary = ["à", "Å", "Рим", "хор", "学校", "Dà", "a\u0085b", "c\u00a0d", "е\u0305", "b"]
+    make = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
+    items = [(i, make(rng.randint(1, 12))) for i in range(40)]
+    items += [(100, "il va à la gare avec son ami Åke et la Рыба"), (101, "我们 学校 校长"), (102, "à")]
+    docs = [(i, make(rng.randint(0, 120)) + rng.choice(items)[1]) for i in range(40)]
+    docs += [(i, f"so, {t} end") for i, t in items]
+    machine = decontaminate.automaton(items)
+    for (_, text), want in zip(docs, brute(docs, items), strict=True):
+        marked, owners = decontaminate.scan_text(machine, text)
+        ids = hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest()
+        assert (len(marked), int(marked.sum()), len(owners), ids) == want[1:5]
+    for _, text in docs[40:]:
+        assert decontaminate.scan_text(machine, text)[0].any()
+
+
 def test_empty_tables(tables, spark):
     docs, items = tables
     assert decontaminate.scan(docs.limit(0), items, ["doc_id"]).count() == 0
