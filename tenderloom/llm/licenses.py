@@ -59,12 +59,12 @@ OTHER = "[^a-z0-9]+"
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    Only sentences of a length that some known sentence could have are normalised."""
-    longest = 2 * max(map(len, SENTENCES)) + 64
+    Only sentences at least as long as the shortest known one are normalised; blanks and marks between
+    words may make a sentence of any length a known one."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     sentences = F.filter(
         F.split(F.coalesce(text, F.lit("")), BREAK),
-        lambda s: (F.length(s) <= longest) & (F.length(s) >= min(map(len, SENTENCES))),
+        lambda s: F.length(s) >= min(map(len, SENTENCES)),
     )
     found = F.transform(
         sentences, lambda s: F.element_at(known, F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))

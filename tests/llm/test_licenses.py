@@ -29,3 +29,10 @@ def test_scan(spark):
     }
     assert licenses.license_scan(docs).count() == len(rows)
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def test_padded_sentences(spark):
+    texts = ["/" + "*" * 400 + " All rights reserved " + "*" * 400 + "/", "Released" + " " * 3000 + "under the MIT --- License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(docs).collect()}
+    assert got == {0: "All-Rights-Reserved", 1: "MIT"}
