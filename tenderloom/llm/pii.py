@@ -8,9 +8,10 @@ Base spans, leftmost and non-overlapping for each kind, matches that fail their
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 The field is trained from a small labelled table and adds spans the patterns cannot see, such
-as phone numbers without a plus sign or addresses with a spelled-out at-sign.  A label other than
-"none" needs a digit or an at-sign nearby, so only windows of ``AROUND`` words around those are
-decoded.  Runs of a label are trimmed to word characters, must hold what their kind needs (see
+as phone numbers without a plus sign or addresses with a spelled-out at-sign.  What can be added (see
+``_holds``) has a digit, an at-sign or the word "at" in any case, also inside brackets or a longer piece,
+so only windows of ``AROUND`` words around those are decoded; a window goes on over the words that can
+belong to the span (dots, "dot", marks).  Runs of a label are trimmed to word characters, must hold what their kind needs (see
 ``_holds``) and are added where no base span lies.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned row by row; spans
@@ -33,6 +34,7 @@ from tenderloom.llm.tables import map_column
 
 KINDS = ("email", "ip", "card", "phone")
 AROUND = 3
+CONTEXT = 6  # words decoded on each side of a window, so that its labels are those of the whole text
 
 FOUND = T.StructType(
     [
@@ -109,8 +111,10 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-_NEAR = re.compile(r"[0-9@]|^\W*at\W+$|^\W+at\W*$")
+_NEAR = re.compile(r"[0-9@]|\bat\b", re.I)  # each span that _holds() accepts has one of these
+_LINK = re.compile(r"\bdot\b|^\.|\.\W*$|^[\W_]+$", re.I)  # a span may go on behind such a word, or before it
 _HINTS = ("at", "dot", "tel", "phone", "call", "mobile", "fax", "mail", "email", "ip", "host", "server", "card", "visa", "version", "password", "token", "key", "isbn", "order", "invoice", "page", "com", "org", "net", "example")
+_HINT = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(_HINTS)})(?![^\W\d_])", re.I)
 _MARKS = "@.()-+/:,#$=\"'"
 
 
@@ -135,8 +139,8 @@ N_CODES = sum(_TEMPLATES)
 _RUN = re.compile(r"[0-9][0-9 ().+/-]*[0-9]|[0-9]")
 
 
-def token_codes(text: str, start: int, end: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Feature codes and places of the tokens of a window."""
+def token_codes(text: str, start: int, end: int, before: int = 0) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Feature codes and places of the tokens of a window; ``before`` is the last hint in front of it."""
     found = list(_TOKEN.finditer(text, start, end))
     places = [m.span() for m in found]
     shape = [0, 0, *(_shape(m[0]) for m in found), 0, 0]
@@ -152,7 +156,7 @@ def token_codes(text: str, start: int, end: int) -> tuple[np.ndarray, list[tuple
     for m in _WORD.finditer(text, start, end):
         mixed = bool(re.search(r"[^\W\d_][0-9]|[0-9][^\W\d_]", m[0]))
         piece_of[m.start()] = 2 * ("@" in m[0]) + mixed
-    rows, piece, before = [], 0, 0
+    rows, piece = [], 0
     for k, (a, b) in enumerate(places):
         piece = piece_of.get(a, piece)
         ahead = next((h for h in hint[k + 1 : k + 4] if h), 0)
@@ -163,19 +167,42 @@ def token_codes(text: str, start: int, end: int) -> tuple[np.ndarray, list[tuple
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Ranges of words around those with a digit or an at-sign."""
-    if not re.search(r"[0-9@]|\bat\b\W*[)\]}>]", text):
+    """Ranges of words around those with a digit, an at-sign or the word "at"."""
+    if not _NEAR.search(text):
         return []
     words = [m.span() for m in _WORD.finditer(text)]
-    near = [i for i, (a, b) in enumerate(words) if _NEAR.search(text[a:b])]
+    near = [i for i, (a, b) in enumerate(words) if _NEAR.search(text, a, b)]
     out: list[list[int]] = []
     for i in near:
         first, last = max(0, i - AROUND), min(len(words) - 1, i + AROUND)
-        if out and first <= out[-1][1] + 1:
-            out[-1][1] = last
+        j = i + 1
+        while j <= last:
+            if _LINK.search(text[words[j][0] : words[j][1]]):
+                last = min(len(words) - 1, max(last, j + AROUND))
+            j += 1
+        j = i - 1
+        while j >= first and not (out and j <= out[-1][1]):
+            if _LINK.search(text[words[j][0] : words[j][1]]):
+                first = max(0, min(first, j - AROUND))
+            j -= 1
+        if out and first <= out[-1][1] + 1 + 2 * CONTEXT:
+            out[-1][1] = max(out[-1][1], last)
         else:
             out.append([first, last])
-    return [(words[a][0], words[b][1]) for a, b in out]
+    most = len(words) - 1
+    return [(words[max(0, a - CONTEXT)][0], words[min(most, b + CONTEXT)][1]) for a, b in out]
+
+
+def hints_before(text: str, starts: Sequence[int]) -> list[int]:
+    """The last hint of the whole text in front of each of the ascending places."""
+    out, last, found = [], 0, _HINT.finditer(text)
+    m = next(found, None)
+    for start in starts:
+        while m and m.end() <= start:
+            last = _HINTS.index(w) + 1 if (w := m[0].lower()) in _HINTS else last
+            m = next(found, None)
+        out.append(last)
+    return out
 
 
 def _holds(kind: str, text: str) -> bool:
@@ -292,8 +319,9 @@ def field_spans(field: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]
     """Spans of the labels that the field gives, before they are held against the base spans."""
     owner, codes, places = [], [], []
     for i, text in enumerate(texts):
-        for a, b in windows(text):
-            x, p = token_codes(text, a, b)
+        around = windows(text)
+        for (a, b), hint in zip(around, hints_before(text, [a for a, _ in around]) if around else [], strict=True):
+            x, p = token_codes(text, a, b, hint)
             if len(x):
                 owner.append(i)
                 codes.append(x)

@@ -64,6 +64,32 @@ def test_training_and_examples(field):
         assert [(k, text[a:b]) for a, b, k in more] == [(kind, part)] and not base
 
 
+def test_spelled_out_addresses(field):
+    for part in ("jane.doe(at)example(dot)org", "jane.doe [AT] example [DOT] org", "jane.doe (At) example (Dot) org"):
+        for text in (part, f"write to {part} for more"):
+            assert [(k, text[a:b]) for a, b, k in pii.field_spans(field, [text])[0]] == [("email", part)]
+    (a, b), text = pii.windows(t := "one two jane at mail dot example dot org dot uk three")[0], t
+    assert "jane at mail dot example dot org dot uk" in text[a:b]
+
+
+def test_windows_decode_as_whole_texts(field, monkeypatch):
+    rng = random.Random(1)
+    spans = [t[a:b] for t, found in pii.read_labelled() for a, b, _ in found]
+    spans += ["jane.doe(at)example(dot)org", "jane.doe [AT] example [DOT] org", "jane at example dot org", "a (at) b dot c dot org"]
+    words = "the of and call card host mail, on. (a) In to: page Which – order those it's — .. DOT org é. version".split()
+    texts = []
+    for _ in range(400):
+        parts = rng.choices(words, k=rng.randint(0, 90))
+        for _ in range(rng.randint(0, 4)):
+            parts.insert(rng.randint(0, len(parts)), rng.choice(spans))
+        texts.append(rng.choice((" ", "\n")).join(parts))
+    got = pii.field_spans(field, texts)
+    monkeypatch.setattr(pii, "windows", lambda text: [(0, len(text))] if text else [])
+    want = pii.field_spans(field, texts)
+    assert sum(map(len, want)) > 300
+    assert [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if sorted(g) != sorted(w)] == []
+
+
 def test_decode_is_the_best_path():
     rng = np.random.default_rng(1)
     crf = Crf(12, 3)
