@@ -485,18 +485,23 @@ def newest_details(raw_detail: DataFrame) -> DataFrame:
     return keyed.join(best, same, "left_semi").drop("_time", "_hash")
 
 
-def one_per_project(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to store and rows covered by them: one announcement of each project of the run.
+def one_per_project(linked: DataFrame, records: DataFrame) -> DataFrame:
+    """``records`` with ``_covered``: whether an earlier announcement of the project is stored in this run.
 
-    All announcements of a project carry the same links, so the least linked id names it.  The
-    announcement that comes first in its project is stored and covers the others."""
-    project = F.coalesce(F.array_min("result_article_id"), F.col("article_id"))
-    rows = linked.withColumn("_project", project)
-    order = [F.col("start_position"), F.col("scrape_timestamp")]
-    lead = first_per_group(rows, ["_project"], order, ["article_id"]).select(F.col("article_id").alias("_lead"))
-    stored = rows.join(lead, rows["article_id"] == lead["_lead"], "left_semi").drop("_project")
-    covered = rows.join(lead, rows["article_id"] == lead["_lead"], "left_anti").drop("_project")
-    return stored, covered
+    All announcements of a project carry the same links, so the least linked id names it.  The first
+    one in its project whose record has no error is stored and covers those behind it; those in front
+    of it, and all of a project without a good record, keep their errors."""
+    placed = linked.select(
+        "article_id",
+        F.coalesce(F.array_min("result_article_id"), F.col("article_id")).alias("_project"),
+        F.struct("start_position", "scrape_timestamp", "article_id").alias("_place"),
+    )
+    tried = records.select("article_id", F.col("record_error").isNull().alias("_good"))
+    rows = placed.join(tried, "article_id")
+    lead = rows.filter("_good").groupBy("_project").agg(F.min("_place").alias("_lead"))
+    covered = rows.join(lead, "_project").filter(F.col("_place") > F.col("_lead")).select("article_id")
+    marked = records.join(covered.withColumn("_covered", F.lit(True)), "article_id", "left")
+    return marked.withColumn("_covered", F.coalesce("_covered", F.lit(False)))
 
 
 @dataclass(frozen=True)
@@ -545,10 +550,14 @@ def ingest(
     early = F.when(F.col("has_detail").isNull(), F.lit("detail: no data")).otherwise(F.col("link_error"))
     linked = own.withColumn("early_error", early).drop("links", "has_detail", "link_error").checkpoint()
 
-    leading, covered = one_per_project(linked.filter(F.col("early_error").isNull()).drop("early_error"))
-    projects = _choose_result(leading, details, seen)
+    # Every announcement is assembled: which one stands for its project shows only when its pages are read.
+    usable = linked.filter(F.col("early_error").isNull()).drop("early_error")
+    projects = _choose_result(usable, details, seen)
     purchases = _choose_purchase(projects, details, first_purchase_ms)
-    records = assemble(projects.join(purchases, "article_id", "left")).checkpoint()
+    assembled = assemble(projects.join(purchases, "article_id", "left")).checkpoint()
+    marked = one_per_project(usable, assembled)
+    covered = marked.filter("_covered").select("article_id")
+    records = marked.filter("NOT _covered").drop("_covered")
 
     # Errors of notices that only list winning candidates are not worth a second look.
     listed_candidates = F.coalesce(F.col("title").contains(CANDIDATE_TITLE), F.lit(False))
@@ -570,7 +579,7 @@ def ingest(
     statuses = records.filter(F.col("record_error").isNull()).select("article_id", F.lit("stored").alias("status"))
     for rows, status in (
         (rejected.select("article_id"), "error"),
-        (covered.select("article_id"), "covered"),
+        (covered, "covered"),
         (passed_over(linked, "early_error").unionByName(passed_over(records, "record_error")), "candidates"),
     ):
         statuses = statuses.unionByName(rows.withColumn("status", F.lit(status)))

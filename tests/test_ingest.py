@@ -157,6 +157,22 @@ def test_one_record_per_project_in_one_run_or_two(spark):
     assert stored(once) == stored(both) and not later
 
 
+def test_a_failing_announcement_covers_nothing(spark):
+    project = [link(1, "p1", "采购公告"), *[link(i + 1, f"r{i}", "结果公告") for i in (1, 2, 3)]]
+    unread = "<p>三、中标信息</p><p>见附件</p>"
+    pages = {"r1": unread, "r2": win_page(), "r3": win_page()}
+    for title in ("公告", I.CANDIDATE_TITLE):
+        lists = [listed(a, "中标公告", title=title if a == "r1" else "公告") for a in pages]
+        details = [detail("p1", purchase_page(total=100), type_=1)]
+        details += [detail(a, page, project) for a, page in pages.items()]
+        done, notices, errors = run(spark, lists, details)
+        failed = "candidates" if title == I.CANDIDATE_TITLE else "error"
+        assert {(r.article_id, r.status) for r in done.statuses.collect()} == {("r1", failed), ("r2", "stored"), ("r3", "covered")}
+        assert set(notices) == {"r2"} and set(errors) == ({"r1"} if failed == "error" else set())
+    done, notices, errors = run(spark, lists, details[:1] + [detail(a, unread, project) for a in pages])
+    assert not notices and set(errors) == {"r2", "r3"}
+
+
 def test_order_of_repeated_details_does_not_matter(spark):
     old, new = win_page("报价:40(元)"), win_page("报价:70(元)")
     pages = [
