@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm.decontaminate import op7_decontamination
 from tenderloom.llm.embedding_pairs import op5_cover_tree
+from tenderloom.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
+from tenderloom.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from tenderloom.llm.licenses import OP2_SQL, op2_licenses
+from tenderloom.llm.max_score import OP12_SQL, op12_max_score
 from tenderloom.llm.mixing import OP8_SQL, op8_mixing
 from tenderloom.llm.pii import op3_pii
 from tenderloom.llm.prob_minhash import op10_prob_minhash
@@ -33,9 +36,18 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_token_files": op9_token_files,
         "op10_prob_minhash": op10_prob_minhash,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_max_score": op12_max_score,
+        "op13_hard_negatives": op13_hard_negatives,
     }
     return {name: lambda spark, sf, q=q: q(bounded_batches(spark), sf) for name, q in registered.items()}
 
 
 def statements() -> dict[str, str]:
-    return {"op2_licenses": OP2_SQL, "op8_mixing": OP8_SQL}
+    return {
+        "op2_licenses": OP2_SQL,
+        "op8_mixing": OP8_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_max_score": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
+    }
