@@ -73,28 +73,21 @@ def running_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("count"))
 
 
-def fold_unique(rows: DataFrame, path: str, checkpoint: str, key: str, buckets: int = 64) -> StreamingQuery:
+def fold_unique(rows: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
     """One row of each key for ever, under ``path``; late rows and late repeats are treated like any other.
 
-    A micro-batch keeps one row per key (the least by its values), drops keys that earlier batches
-    stored, and writes ``batch=<id>/bucket=<k>``.  Only buckets that occur in the batch are read; a
-    replayed batch looks at earlier batches only and overwrites its folder.
+    The keys are Spark's keyed state, without a watermark, so none is ever forgotten.  A micro-batch
+    looks up its own keys and uploads the new ones; what earlier batches stored is not read again.
+    Of several rows of a key in its first micro-batch one is kept, which one is not defined.  Null is
+    a key like others.  The rows of a batch are written once, into ``batch=<id>``; a replayed batch
+    starts from the state before it and overwrites its folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        least = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
-        fresh = least.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        if batch_id > 0:
-            spark = batch.sparkSession
-            here = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
-            shape = batch.select(key).withColumns({"batch": F.lit(0).cast("long"), "bucket": F.lit(0)}).schema
-            known = spark.read.schema(shape).parquet(path)
-            known = known.filter((F.col("batch") < batch_id) & F.col("bucket").isin(here)).select(F.col(key).alias("_known"))
-            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
-
-    return for_each_batch(rows, write, checkpoint)
+        # The state has a fixed number of partitions; few new keys should not become as many files.
+        batch.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return for_each_batch(rows.dropDuplicates([key]), write, checkpoint)
 
 
 def latest_seen(rows: DataFrame, time_col: str = "scrape_timestamp") -> DataFrame:

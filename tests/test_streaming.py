@@ -33,11 +33,7 @@ def test_fold_equals_batch_and_survives_a_replay(spark, notices_path, tmp_path):
     assert same(Z.cube_of_cells(spark, cells, [], R.volume_measures), whole)
     assert (tmp_path / "cells" / "batch=1").is_dir()
 
-    # The last batch again, as after a failure between writing and committing.
-    commits = tmp_path / "log" / "commits"
-    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
-    (commits / str(last)).unlink()
-    (commits / f".{last}.crc").unlink(missing_ok=True)
+    uncommit(tmp_path / "log", max(int(p.name) for p in (tmp_path / "log" / "commits").iterdir() if p.name.isdigit()))
     Z.fold_stream(stream, cells, log, [], R.volume_measures).awaitTermination()
     assert same(Z.cube_of_cells(spark, cells, [], R.volume_measures), whole)
 
@@ -45,22 +41,42 @@ def test_fold_equals_batch_and_survives_a_replay(spark, notices_path, tmp_path):
     assert same(Z.cube_of_cells(spark, str(tmp_path / "compact"), [], R.volume_measures), whole)
 
 
+def uncommit(folder, batch):
+    """As after a failure between writing a batch and committing it."""
+    (folder / "commits" / str(batch)).unlink()
+    (folder / "commits" / f".{batch}.crc").unlink(missing_ok=True)
+
+
 def test_repeats_are_dropped_for_ever(spark, tmp_path):
-    """Ids far behind in time and repeats in later batches; a replayed batch changes nothing."""
+    """Ids far behind in time and repeats in later batches; restarts and a replayed batch change nothing."""
     source, rows, log = (str(tmp_path / x) for x in ("in", "rows", "log"))
-    batches = [[(1, 500), (2, 10), (2, 10)], [(3, 1), (1, 900)], [(2, 2000), (4, 0), (3, 1)]]
+    batches = [[(1, 500), (2, 10), (2, 10)], [(3, 1), (1, 900), (None, 7)], [(2, 2000), (4, 0), (3, 1), (None, 8)]]
     for n, batch in enumerate(batches):
         spark.createDataFrame(batch, "id long, time long").coalesce(1).write.mode("append").parquet(source)
-        stream = Z.parquet_stream(spark, source)
-        Z.fold_unique(stream, rows, log, "id", buckets=2).awaitTermination()
+        Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id").awaitTermination()  # a new query from the checkpoint
         assert len(spark.read.parquet(rows).select("batch").distinct().collect()) == n + 1
-    assert sorted((r.id, r.time) for r in spark.read.parquet(rows).collect()) == [(1, 500), (2, 10), (3, 1), (4, 0)]
+    want = [(1, 500), (2, 10), (3, 1), (4, 0), (None, 7)]
+    assert sorted(((r.id, r.time) for r in spark.read.parquet(rows).collect()), key=str) == want
+
+    uncommit(tmp_path / "log", 2)
+    Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id").awaitTermination()
+    assert sorted(((r.id, r.time) for r in spark.read.parquet(rows).collect()), key=str) == want
 
-    commits = tmp_path / "log" / "commits"
-    (commits / "2").unlink()
-    (commits / ".2.crc").unlink(missing_ok=True)
-    Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id", buckets=2).awaitTermination()
-    assert sorted((r.id, r.time) for r in spark.read.parquet(rows).collect()) == [(1, 500), (2, 10), (3, 1), (4, 0)]
+
+def test_a_batch_costs_its_own_keys(spark, tmp_path):
+    """After many stored keys a small batch reads its rows, changes as many keys and writes one file."""
+    source, rows, log = (str(tmp_path / x) for x in ("in", "rows", "log"))
+    spark.range(20_000).write.parquet(source)
+    Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id").awaitTermination()
+    spark.range(19_990, 20_010).coalesce(1).write.mode("append").parquet(source)
+    query = Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id")
+    query.awaitTermination()
+    last = query.lastProgress
+    state = last["stateOperators"][0]
+    assert (last["numInputRows"], state["numRowsUpdated"], state["numRowsTotal"]) == (20, 10, 20_010)
+    assert state["customMetrics"]["rocksdbGetCount"] <= 2 * 20  # a look-up and a change of each
+    assert len(list((tmp_path / "rows" / "batch=1").glob("*.parquet"))) == 1
+    assert spark.read.parquet(rows).distinct().count() == 20_010
 
 
 def test_complete_mode_counts_and_latest(spark, notices_path, tmp_path):
