@@ -6,7 +6,7 @@ on nested notice records and on a normalised lot table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions.money import as_money, clamp, lot_value, to_double
@@ -22,6 +22,7 @@ from tenderloom.operators.cube import (
     money_sum,
 )
 from tenderloom.operators.ranking import first_per_group, nulls_last, top_per_group
+from tenderloom.operators.selection import exact_quantiles, first_bins
 from tenderloom.schemas import PROVINCE_CODE, PROVINCE_ROOT_CODE
 
 _WIN = "is_win_bid"
@@ -218,74 +219,30 @@ def value_frequencies(notices: DataFrame) -> DataFrame:
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
-def _column_stats(long: DataFrame, accuracy: int) -> DataFrame:
-    """Count, moments, ends and quartile brackets of each (column, value) group: one row per column.
+def amount_summary(notices: DataFrame) -> DataFrame:
+    """count, mean, stddev, min, quartiles and max of budget and amount, one row per metric.
 
-    The sketch is off by at most rows / accuracy ranks, so the brackets hold the quartiles.
+    Only notices with both values above 0 count.  Moments come from decimal sums, which the first
+    histogram round of the quartiles carries along, so the notices are read twice in all.
     """
+    columns = ["total_budget", "total_amount"]
+    both = notices.filter((F.col("total_budget") > 0) & (F.col("total_amount") > 0))
+    long = both.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     v = F.col("value").cast("decimal(18,4)")
-    margin = 4.0 / accuracy
-    low = [max(0.0, p - margin) for p in QUARTILES.values()]
-    high = [min(1.0, p + margin) for p in QUARTILES.values()]
-    return long.groupBy("column").agg(
-        F.count("*").alias("n"),
+    moments = [
         F.sum(v).alias("total"),
         F.sum(v * v).alias("squares"),
         F.min("value").alias("least"),
         F.max("value").alias("greatest"),
-        F.percentile_approx("value", low, accuracy).alias("low"),
-        F.percentile_approx("value", high, accuracy).alias("high"),
-    )
-
-
-def _exact_quartiles(long: DataFrame, stats: DataFrame) -> DataFrame:
-    """(column, metric, value) of the quartiles, exact at any size.
-
-    Rows below a bracket are only counted; the distinct values inside it, about
-    8 / accuracy of the rows, are ranked.  A quartile is the least value with at
-    least that share of the rows at or below it.
-    """
-    brackets = stats.select(
-        "column",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("metric"),
-                        F.ceil(F.col("n") * p).alias("wanted"),
-                        F.col("low")[i].alias("low"),
-                        F.col("high")[i].alias("high"),
-                    )
-                    for i, (name, p) in enumerate(QUARTILES.items())
-                ]
-            )
-        ),
-    )
-    # Three rows per summarised column, whatever the data.
-    placed = long.join(F.broadcast(brackets), "column").filter(F.col("value") <= F.col("high"))
-    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counts = placed.groupBy("column", "metric", "wanted", inside.alias("value")).agg(F.count("*").alias("rows"))
-    upward = Window.partitionBy("column", "metric").orderBy(F.asc_nulls_first("value"))
-    reached = counts.withColumn("reached", F.sum("rows").over(upward)).filter(F.col("reached") >= F.col("wanted"))
-    # A null minimum would mean that the bracket missed the quartile.
-    first = reached.groupBy("column", "metric").agg(
-        F.min(F.struct(F.col("value").isNotNull().alias("inside"), "value")).alias("first")
-    )
-    value = F.when(F.col("first.inside"), F.col("first.value")).otherwise(
-        F.raise_error(F.lit("quartile outside its bracket")).cast("double")
+    ]
+    bins = first_bins(long, "column", "value", moments)
+    stats = bins.groupBy("column").agg(
+        F.sum("rows").alias("n"),
+        F.sum("total").alias("total"),
+        F.sum("squares").alias("squares"),
+        F.min("least").alias("least"),
+        F.max("greatest").alias("greatest"),
     )
-    return first.select("column", "metric", value.alias("value"))
-
-
-def amount_summary(notices: DataFrame, accuracy: int = 100000) -> DataFrame:
-    """count, mean, stddev, min, quartiles and max of budget and amount, one row per metric.
-
-    Only notices with both values above 0 count.  Moments come from decimal sums.
-    """
-    columns = ["total_budget", "total_amount"]
-    both = notices.filter((F.col("total_budget") > 0) & (F.col("total_amount") > 0))
-    long = both.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    stats = _column_stats(long, accuracy)
     n, total, squares = (F.col(c).cast("double") for c in ("n", "total", "squares"))
     variance = F.try_divide(squares - total * total / n, n - 1)
     plain = {
@@ -296,7 +253,8 @@ def amount_summary(notices: DataFrame, accuracy: int = 100000) -> DataFrame:
         "max": F.col("greatest"),
     }
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in plain.items()])
-    metrics = stats.select("column", F.inline(rows)).unionByName(_exact_quartiles(long, stats))
+    quartiles = exact_quantiles(long, bins, "column", "value", QUARTILES)
+    metrics = stats.select("column", F.inline(rows)).unionByName(quartiles)
     return metrics.groupBy("metric").agg(
         *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
     )
