@@ -55,6 +55,10 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["volume_cube"](spark, "/root/testdata/sf0.001")
 
 
+def run_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/runs/{uuid.uuid4().hex}"
+
+
 def _on_notices(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: fn(X.notices(spark, sf))
 
@@ -321,10 +325,8 @@ def _ingest() -> dict[str, Query]:
         return I.missing_fields(keyed, "present", required).select("id", F.array_join("missing", ",").alias("missing"))
 
     def run_counters(spark: SparkSession, sf: str) -> DataFrame:
-        listed = A.raw_list(spark, sf)
-        fresh = I.unseen(listed, A.seen_ids(spark, sf).withColumnRenamed("article_id", "articleId"), "articleId")
-        status = F.when(F.col("kind").isNull(), "error").when(F.col("kind") == "dropped", "dropped").otherwise("sent")
-        return I.run_counters(I.classify_list(fresh).select(status.alias("status")), listed)
+        counts = I.write_fresh(A.raw_list(spark, sf), A.seen_ids(spark, sf), f"{run_folder(spark)}/list")
+        return I.run_counters(spark, counts)
 
     def district_documents(df: DataFrame) -> DataFrame:
         return D.flatten_district_json(df)
@@ -468,9 +470,6 @@ def _sources_and_streams() -> dict[str, Query]:
         )
         return calendar.with_calendar(rows)
 
-    def run_folder(spark: SparkSession) -> str:
-        return f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
-
     def order_stream(spark: SparkSession, sf: str) -> DataFrame:
         return X.notices(spark, sf, Z.parquet_stream(spark, f"{sf}/[o]rders.parquet"))
 

@@ -1,10 +1,10 @@
-"""Dense ids and keyed upserts for written tables."""
+"""Dense ids, keyed upserts and counted writes of tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tenderloom.session import checkpoint_root
@@ -68,3 +68,18 @@ def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def without_keys(seen: DataFrame, remove: DataFrame, key: str) -> DataFrame:
     """Take keys out of a set; write the result over the set."""
     return seen.join(remove.select(key).distinct(), key, "left_anti")
+
+
+def save_counted(
+    df: DataFrame, path: str, counts: dict[str, Column], keep: Column | None = None
+) -> dict[str, int]:
+    """Replace a parquet table and return ``counts``, aggregates over the rows as they are written.
+
+    Rows that ``keep`` rejects are counted, but not written.  The counts are taken in the tasks that
+    write, where Spark counts each partition once however often its task ran, so they cost no scan and
+    equal a recount.  ``df`` should not be read by another action.
+    """
+    seen = Observation()
+    rows = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
+    (rows if keep is None else rows.filter(keep)).write.mode("overwrite").parquet(path)
+    return seen.get

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom.functions.amounts import parse_amount
@@ -31,6 +31,7 @@ from tenderloom.functions.text import bind, contains_any
 from tenderloom.operators.frames import compute_once
 from tenderloom.operators.pages import html_lines, read_result_page
 from tenderloom.operators.ranking import first_per_group
+from tenderloom.operators.tables import save_counted
 from tenderloom.schemas import (
     AMOUNT_NOT_DEAL,
     BUDGET_UNASSIGNED,
@@ -447,17 +448,42 @@ def missing_fields(df: DataFrame, present: str, required: list[str]) -> DataFram
     )
 
 
-def run_counters(statuses: DataFrame, planned: DataFrame) -> DataFrame:
-    """Rows per status plus planned, actual and remaining.
+COUNTERS = "name string, n long"
 
-    ``statuses`` has one row per handled announcement and ``planned`` one per listed one.
+
+def run_counters(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """(name, n) of the counters a run has gathered while writing; those that counted nothing drop out."""
+    always = ("planned", "actual", "remaining")
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n or k in always], COUNTERS)
+
+
+def write_fresh(raw_list: DataFrame, seen: DataFrame | None, path: str) -> dict[str, int]:
+    """Write the listed announcements that are not seen yet, and count all of them by what becomes of them.
+
+    "planned" are the listed rows, "actual" those not seen, "remaining" the difference; the fresh ones
+    are "sent" on, "dropped" for their kind, or an "error" for an unknown one.
     """
-    totals = planned.agg(F.count("*").alias("n")).select(F.lit("planned").alias("name"), "n")
-    actual = statuses.agg(F.count("*").alias("n")).select(F.lit("actual").alias("name"), "n")
-    signed = totals.unionByName(actual.withColumn("n", -F.col("n")))
-    remaining = signed.agg(F.sum("n").alias("n")).select(F.lit("remaining").alias("name"), "n")
-    each = statuses.groupBy("status").agg(F.count("*").alias("n")).select(F.col("status").alias("name"), "n")
-    return each.unionByName(totals).unionByName(actual).unionByName(remaining)
+    rows = classify_list(raw_list)
+    if seen is None:
+        rows = rows.withColumn("_fresh", F.lit(True))
+    else:
+        known = seen.select(F.col("article_id").alias("_known")).distinct()
+        rows = rows.join(known, F.col("articleId") == F.col("_known"), "left")
+        rows = rows.withColumn("_fresh", F.col("_known").isNull()).drop("_known")
+    fresh, kind = F.col("_fresh"), F.col("kind")
+    counts = save_counted(
+        rows,
+        path,
+        {
+            "planned": F.count("*"),
+            "actual": F.count_if(fresh),
+            "error": F.count_if(fresh & kind.isNull()),
+            "dropped": F.count_if(fresh & (kind == "dropped")),
+            "sent": F.count_if(fresh & kind.isNotNull() & (kind != "dropped")),
+        },
+        keep=fresh,
+    )
+    return counts | {"remaining": counts["planned"] - counts["actual"]}
 
 
 def retry_list(errors: DataFrame, old: DataFrame) -> DataFrame:
@@ -518,19 +544,21 @@ def ingest(
     excluded: DataFrame | None = None,
     now_ms: Column | None = None,
     first_purchase_ms: int = FIRST_USABLE_MS,
+    only_fresh: bool = False,
 ) -> Ingested:
     """Typed notices of the unseen list rows, with quarantine and per-row status.
 
     Statuses are "stored", "error" (in the quarantine), "covered" (another announcement of the
     project was stored in this run) and "candidates" (an error of a notice that only lists winning
     candidates).  Purchase pages published before ``first_purchase_ms`` are not read, because their
-    layout differs; a project whose purchase pages are all older is stored without one.
+    layout differs; a project whose purchase pages are all older is stored without one.  With
+    ``only_fresh`` the list holds no seen rows (``seen`` is then used for linked announcements alone).
 
     The linked projects and the finished records are written once as checkpoints:
     each is read several times, and the pages must be parsed only once.
     """
     checkpoint_root(raw_list.sparkSession)
-    listed = unseen(unseen(flatten_list(raw_list), seen), excluded)
+    listed = unseen(unseen(flatten_list(raw_list), None if only_fresh else seen), excluded)
     rest = [c for c in listed.columns if c != "article_id"]
     meta = first_per_group(listed, ["article_id"], [F.col(c) for c in rest], rest)
     details = newest_details(raw_detail)
@@ -586,6 +614,27 @@ def ingest(
     return Ingested(notices, rejected, statuses)
 
 
+STATUSES = ("stored", "error", "covered", "candidates")
+
+
+def run(
+    raw_list: DataFrame, raw_detail: DataFrame, folder: str, seen: DataFrame | None = None, **options
+) -> dict[str, int]:
+    """A whole run: writes ``list``, ``notices``, ``quarantine``, ``statuses`` and ``seen`` (the ids to
+    register) under ``folder`` and returns its counters, all taken while those tables are written."""
+    spark = raw_list.sparkSession
+    counts = write_fresh(raw_list, seen, f"{folder}/list")
+    listed = spark.read.parquet(f"{folder}/list").select(raw_list.columns)
+    done = ingest(listed, raw_detail, seen, only_fresh=True, **options)
+    counts |= save_counted(done.notices, f"{folder}/notices", {"notices": F.count("*")})
+    counts |= save_counted(done.quarantine, f"{folder}/quarantine", {"quarantined": F.count("*")})
+    status = {s: F.count_if(F.col("status") == s) for s in STATUSES}
+    # The errors of all steps replace those of the list alone.
+    counts |= save_counted(done.statuses, f"{folder}/statuses", status)
+    registered_ids(spark.read.parquet(f"{folder}/notices")).write.mode("overwrite").parquet(f"{folder}/seen")
+    return counts
+
+
 def _notice_column(field) -> Column:
     return F.col(field.name).cast(field.dataType.simpleString()).alias(field.name)
 

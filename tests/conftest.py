@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
     session = get_session(
         "tests",
-        "local[8]",
+        "local[8,2]",  # a task may fail once, as on a cluster
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",

@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tenderloom.plans import ingest as I
@@ -57,7 +58,7 @@ def run(spark, lists, details, **kwargs):
     return done, notices, errors
 
 
-def test_job(spark):
+def test_job(spark, tmp_path):
     p_links = [link(1, "p1", "采购公告", T0 - 5 * DAY), link(2, "w1", "中标结果公告", T0)]
     lists = [
         listed("w1", "中标公告"),
@@ -135,8 +136,41 @@ def test_job(spark):
         "mm": "record: number of lots differs",
     }
     assert set(notices) == {"w1", "v1", "t1", "k1", "sw2", "nolink"}
-    counts = {r.name: r.n for r in I.run_counters(done.statuses, spark.createDataFrame(lists, RAW_LIST_SCHEMA)).collect()}
-    assert counts == {"stored": 6, "error": 4, "planned": 13, "actual": 10, "remaining": 3}
+    folder = str(tmp_path / "run")
+    raw_list, raw_detail = spark.createDataFrame(lists, RAW_LIST_SCHEMA), spark.createDataFrame(details, RAW_DETAIL_SCHEMA)
+    counts = I.run(raw_list, raw_detail, folder, seen=seen)
+    assert counts == {
+        "planned": 13, "actual": 12, "remaining": 1, "dropped": 1, "sent": 10,
+        "notices": 6, "quarantined": 4, "stored": 6, "error": 4, "covered": 0, "candidates": 0,
+    }
+    table = lambda name: spark.read.parquet(f"{folder}/{name}")
+    assert {r.article_id for r in table("seen").collect()} >= set(notices)
+    assert sorted(table("notices").drop("scrape_timestamp").collect(), key=str) == sorted(done.notices.drop("scrape_timestamp").collect(), key=str)
+    assert {r.status: r["count"] for r in table("statuses").groupBy("status").count().collect()} == {"stored": 6, "error": 4}
+
+
+def test_counters_of_a_replayed_task_equal_a_recount(spark, tmp_path):
+    def fail_once(batches):
+        """The first run of a task fails after its rows have gone through."""
+        yield from batches
+        if TaskContext.get().attemptNumber() == 0:
+            raise OSError("lost")
+
+    paths = [*I.PATH_KINDS, "更正公告"] * 40
+    rows = [(*listed(f"a{i}", p)[:3], f"a{i}", *listed("", p)[4:]) for i, p in enumerate(paths)]
+    raw_list = spark.createDataFrame(rows, RAW_LIST_SCHEMA).repartition(4)
+    seen = spark.createDataFrame([(f"a{i}",) for i in range(0, 320, 3)] * 2, "article_id string")
+    path = str(tmp_path / "list")
+    counts = I.write_fresh(raw_list.mapInArrow(fail_once, raw_list.schema), seen, path)
+    kept = spark.read.parquet(path)
+    kinds = {r.kind: r["count"] for r in kept.groupBy("kind").count().collect()}
+    assert counts == {
+        "planned": 320, "actual": kept.count(), "remaining": 320 - kept.count(), "dropped": kinds["dropped"],
+        "error": kinds[None], "sent": kept.count() - kinds["dropped"] - kinds[None],
+    }
+    assert {r.name: r.n for r in I.run_counters(spark, counts).collect()} == counts
+    none = I.write_fresh(raw_list.limit(0), None, path)
+    assert set(none.values()) == {0} and I.run_counters(spark, none).count() == 3
 
 
 PROJECT = [link(1, "p1", "采购公告"), link(2, "r1", "结果公告"), link(3, "r2", "结果公告")]
