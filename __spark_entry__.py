@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_queries  # noqa: E402
 from tenderloom.functions import calendar, labels, notice_text, text  # noqa: E402
 from tenderloom.functions.amounts import parse_amount  # noqa: E402
-from tenderloom.operators import pages, tables  # noqa: E402
+from tenderloom.operators import frames, pages, tables  # noqa: E402
 from tenderloom.plans import districts as D  # noqa: E402
 from tenderloom.plans import ingest as I  # noqa: E402
 from tenderloom.plans import lots as L  # noqa: E402
@@ -72,7 +72,20 @@ def _on_districts(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _reports() -> dict[str, Query]:
+    def report_set(n: DataFrame) -> DataFrame:
+        """The reports that share one pass over the notices, stacked by column name."""
+        cells = tables.stored(R.joint_cells(n), "joint-cells")
+        named = [df.withColumn("report", F.lit(name)) for name, df in R.joint_reports(cells).items()]
+        return frames.union_frames(named, allow_missing=True)
+
+    def count_set(n: DataFrame) -> DataFrame:
+        cells = tables.stored(R.name_cells(n), "name-cells")
+        named = [df.withColumn("report", F.lit(name)) for name, df in R.name_reports(cells).items()]
+        return frames.union_frames(named, allow_missing=True)
+
     return {
+        "report_set": _on_notices(report_set),
+        "count_set": _on_notices(count_set),
         "outcome_counts_cube": _on_notices(R.outcome_counts),
         "win_counts_cube": _on_notices(R.win_counts),
         "lose_counts_cube": _on_notices(R.lose_counts),

@@ -243,6 +243,30 @@ REPORTS = {
     "top3_agency": _top(NOTICE, "purchaser", "purchasing_agency", "3"),
 }
 
+
+
+def _stacked(**reports: str) -> str:
+    return " UNION ALL BY NAME ".join(f"SELECT '{name}' AS report, * FROM ({REPORTS[query]})" for name, query in reports.items())
+
+
+REPORTS["report_set"] = _stacked(
+    outcomes="outcome_counts_cube",
+    win_count="win_counts_cube",
+    lose_count="lose_counts_cube",
+    terminate_count="terminate_counts_cube",
+    volumes="volume_cube",
+    budgets="budget_situation_cube",
+    methods="method_cube",
+    levels="district_level_row",
+)
+REPORTS["count_set"] = _stacked(
+    purchaser_catalogs="purchaser_catalog",
+    purchaser_agencies="purchaser_agency",
+    catalogs="catalog_counts",
+    agencies="agency_counts",
+    agency_catalogs="agency_top_catalog",
+)
+
 YEAR_ROW = "month = 0 AND quarter = 0"
 TABLES = f"""{LOT},
 volume AS ({VOLUME}),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -42,6 +43,14 @@ def with_dense_id(df: DataFrame, order: Sequence[str], name: str = "id") -> Data
     )
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Compute ``df`` once: written to the shared folder and read back, with its columns prunable."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, latest: str | None = None) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key.
 

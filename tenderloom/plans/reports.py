@@ -17,17 +17,22 @@ from tenderloom.operators.cube import (
     count_if,
     count_of,
     count_rows,
+    cube_from_partials,
+    day_partials,
     money_avg,
     money_max,
     money_sum,
 )
 from tenderloom.operators.ranking import first_per_group, nulls_last, top_per_group
 from tenderloom.operators.selection import exact_quantiles, first_bins
+from tenderloom.operators.tables import stored
 from tenderloom.schemas import PROVINCE_CODE, PROVINCE_ROOT_CODE
 
 _WIN = "is_win_bid"
 _ENDED = "is_termination"
 _LOST = "not is_win_bid and not is_termination"
+_HAS_OUTCOME = f"({_WIN}) or ({_LOST}) or ({_ENDED})"
+_HAS_MONEY = "total_amount >= 0 or total_budget >= 0"
 
 
 def lots_of(notices: DataFrame, *notice_cols: str) -> DataFrame:
@@ -61,12 +66,11 @@ def outcome_counts(notices: DataFrame, grains=tuple(GRAINS), scopes=SCOPES) -> D
 
     A period stays when it has any of the three outcomes.
     """
-    rows = notices.filter(f"({_WIN}) or ({_LOST}) or ({_ENDED})")
-    return calendar_cube(rows, [], outcome_measures(), grains, scopes)
+    return calendar_cube(notices.filter(_HAS_OUTCOME), [], outcome_measures(), grains, scopes)
 
 
-def budget_measures() -> list:
-    amount, budget = clamp("total_amount"), clamp("total_budget")
+def budget_measures(where: Column | None = None) -> list:
+    amount, budget = (c if where is None else F.when(where, c) for c in (clamp("total_amount"), clamp("total_budget")))
     return [
         money_sum("amount_sum", amount),
         money_max("amount_max", amount),
@@ -78,8 +82,7 @@ def budget_measures() -> list:
 
 
 def budget_situation(notices: DataFrame) -> DataFrame:
-    rows = notices.filter((F.col("total_amount") >= 0) | (F.col("total_budget") >= 0))
-    return calendar_cube(rows, [], budget_measures())
+    return calendar_cube(notices.filter(_HAS_MONEY), [], budget_measures())
 
 
 def level_of(code: Column) -> Column:
@@ -91,21 +94,32 @@ def level_of(code: Column) -> Column:
     )
 
 
-def district_levels(notices: DataFrame) -> DataFrame:
-    """One row: count and amount of each level, all from one aggregation."""
-    rows = notices.select(
-        level_of(F.col("district_code")).alias("level"),
-        as_money(clamp("total_amount")).alias("amount"),
-    )
+def _level_row(rows: DataFrame) -> DataFrame:
+    """One row from rows (level, rows, amount): count and amount of each level and of all."""
     aggs = []
+
+    def count(n: Column) -> Column:
+        return F.coalesce(F.sum(n), F.lit(0))
+
+    def money(amount: Column) -> Column:
+        return F.coalesce(to_double(F.sum(amount)), F.lit(0.0))
+
     for level, prefix in ((1, "provincial"), (2, "municipal"), (3, "district")):
         at = F.col("level") == level
-        total = F.sum(F.when(at, F.col("amount")))
-        aggs.append(F.count_if(at).alias(f"{prefix}_count"))
-        aggs.append(F.coalesce(to_double(total), F.lit(0.0)).alias(f"{prefix}_amount"))
-    aggs.append(F.coalesce(to_double(F.sum("amount")), F.lit(0.0)).alias("total_amount"))
-    aggs.append(F.count("*").alias("total_count"))
-    return rows.agg(*aggs)
+        aggs.append(count(F.when(at, F.col("rows"))).alias(f"{prefix}_count"))
+        aggs.append(money(F.when(at, F.col("amount"))).alias(f"{prefix}_amount"))
+    return rows.agg(*aggs, money(F.col("amount")).alias("total_amount"), count(F.col("rows")).alias("total_count"))
+
+
+def district_levels(notices: DataFrame) -> DataFrame:
+    """One row: count and amount of each level, all from one aggregation."""
+    return _level_row(
+        notices.select(
+            level_of(F.col("district_code")).alias("level"),
+            F.lit(1).cast("bigint").alias("rows"),
+            as_money(clamp("total_amount")).alias("amount"),
+        )
+    )
 
 
 def volume_measures() -> list:
@@ -117,12 +131,15 @@ def volumes(notices: DataFrame, grains=tuple(GRAINS), scopes=SCOPES) -> DataFram
     return calendar_cube(notices.filter(_WIN), [], volume_measures(), grains, scopes)
 
 
-def method_counts(notices: DataFrame, grains=tuple(GRAINS), scopes=SCOPES) -> DataFrame:
-    measures = [
+def method_measures() -> list:
+    return [
         count_of("count", "procurement_method"),
         money_sum("total_amount", clamp("total_amount", keep_null=True)),
     ]
-    return calendar_cube(notices, ["procurement_method"], measures, grains, scopes)
+
+
+def method_counts(notices: DataFrame, grains=tuple(GRAINS), scopes=SCOPES) -> DataFrame:
+    return calendar_cube(notices, ["procurement_method"], method_measures(), grains, scopes)
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -143,7 +160,10 @@ def agency_counts(notices: DataFrame) -> DataFrame:
 
 def agency_top_catalog(notices: DataFrame) -> DataFrame:
     """The catalog an agency handles most often; ties go to the first name."""
-    counts = count_by(_named_agency(notices), "purchasing_agency", "catalog")
+    return _first_catalog(count_by(_named_agency(notices), "purchasing_agency", "catalog"))
+
+
+def _first_catalog(counts: DataFrame) -> DataFrame:
     return first_per_group(
         counts, ["purchasing_agency"], [-F.col("count"), *nulls_last("catalog")], ["catalog", "count"]
     )
@@ -260,10 +280,73 @@ def amount_summary(notices: DataFrame) -> DataFrame:
     )
 
 
+# --- the report set ----------------------------------------------------------
+
+JOINT_KEY = "procurement_method"
+
+
+def joint_cells(notices: DataFrame) -> DataFrame:
+    """Day cells by district and method that hold every partial of outcomes, volumes, budgets and methods.
+
+    One pass over the notices.  ``outcome_rows`` and ``budget_rows`` say how many notices of the cell
+    belong to those reports, so that a period without any stays out.
+    """
+    won = F.when(F.expr(_WIN), F.col("total_amount"))
+    measures = [
+        *outcome_measures(),
+        money_sum("transactions_volume", won),
+        *budget_measures(F.expr(_HAS_MONEY)),
+        *method_measures(),
+        count_rows("rows"),
+        money_sum("amount", clamp("total_amount")),
+        count_if("outcome_rows", _HAS_OUTCOME),
+        count_if("budget_rows", _HAS_MONEY),
+    ]
+    return day_partials(notices, [JOINT_KEY], measures)
+
+
+def joint_reports(cells: DataFrame) -> dict[str, DataFrame]:
+    """The reports of :func:`joint_cells`, each rolled up from the cells."""
+
+    def only(name: str) -> DataFrame:
+        return cube_from_partials(cells.filter(F.col(name) > 0), [], [count_rows(name)])
+
+    return {
+        "outcomes": cube_from_partials(cells.filter("outcome_rows > 0"), [], outcome_measures()),
+        **{name: only(name) for name in ("win_count", "lose_count", "terminate_count")},
+        "volumes": cube_from_partials(cells.filter("win_count > 0"), [], volume_measures()),
+        "budgets": cube_from_partials(cells.filter("budget_rows > 0"), [], budget_measures()),
+        "methods": cube_from_partials(cells, [JOINT_KEY], method_measures()),
+        "levels": _level_row(cells.select(level_of(F.col("district_code")).alias("level"), "rows", "amount")),
+    }
+
+
+def name_cells(notices: DataFrame) -> DataFrame:
+    """Notices per purchaser, agency and catalog: what the count tables are folded from."""
+    return count_by(notices, "purchaser", "purchasing_agency", "catalog")
+
+
+def name_reports(cells: DataFrame) -> dict[str, DataFrame]:
+    """The count tables of :func:`name_cells`."""
+
+    def fold(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum("count").alias("count"))
+
+    named = _named_agency(cells)
+    return {
+        "purchaser_catalogs": fold(cells, "purchaser", "catalog"),
+        "purchaser_agencies": fold(cells, "purchaser", "purchasing_agency"),
+        "catalogs": fold(cells, "catalog"),
+        "agencies": fold(named, "purchasing_agency"),
+        "agency_catalogs": _first_catalog(fold(named, "purchasing_agency", "catalog")),
+    }
+
+
 def all_reports(notices: DataFrame) -> dict[str, DataFrame]:
     """Every table of the serving layer, by its table name.
 
-    ``notices`` should be a stored table; each report reads only its own columns.
+    ``notices`` should be a stored table.  Two passes write the cells that most reports are rolled up
+    from; purchasers and the three lot reports read the table themselves, only their own columns.
     """
     lots = lots_of(
         notices,
@@ -273,18 +356,21 @@ def all_reports(notices: DataFrame) -> dict[str, DataFrame]:
         "is_win_bid",
         "total_budget",
     )
+    joint = joint_reports(stored(joint_cells(notices), "joint-cells"))
+    names = name_reports(stored(name_cells(notices), "name-cells"))
     return {
-        "bidding_district_stats": district_levels(notices),
-        "procurement_stats": method_counts(notices),
-        "bidding_stats": outcome_counts(notices),
-        "transactions_volumes": volumes(notices),
+        "bidding_district_stats": joint["levels"],
+        "procurement_stats": joint["methods"],
+        "bidding_stats": joint["outcomes"],
+        "bidding_budget_stats": joint["budgets"],
+        "transactions_volumes": joint["volumes"],
         "supplier_transactions": supplier_volumes(lots),
         "supplier_catalogs": supplier_catalogs(lots),
         "supplier_address": supplier_addresses(lots),
         "purchaser_stats": purchaser_counts(notices),
-        "purchaser_catalog_stats": purchaser_catalogs(notices),
-        "purchaser_agency_stats": purchaser_agencies(notices),
-        "catalog_stats": catalog_counts(notices),
-        "agency_stats": agency_counts(notices),
-        "agency_catalog_stats": agency_top_catalog(notices),
+        "purchaser_catalog_stats": names["purchaser_catalogs"],
+        "purchaser_agency_stats": names["purchaser_agencies"],
+        "catalog_stats": names["catalogs"],
+        "agency_stats": names["agencies"],
+        "agency_catalog_stats": names["agency_catalogs"],
     }
