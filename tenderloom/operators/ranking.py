@@ -80,3 +80,17 @@ def page(df: DataFrame, order: Sequence[str | Column], page_no: int, page_size:
     """
     check_page(page_no, page_size)
     return df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
+
+
+def page_after(
+    df: DataFrame, order: Sequence[str], after: Sequence[object], page_size: int
+) -> DataFrame:
+    """The ``page_size`` rows that follow the row with the values ``after`` in ``order`` (ascending, ending
+    in a unique column; values are not null)."""
+    check_page(1, page_size)
+    later, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, after, strict=True):
+        later = later | (same & (F.col(name) > F.lit(value)))
+        same = same & (F.col(name) == F.lit(value))
+    # The first condition alone follows from the whole and reaches the scan.
+    return df.filter(F.col(order[0]) >= F.lit(after[0])).filter(later).orderBy(*order).limit(page_size)

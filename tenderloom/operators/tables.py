@@ -51,15 +51,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def latest_rows(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+    """One row of each key: the one with the greatest ``latest``, ties by the row's values."""
+    rest = [c for c in rows.columns if c != key]
+    order = ([latest] if latest else []) + [c for c in rest if c != latest]
+    winner = rows.groupBy(key).agg(F.max(F.struct(*order)).alias("row"))
+    return winner.select(key, *[F.col(f"row.{c}").alias(c) for c in rest])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, latest: str | None = None) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key.
 
-    Several new rows of one key: the greatest ``latest`` wins, ties by the row's values.
+    Several new rows of one key: the winner of :func:`latest_rows`.
     """
-    rest = [c for c in new.columns if c != key]
-    order = ([latest] if latest else []) + [c for c in rest if c != latest]
-    winner = new.groupBy(key).agg(F.max(F.struct(*order)).alias("row"))
-    fresh = winner.select(key, *[F.col(f"row.{c}").alias(c) for c in rest])
+    fresh = latest_rows(new, key, latest)
     if latest and latest not in old.columns:
         fresh = fresh.drop(latest)
     return old.join(fresh, key, "left_anti").unionByName(fresh)
