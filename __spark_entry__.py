@@ -20,6 +20,7 @@ import oracle_queries  # noqa: E402
 from tenderloom.functions import calendar, labels, notice_text, text  # noqa: E402
 from tenderloom.functions.amounts import parse_amount  # noqa: E402
 from tenderloom.operators import frames, pages, tables  # noqa: E402
+from tenderloom.operators.keyed_store import KeyedStore  # noqa: E402
 from tenderloom.plans import districts as D  # noqa: E402
 from tenderloom.plans import ingest as I  # noqa: E402
 from tenderloom.plans import lots as L  # noqa: E402
@@ -511,6 +512,34 @@ def _sources_and_streams() -> dict[str, Query]:
             "id", "scrape_timestamp", "district_code", "purchaser"
         )
 
+    def deep_page(spark: SparkSession, sf: str) -> DataFrame:
+        rows, counts = stored_with_counts(spark, sf)
+        return S.indexed_page(rows, counts, page_no=40, page_size=20).select("id", "scrape_timestamp", "purchaser")
+
+    def deep_city_page(spark: SparkSession, sf: str) -> DataFrame:
+        rows, counts = stored_with_counts(spark, sf)
+        return S.indexed_page(rows, counts, 6, 10, district=CITY).select("id", "scrape_timestamp", "purchaser")
+
+    def next_page(spark: SparkSession, sf: str) -> DataFrame:
+        rows, counts = stored_with_counts(spark, sf)
+        last = S.indexed_page(rows, counts, page_no=40, page_size=20).agg(F.max(F.struct(*S.TIME_ORDER)).alias("x"))
+        after = last.select("x.*").first()
+        return S.indexed_page_after(rows, counts, after, page_size=20).select("id", "scrape_timestamp", "purchaser")
+
+    def stored_with_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+        folder = run_folder(spark)
+        save_notices(X.notices(spark, sf), f"{folder}/notices")
+        rows = spark.read.parquet(f"{folder}/notices")
+        S.folder_counts(rows).write.parquet(f"{folder}/counts")
+        return rows, spark.read.parquet(f"{folder}/counts")
+
+    def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+        old, new = old_and_new(spark, sf)
+        store = KeyedStore(f"{run_folder(spark)}/store", "code", 32)
+        store.create(old)
+        store.upsert(new, "stamp")
+        return store.read(spark)
+
     def json_by_month(spark: SparkSession, sf: str) -> DataFrame:
         path = f"{run_folder(spark)}/json"
         save_json_by_month(X.notices(spark, sf).select("id", "scrape_timestamp", "purchaser"), path)
@@ -555,6 +584,10 @@ def _sources_and_streams() -> dict[str, Query]:
         "row_defaults": _on_notices(row_defaults),
         "dense_id": _on_notices(dense_id),
         "upsert": lambda spark, sf: tables.upsert(*old_and_new(spark, sf), "code", "stamp"),
+        "stored_upsert": stored_upsert,
+        "deep_page": deep_page,
+        "deep_city_page": deep_city_page,
+        "next_page": next_page,
         "changed_keys": lambda spark, sf: tables.changed_keys(*old_and_new(spark, sf), "code"),
         "month_scaffold": month_scaffold,
         "calendar_columns": _on_notices(calendar_columns),

@@ -705,6 +705,21 @@ OTHER = {
   text LIKE '%。%' OR text LIKE '%;%' AS has_mark FROM documents""",
 }
 
+OTHER["stored_upsert"] = OTHER["upsert"]
+
+
+def _page_sql(offset: int, size: int, where: str = "true") -> str:
+    return with_(
+        NOTICE,
+        f"""SELECT id, epoch_ms(ts) AS scrape_timestamp, purchaser FROM notice WHERE {where}
+  ORDER BY ts, id LIMIT {size} OFFSET {offset}""",
+    )
+
+
+OTHER["deep_page"] = _page_sql(39 * 20, 20)
+OTHER["next_page"] = _page_sql(40 * 20, 20)
+OTHER["deep_city_page"] = _page_sql(5 * 10, 10, "district_code = 450100")
+
 
 def all_statements() -> dict[str, str]:
     return {**REPORTS, **SERVING, **INGEST, **OTHER}

@@ -6,7 +6,8 @@ grain is pushed into the scan of that table.  Nested results come as long rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tenderloom.functions.calendar import date_to_ms, in_period
 from tenderloom.functions.labels import method_name
 from tenderloom.functions.money import as_money, to_double
 from tenderloom.operators.cube import district_rows, grain_rows, province_rows
-from tenderloom.operators.ranking import check_page, page, rank_with_bounds, running_total
+from tenderloom.operators.ranking import check_page, page, page_after, rank_with_bounds, running_total
 from tenderloom.plans.districts import (
     fold_to_city,
     self_and_children,
@@ -138,6 +139,66 @@ def notices_total(
     return _notices_where(notices, district, year, month, day, quarter).agg(F.count("*").alias("total"))
 
 
+# Deep pages: a count of the stored notices by folder and district says in which folders a page lies.
+
+TIME_ORDER = ("scrape_timestamp", "id")
+
+
+def folder_counts(notices: DataFrame) -> DataFrame:
+    """(year, month, district_code, rows): the index of a notice table in month folders; write it beside
+    the table.  At most districts times months rows."""
+    dated = notices.filter(F.col("scrape_timestamp").isNotNull())
+    return dated.groupBy("year", "month", "district_code").agg(F.count("*").alias("rows"))
+
+
+def _folders(counts: DataFrame, district: int) -> list[tuple[int, int, int]]:
+    """(year, month, rows) of the folders with rows, in time order: one for each calendar month."""
+    rows = counts.filter(F.col("district_code") == district) if district else counts
+    return [tuple(r) for r in rows.groupBy("year", "month").agg(F.sum("rows")).orderBy("year", "month").collect()]
+
+
+def _in_folders(notices: DataFrame, folders: list[tuple[int, int, int]], district: int) -> DataFrame:
+    if not folders:
+        return notices.filter(F.lit(False))
+    months = F.lit(False)
+    for year, month, _ in folders:
+        months = months | ((F.col("year") == year) & (F.col("month") == month))
+    rows = notices.filter(months & F.col("scrape_timestamp").isNotNull())
+    return rows.filter(F.col("district_code") == district) if district else rows
+
+
+def indexed_page(
+    notices: DataFrame, counts: DataFrame, page_no: int, page_size: int, district: int = 0, order: Sequence[str] = TIME_ORDER
+) -> DataFrame:
+    """One page in time order of a table in month folders.
+
+    Prefix sums of ``folder_counts`` find the folders the page lies in; only these are read, and the
+    offset counts from the first of them.
+    """
+    check_page(page_no, page_size)
+    begin, end = (page_no - 1) * page_size, page_no * page_size
+    here, skip, reached = [], 0, 0
+    for folder in _folders(counts, district):
+        if reached < end and reached + folder[2] > begin:
+            skip = begin - reached if not here else skip
+            here.append(folder)
+        reached += folder[2]
+    return _in_folders(notices, here, district).orderBy(*order).offset(skip).limit(page_size)
+
+
+def indexed_page_after(
+    notices: DataFrame, counts: DataFrame, after: Sequence[object], page_size: int, district: int = 0, order: Sequence[str] = TIME_ORDER
+) -> DataFrame:
+    """The page that follows a known last row, from its month's folder on as far as the page can reach."""
+    last = datetime.fromtimestamp(after[0] // 1000, UTC)
+    here, reached = [], 0
+    for folder in _folders(counts, district):
+        if folder[:2] >= (last.year, last.month) and reached < page_size:
+            here.append(folder)
+            reached += folder[2] if folder[:2] > (last.year, last.month) else 0
+    return page_after(_in_folders(notices, here, district), order, after, page_size)
+
+
 def level_rows(levels: DataFrame) -> DataFrame:
     """The one-row level report as three rows."""
     return levels.select(

@@ -44,24 +44,21 @@ def read_table(spark: SparkSession, path: str, defaults: dict | None = None) ->
     return from_row_format(spark.read.parquet(path), defaults)
 
 
-def by_month(notices: DataFrame, files_per_month: int = 1) -> DataFrame:
-    """Add year and month and bring the rows of a month to at most ``files_per_month`` tasks.
-
-    Raise it with the rows of a month, so that one task holds about one file's worth."""
+def by_month(notices: DataFrame) -> DataFrame:
+    """Add year and month and bring the rows of a month together: small months share a task, the rows of
+    a large one are split over several by their measured size."""
     ts = F.timestamp_millis("scrape_timestamp")
-    part = F.pmod(F.xxhash64("scrape_timestamp"), F.lit(files_per_month))
-    dated = notices.withColumns({"year": F.year(ts), "month": F.month(ts)})
-    return dated.repartition("year", "month", part)
+    return notices.withColumns({"year": F.year(ts), "month": F.month(ts)}).hint("rebalance", "year", "month")
 
 
-def save_notices(notices: DataFrame, path: str, files_per_month: int = 1) -> None:
+def save_notices(notices: DataFrame, path: str) -> None:
     """Notice table in year and month folders, so that period filters prune files."""
-    save_table(by_month(notices, files_per_month), path, ("year", "month"))
+    save_table(by_month(notices), path, ("year", "month"))
 
 
-def save_json_by_month(notices: DataFrame, path: str, files_per_month: int = 1) -> None:
+def save_json_by_month(notices: DataFrame, path: str) -> None:
     """Notices as JSON lines, one folder per month of publication."""
-    by_month(notices, files_per_month).write.mode("overwrite").partitionBy("year", "month").json(path)
+    by_month(notices).write.mode("overwrite").partitionBy("year", "month").json(path)
 
 
 def show(df: DataFrame, rows: int = 25, truncate: bool = False) -> None:

@@ -120,6 +120,38 @@ def test_period_prunes_folders_of_the_stored_table(spark, tmp_path):
     assert len(files) == 14  # one for each month
 
 
+def test_deep_pages_read_the_folders_they_lie_in(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    # 66,000 notices over 40 months, a third of them in one; equal times within a folder and null times.
+    k = F.col("id")
+    rows = spark.range(66_000).select(
+        F.pmod(k * 7919, F.lit(66_000)).alias("id"),
+        F.when(k % 1000 != 999, F.lit(ms(2021, 3, 1)) + F.when(k % 3 == 0, k % 20).otherwise(k % 1200) * 86400000).alias("scrape_timestamp"),
+        (F.lit(450100) + k % 4).cast("int").alias("district_code"),
+    )
+    sinks.save_notices(rows, path)
+    stored = spark.read.parquet(path)
+    counts = S.folder_counts(stored).checkpoint()
+
+    def folders(df):
+        files = df.select(F.input_file_name().alias("f")).distinct().collect()
+        return {f.f.rsplit("/", 1)[0] for f in files}
+
+    for page_no, size, district in ((1, 20, 0), (3000, 20, 0), (700, 50, 0), (1319, 50, 0), (3000, 50, 0), (900, 10, 450103), (2, 10, 9)):
+        got = S.indexed_page(stored, counts, page_no, size, district)
+        want = S.notices_page(stored, page_no, size, district)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+        assert len(folders(got)) <= 2
+        if got.count():
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "month" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+            last = got.orderBy(F.desc("scrape_timestamp"), F.desc("id")).first()
+            after = S.indexed_page_after(stored, counts, (last.scrape_timestamp, last.id), size, district)
+            if page_no < 3000:
+                assert [tuple(r) for r in after.collect()] == [tuple(r) for r in S.notices_page(stored, page_no + 1, size, district).collect()]
+            assert len(folders(after)) <= 2
+
+
 def test_period_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "n")
     df = spark.range(100).select(F.col("id"), (F.lit(ms(2023, 1, 1)) + F.col("id") * 86400000).alias("scrape_timestamp"), F.lit(1).alias("district_code"))
