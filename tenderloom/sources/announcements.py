@@ -7,7 +7,7 @@ are per row: nothing is collected into groups.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderloom.sources.fixtures import notices, table
@@ -385,3 +385,89 @@ def raw_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast(pages.schema["announcementLinkDtoList"].dataType).alias("announcementLinkDtoList"),
     )
     return pages.unionByName(purchases)
+
+
+# Projects with many result and purchase pages: the lines of an order, in every state a page can have.
+
+
+def _project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as announcements: page number ``n`` of the project, ``side``, and a number for its state."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))  # the few lines of an order
+    k, n = F.col("l_orderkey"), F.col("n")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", number.alias("n")).select(
+        k.alias("project"),
+        "n",
+        F.when(F.col("l_returnflag") == "R", "purchase").otherwise("result").alias("side"),
+        (F.col("l_partkey") % 8).alias("c"),
+        (F.col("l_partkey") % 1000 + 100).alias("price"),
+        _t("A", k, "-", n).alias("article_id"),
+    )
+
+
+_SEARCH_TIME = 1700000000000
+
+
+def searched_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list row of each project with a result page: its second one if there is one."""
+    results = _project_lines(spark, sf_dir).filter("side = 'result'")
+    numbers = F.array_sort(F.collect_list("n"))
+    own = results.groupBy("project").agg(F.coalesce(F.get(numbers, F.lit(1)), F.get(numbers, F.lit(0))).alias("n"))
+    return own.select(
+        _t("PROJECT-", F.col("project")).alias("title"),
+        F.lit(_SEARCH_TIME).alias("publishDate"),
+        F.lit("中标公告").alias("pathName"),
+        _t("A", F.col("project"), "-", F.col("n")).alias("articleId"),
+        F.lit("作者").alias("author"),
+        F.lit("450100").alias("districtCode"),
+        F.lit("城").alias("districtName"),
+        F.lit("货物").alias("gpCatalogName"),
+        F.lit("公开招标").alias("procurementMethod"),
+        F.lit(_SEARCH_TIME).alias("bidOpeningTime"),
+    )
+
+
+def searched_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of :func:`searched_list`.  Results: 0 no page, 1 wrong type, 2 no lots, 3 unknown layout,
+    4 a title without lots, else a win.  Purchases: 0 no page, 1 too old, 2 unreadable, else two lots.
+    Every fifth page occurs twice, with an older row that says something else."""
+    lines = _project_lines(spark, sf_dir)
+    c, price, bought = F.col("c"), F.col("price"), F.col("side") == "purchase"
+    link = F.struct(
+        F.col("n").alias("order"),
+        F.lit(True).alias("isExist"),
+        F.lit(_SEARCH_TIME).alias("publishDateTime"),
+        F.when(bought, "采购公告").otherwise("结果公告").alias("typeName"),
+        F.col("article_id").alias("articleId"),
+    )
+    links = lines.groupBy("project").agg(F.array_sort(F.collect_list(link)).alias("announcementLinkDtoList"))
+    win = _t(
+        "<p>三、中标（成交）信息</p><p>1.中标结果：</p><td>1</td><td>报价:", price, "(元)</td><td>SUP</td><td>路</td>"
+        "<p>2.废标结果：</p><td>2</td><td>标乙</td><td>不足</td><p>八、联系方式</p><p>采购人：局地址：街</p>",
+    )
+    # A declared budget that is not the sum of the lots makes a purchase page unreadable.
+    plan = _t(
+        "<p>预算总金额（元）：", price + F.when(c == 2, 49).otherwise(50), " 采购需求：</p><p>标项一标项名称：甲数量：1预算金额（元）：", price,
+        "数量：</p><p>标项二标项名称：乙数量：1预算金额（元）：50数量：</p>",
+    )
+    content = (
+        F.when(bought, plan)
+        .when(c == 2, "<p>空</p>")
+        .when(c == 3, "<p>三、中标信息</p><p>见附件</p>")
+        .otherwise(win)
+    )
+    rows = lines.filter(c != 0).join(links, "project").select(
+        F.col("article_id").alias("articleId"),
+        F.when(~bought & (c == 4), "公开征集公告").otherwise("公告").alias("title"),
+        F.lit(None).cast("string").alias("projectCode"),
+        F.lit(None).cast("string").alias("projectName"),
+        F.lit("450100").alias("districtCode"),
+        F.when(~bought & (c == 1), 9999).when(bought, 1).otherwise(3004).alias("announcementType"),
+        F.when(bought & (c == 1), F.lit(1600000000000)).otherwise(F.lit(_SEARCH_TIME)).alias("publishDate"),
+        content.alias("content"),
+        "announcementLinkDtoList",
+    )
+    older = rows.filter(F.pmod(F.crc32("articleId"), F.lit(5)) == 0).withColumns(
+        {"content": F.lit("<p>旧</p>"), "title": F.lit("公开征集公告"), "publishDate": F.lit(1500000000000)}
+    )
+    return rows.unionByName(older)
