@@ -31,7 +31,8 @@ from tenderloom.functions.text import bind, contains_any
 from tenderloom.operators.frames import compute_once
 from tenderloom.operators.pages import html_lines, read_result_page
 from tenderloom.operators.ranking import first_per_group
-from tenderloom.operators.tables import save_counted
+from tenderloom.operators.tables import save_counted, stored
+from tenderloom.plans.page_search import search
 from tenderloom.schemas import (
     AMOUNT_NOT_DEAL,
     BUDGET_UNASSIGNED,
@@ -40,7 +41,6 @@ from tenderloom.schemas import (
     LOT_SCHEMA,
     NOTICE_SCHEMA,
 )
-from tenderloom.session import checkpoint_root
 
 # Path names of the list and what they mean.
 PATH_KINDS = {
@@ -287,32 +287,23 @@ def parse_result_pages(pages: DataFrame, content: str = "content") -> DataFrame:
 
 
 def parse_purchase_pages(pages: DataFrame, content: str = "content") -> DataFrame:
-    """Add the typed facts of purchase pages; only usable rows are kept."""
+    """Add the typed facts ``p`` of purchase pages; ``state`` is usable, or switch where they cannot be read."""
     text = F.array_join(html_lines(F.col(content)), "")
     read = pages.withColumn("_page_text", text).drop(content)
     facts = compute_once(read, {"p": purchase_facts(F.col("_page_text"))}).drop("_page_text")
-    return facts.filter(F.col("p.error").isNull())
-
-
-def first_usable(candidates: DataFrame, key: str, kind: str = "kind") -> DataFrame:
-    """The first usable result and the last usable purchase announcement of each project.
-
-    ``candidates`` has (key, kind, position, article_id, usable).  The struct
-    minimum and maximum combine on the map side.
-    """
-    pick = F.struct("position", "article_id")
-    usable = F.col("usable")
-    return candidates.groupBy(key).agg(
-        F.min(F.when(usable & (F.col(kind) == "result"), pick))["article_id"].alias("result_id"),
-        F.max(F.when(usable & (F.col(kind) == "purchase"), pick))["article_id"].alias("purchase_id"),
-    )
+    return facts.withColumn("state", F.when(F.col("p.error").isNull(), "usable").otherwise("switch"))
 
 
 # --- records -----------------------------------------------------------------
 
 
 def _merged(purchase_lots: Column, result_lots: Column) -> Column:
-    """Result lots with name and budget of the purchase lot of the same index."""
+    """Result lots with name and budget of the purchase lot of the same index (the first one of several),
+    as :func:`tenderloom.plans.lots.merge_lots` does for tables.
+
+    The purchase lots are sorted by index once.  Where they are numbered 1, 2, ... a lot is found by its
+    place, else in a map, so the work grows with the lots and not with their pairs.
+    """
 
     def fill(r: Column, p: Column) -> Column:
         values = {f.name: r[f.name] for f in LOT_SCHEMA}
@@ -320,10 +311,23 @@ def _merged(purchase_lots: Column, result_lots: Column) -> Column:
         values["budget"] = F.when(p.isNotNull(), p["budget"]).otherwise(r["budget"])
         return _lot_struct(**values)
 
-    def planned(r: Column) -> Column:
-        return F.get(F.filter(purchase_lots, lambda x: x["index"] == r["index"]), F.lit(0))
+    def numbered(x: Column, i: Column) -> Column:
+        return F.struct(x["index"].alias("index"), i.alias("at"), x["name"].alias("name"), x["budget"].alias("budget"))
+
+    def firsts(lots: Column) -> Column:
+        return F.filter(lots, lambda x, i: (i == 0) | (F.get(lots, i - 1)["index"] != x["index"]))
 
-    return F.transform(result_lots, lambda r: bind(planned(r), lambda p: fill(r, p)))
+    def both(planned: Column) -> Column:
+        by_index = F.map_from_entries(F.transform(planned, lambda x: F.struct(x["index"], x)))
+        return F.struct(planned.alias("lots"), by_index.alias("by_index"))
+
+    def found(p: Column, r: Column) -> Column:
+        here = F.get(p["lots"], r["index"] - 1)
+        return F.when(here["index"] == r["index"], here).otherwise(F.try_element_at(p["by_index"], r["index"]))
+
+    indexed = F.filter(F.transform(purchase_lots, numbered), lambda x: x["index"].isNotNull())
+    planned = bind(bind(F.array_sort(indexed), firsts), both)
+    return bind(planned, lambda p: F.transform(result_lots, lambda r: bind(found(p, r), lambda x: fill(r, x))))
 
 
 def _planned(purchase_lots: Column, reason: Column | None = None) -> Column:
@@ -497,18 +501,27 @@ def retry_list(errors: DataFrame, old: DataFrame) -> DataFrame:
 # --- the job -----------------------------------------------------------------
 
 
-def newest_details(raw_detail: DataFrame) -> DataFrame:
-    """The newest detail row of each article; of equal times the one with the least hash of its content.
+def detail_heads(raw_detail: DataFrame) -> DataFrame:
+    """The newest detail row of each article without its page; of equal times the least hash of the content.
 
-    Only (id, time, hash) is aggregated; pages are not moved into the aggregate.  Rows that are
-    equal in all columns may remain, which changes no result.
+    ``_time`` and ``_hash`` lead back to the row with the page.
     """
-    time = F.coalesce("publishDate", F.lit(0))
-    keyed = raw_detail.withColumns({"_time": -time, "_hash": F.xxhash64(*raw_detail.columns)})
-    best = keyed.groupBy("articleId").agg(F.min(F.struct("_time", "_hash")).alias("_best"))
-    best = best.select(F.col("articleId").alias("_id"), "_best.*").withColumnsRenamed({"_time": "_t", "_hash": "_h"})
-    same = (F.col("articleId") == F.col("_id")) & (F.col("_time") == F.col("_t")) & (F.col("_hash") == F.col("_h"))
-    return keyed.join(best, same, "left_semi").drop("_time", "_hash")
+    small = [c for c in raw_detail.columns if c not in ("articleId", "content")]
+    keyed = raw_detail.select("articleId", *small, *_row_keys(raw_detail))
+    best = keyed.groupBy("articleId").agg(F.min(F.struct("_time", "_hash", *small)).alias("d"))
+    return best.filter(F.col("articleId").isNotNull()).select(F.col("articleId").alias("article_id"), "d.*")
+
+
+def _row_keys(raw_detail: DataFrame) -> list[Column]:
+    return [(-F.coalesce("publishDate", F.lit(0))).alias("_time"), F.xxhash64(*raw_detail.columns).alias("_hash")]
+
+
+def pages_of(raw_detail: DataFrame, heads: DataFrame, asked: DataFrame) -> DataFrame:
+    """(article_id, form, content) of the newest pages of the asked articles; rows that are equal in all
+    columns may repeat.  Where few are asked for, Spark broadcasts them and moves no page."""
+    wanted = asked.join(heads.select("article_id", "_time", "_hash"), "article_id")
+    rows = raw_detail.select(F.col("articleId").alias("article_id"), *_row_keys(raw_detail), "content")
+    return rows.join(wanted, ["article_id", "_time", "_hash"]).select("article_id", "form", "content")
 
 
 def one_per_project(linked: DataFrame, records: DataFrame) -> DataFrame:
@@ -532,9 +545,12 @@ def one_per_project(linked: DataFrame, records: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ingested:
+    """``pages``: (project, side, rank, article_id, outcome) of every candidate page of the listed projects."""
+
     notices: DataFrame
     quarantine: DataFrame
     statuses: DataFrame
+    pages: DataFrame
 
 
 def ingest(
@@ -554,17 +570,15 @@ def ingest(
     layout differs; a project whose purchase pages are all older is stored without one.  With
     ``only_fresh`` the list holds no seen rows (``seen`` is then used for linked announcements alone).
 
-    The linked projects and the finished records are written once as checkpoints:
-    each is read several times, and the pages must be parsed only once.
+    What is read several times is written once to the shared folder: detail heads, linked projects, the
+    facts of the pages and the finished records.  Each page that is needed is parsed once.
     """
-    checkpoint_root(raw_list.sparkSession)
     listed = unseen(unseen(flatten_list(raw_list), None if only_fresh else seen), excluded)
     rest = [c for c in listed.columns if c != "article_id"]
     meta = first_per_group(listed, ["article_id"], [F.col(c) for c in rest], rest)
-    details = newest_details(raw_detail)
-    facts = details.select(
-        F.col("articleId").alias("article_id"),
-        F.col("publishDate").alias("detail_time"),
+    heads = stored(detail_heads(raw_detail), "detail-heads")
+    newest = heads.select(
+        "article_id",
         F.col("title").alias("detail_title"),
         F.col("projectCode").alias("project_code"),
         F.col("projectName").alias("project_name"),
@@ -572,17 +586,16 @@ def ingest(
         F.col("announcementLinkDtoList").alias("links"),
         F.lit(True).alias("has_detail"),
     )
-    known = [c for c in facts.columns if c not in ("article_id", "detail_time")]
-    newest = first_per_group(facts, ["article_id"], [-F.col("detail_time")], known)
     own = resolve_links(meta.join(newest, "article_id", "left"), now_ms=now_ms)
     early = F.when(F.col("has_detail").isNull(), F.lit("detail: no data")).otherwise(F.col("link_error"))
-    linked = own.withColumn("early_error", early).drop("links", "has_detail", "link_error").checkpoint()
+    linked = stored(own.withColumn("early_error", early).drop("links", "has_detail", "link_error"), "linked")
 
     # Every announcement is assembled: which one stands for its project shows only when its pages are read.
     usable = linked.filter(F.col("early_error").isNull()).drop("early_error")
-    projects = _choose_result(usable, details, seen)
-    purchases = _choose_purchase(projects, details, first_purchase_ms)
-    assembled = assemble(projects.join(purchases, "article_id", "left")).checkpoint()
+    projects, results = _choose_result(usable, raw_detail, heads, seen)
+    projects = stored(projects, "projects")
+    purchases, bought = _choose_purchase(projects, raw_detail, heads, first_purchase_ms)
+    assembled = stored(assemble(projects.join(purchases, "article_id", "left")), "assembled")
     marked = one_per_project(usable, assembled)
     covered = marked.filter("_covered").select("article_id")
     records = marked.filter("NOT _covered").drop("_covered")
@@ -611,7 +624,8 @@ def ingest(
         (passed_over(linked, "early_error").unionByName(passed_over(records, "record_error")), "candidates"),
     ):
         statuses = statuses.unionByName(rows.withColumn("status", F.lit(status)))
-    return Ingested(notices, rejected, statuses)
+    pages = results.withColumn("side", F.lit("result")).unionByName(bought.withColumn("side", F.lit("purchase")))
+    return Ingested(notices, rejected, statuses, pages)
 
 
 STATUSES = ("stored", "error", "covered", "candidates")
@@ -639,79 +653,77 @@ def _notice_column(field) -> Column:
     return F.col(field.name).cast(field.dataType.simpleString()).alias(field.name)
 
 
-def _choose_result(projects: DataFrame, raw_detail: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """Join every project with its first usable result page: the own one, then the others in order.
+def _known(skip: Column, here: Column) -> Column:
+    """What a candidate's list entry tells: no page, a title that ends the search, a type to pass over."""
+    return (
+        F.when(~F.coalesce(here, F.lit(False)), "missing").when(skip == "title", "without_items").when(skip == "type", "type")
+    )
+
+
+def _choose_result(
+    projects: DataFrame, raw_detail: DataFrame, heads: DataFrame, seen: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """Every project with its first usable result page: the own one, then the others in order; and the
+    outcome of each candidate page.
 
     Pages of announcements already stored are passed over.  A page that does not
     parse stops the search with an error; a skipped title stops it without lots.
     """
     ids = projects.select(
         F.col("article_id").alias("project"),
-        "is_win_bid",
-        "start_position",
+        F.col("is_win_bid").alias("form"),
         F.posexplode("result_article_id").alias("pos", "article_id"),
-    )
-    ids = unseen(
-        ids.withColumn("rank", F.when(F.col("pos") + 1 == F.col("start_position"), -1).otherwise(F.col("pos"))),
-        seen,
-    )
-    detail = raw_detail.select(
-        F.col("articleId").alias("article_id"),
-        F.col("title").alias("page_title"),
-        "announcementType",
-        "content",
-    )
-    pages = ids.join(detail, "article_id").withColumn(
-        "skip", skip_reason(F.col("page_title"), F.col("announcementType"))
-    )
-    parsed = parse_result_pages(pages)
-    state = (
-        F.when(F.col("skip") == "title", "without_items")
-        .when(F.col("skip") == "type", "switch")
-        .otherwise(F.col("state"))
-    )
-    decided = parsed.withColumn("state", state).filter(F.col("state") != "switch")
-    best = decided.groupBy("project").agg(
-        F.min_by(
-            F.struct(*[c for c in decided.columns if c not in ("project", "is_win_bid", "rank", "pos", "skip")]),
-            F.col("rank"),
-        ).alias("best")
+        (F.col("start_position") - 1).alias("_own"),
+    ).withColumn("rank", F.when(F.col("pos") == F.col("_own"), -1).otherwise(F.col("pos")))
+    if seen is not None:
+        old = seen.select("article_id", F.lit(True).alias("_seen")).distinct()
+        ids = ids.join(old, "article_id", "left")
+    head = heads.select("article_id", F.col("title").alias("page_title"), "announcementType", F.lit(True).alias("_here"))
+    known = _known(skip_reason(F.col("page_title"), F.col("announcementType")), F.col("_here"))
+    if seen is not None:
+        known = F.when(F.col("_seen"), "seen").otherwise(known)
+    done = search(
+        ids.join(head, "article_id", "left").withColumn("known", known),
+        lambda asked: pages_of(raw_detail, heads, asked).withColumn("is_win_bid", F.col("form")),
+        lambda pages: parse_result_pages(pages).drop("is_win_bid"),
+    )
+    chosen = done.chosen.select(
+        F.col("project"), F.col("article_id").alias("source_id"), "form", F.col("state").alias("chosen_state")
+    )
+    best = (
+        chosen.join(done.facts.withColumnRenamed("article_id", "source_id").drop("state"), ["source_id", "form"], "left")
+        .join(head.select(F.col("article_id").alias("source_id"), "page_title"), "source_id", "left")
+        .drop("form")
     )
     joined = projects.join(best.withColumnRenamed("project", "article_id"), "article_id", "left")
-    b = F.col("best")
-    without = b.isNull() | (F.col("best.state") == "without_items")
-    own_page = F.col("best.article_id") == F.col("article_id")
+    without = F.col("source_id").isNull() | (F.col("chosen_state") == "without_items")
+    own_page = F.col("source_id") == F.col("article_id")
     none_lots, none_names = F.array().cast(_LOTS), F.array().cast("array<string>")
 
     def keep(name: str) -> Column:
-        return F.when(~without, F.col(f"best.{name}")).alias(name)
+        return F.when(~without, F.col(name)).alias(name)
 
-    return joined.select(
+    found = joined.select(
         "article_id",
-        F.coalesce("best.article_id", "article_id").alias("result_source_article_id"),
+        F.coalesce("source_id", "article_id").alias("result_source_article_id"),
         F.when(own_page & F.col("title").isNotNull(), F.col("title"))
-        .otherwise(F.coalesce("best.page_title", "title"))
+        .otherwise(F.coalesce("page_title", "title"))
         .alias("title"),
         "scrape_timestamp",
         F.coalesce(F.nullif(keep("page_name"), F.lit("")), "project_name").alias("project_name"),
         F.coalesce(F.nullif(keep("page_code"), F.lit("")), "project_code").alias("project_code"),
         F.coalesce("district_code", "detail_district").alias("district_code"),
-        *[
-            F.col(c)
-            for c in (
-                "district_name",
-                "author",
-                "catalog",
-                "procurement_method",
-                "bid_opening_time",
-                "is_win_bid",
-                "result_article_id",
-                "result_publish_date",
-                "purchase_article_id",
-                "purchase_publish_date",
-                "tender_duration",
-            )
-        ],
+        "district_name",
+        "author",
+        "catalog",
+        "procurement_method",
+        "bid_opening_time",
+        "is_win_bid",
+        "result_article_id",
+        "result_publish_date",
+        "purchase_article_id",
+        "purchase_publish_date",
+        "tender_duration",
         (F.col("is_termination") | F.coalesce(keep("page_termination"), F.lit(False))).alias("is_termination"),
         keep("termination_reason"),
         F.coalesce(keep("review_expert"), none_names).alias("review_expert"),
@@ -720,26 +732,41 @@ def _choose_result(projects: DataFrame, raw_detail: DataFrame, seen: DataFrame |
         keep("purchasing_agency"),
         F.coalesce(keep("result_lots"), none_lots).alias("result_lots"),
         F.coalesce(keep("shared_reason"), F.lit(False)).alias("shared_reason"),
-        F.when(~without, F.col("best.page_error")).alias("page_error"),
+        F.when(~without, F.col("page_error")).alias("page_error"),
         without.alias("without_items"),
     )
+    return found, done.outcomes
 
 
-def _choose_purchase(projects: DataFrame, raw_detail: DataFrame, first_ms: int) -> DataFrame:
-    """(article_id, purchase source, title, facts ``p``) of the last usable purchase page."""
+def _choose_purchase(
+    projects: DataFrame, raw_detail: DataFrame, heads: DataFrame, first_ms: int
+) -> tuple[DataFrame, DataFrame]:
+    """(article_id, purchase source, title, facts ``p``) of the last usable purchase page, and the outcome
+    of each candidate page.  Pages before ``first_ms`` and pages that cannot be read are passed over."""
     ids = projects.filter(~F.col("without_items")).select(
-        F.col("article_id").alias("project"), F.posexplode("purchase_article_id").alias("pos", "article_id")
-    )
-    detail = raw_detail.filter(F.col("publishDate") >= first_ms).select(
-        F.col("articleId").alias("article_id"), F.col("title").alias("purchase_title"), "content"
+        F.col("article_id").alias("project"),
+        F.lit(True).alias("form"),
+        F.posexplode("purchase_article_id").alias("pos", "article_id"),
+    )
+    head = heads.select("article_id", F.col("title").alias("purchase_title"), "publishDate", F.lit(True).alias("_here"))
+    dated = F.coalesce(F.col("publishDate") >= first_ms, F.lit(False))
+    done = search(
+        ids.join(head, "article_id", "left").withColumns(
+            {
+                "rank": -F.col("pos"),
+                "known": F.when(F.col("_here").isNull(), "missing").when(~dated, "old"),
+            }
+        ),
+        lambda asked: pages_of(raw_detail, heads, asked),
+        parse_purchase_pages,
     )
-    parsed = parse_purchase_pages(ids.join(detail, "article_id"))
-    best = parsed.groupBy("project").agg(
-        F.max_by(F.struct("article_id", "purchase_title", "p"), F.col("pos")).alias("best")
+    best = done.chosen.join(done.facts.select("article_id", "p"), "article_id").join(
+        head.select("article_id", "purchase_title"), "article_id", "left"
     )
-    return best.select(
+    found = best.select(
         F.col("project").alias("article_id"),
-        F.col("best.article_id").alias("purchase_source_article_id"),
-        F.col("best.purchase_title").alias("purchase_title"),
-        F.col("best.p").alias("p"),
+        F.col("article_id").alias("purchase_source_article_id"),
+        "purchase_title",
+        "p",
     )
+    return found, done.outcomes

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions.calendar import date_to_ms, in_period
 from tenderloom.functions.labels import method_name
-from tenderloom.functions.money import as_money, to_double
+from tenderloom.functions.money import as_money, lot_value, to_double
 from tenderloom.operators.cube import district_rows, grain_rows, province_rows
 from tenderloom.operators.ranking import check_page, page, page_after, rank_with_bounds, running_total
 from tenderloom.plans.districts import (
@@ -300,38 +300,49 @@ def supplier_catalogs_of(catalogs: DataFrame, supplier: str) -> DataFrame:
     )
 
 
-def supplier_detail(
-    addresses: DataFrame, catalogs: DataFrame, volumes: DataFrame, supplier: str
-) -> DataFrame:
-    """Address, catalogs and province year rows of one supplier as long rows.
+def supplier_detail(lots: DataFrame, supplier: str, percent_scale: str = "0.01") -> DataFrame:
+    """Most frequent address, catalogs and won volume by year of one supplier, as long rows.
 
-    No row at all means the supplier is unknown.
+    All sections are grouping sets of one aggregate over the supplier's lots (with the columns of
+    their notice), so the lots are read once.  No row at all means the supplier is unknown.
     """
-    at = F.col("supplier") == supplier
-    text, number, count = (lambda c: c.cast("string")), (lambda c: c.cast("double")), (lambda c: c.cast("bigint"))
-    none = F.lit(None)
-    address = addresses.filter(at).select(
+    won = F.expr("is_win_bid and is_win and amount >= 0")
+    value = lot_value(F.col("amount"), F.col("is_percent"), F.col("total_budget"), percent_scale)
+    year = F.year(F.timestamp_millis("scrape_timestamp"))
+    rows = lots.filter(F.col("supplier") == supplier).select(
         "supplier",
-        F.lit("address").alias("section"),
-        text(F.col("address")).alias("label"),
-        number(none).alias("volume"),
-        count(none).alias("count"),
+        F.col("supplier_address").alias("address"),
+        "catalog",
+        year.alias("year"),
+        F.when(won, value).alias("won_value"),
+        won.alias("won"),
     )
-    catalog = catalogs.filter(at).select(
-        "supplier",
-        F.lit("catalog").alias("section"),
-        F.col("catalog").alias("label"),
-        number(none).alias("volume"),
-        count(F.col("count")).alias("count"),
+    keys = ("address", "catalog", "year")
+    grouped = rows.groupingSets([["supplier", k] for k in keys], "supplier", *keys).agg(
+        F.count("*").alias("lots"),
+        F.count_if("won").alias("won"),
+        F.sum("won_value").alias("volume"),
+        *[F.grouping(k).alias(f"_all_{k}") for k in keys],
     )
-    years = grain_rows(province_rows(volumes.filter(at)), "year").select(
+    section = F.coalesce(*[F.when(F.col(f"_all_{k}") == 0, F.lit(k)) for k in keys])
+    parts = grouped.select(
+        "supplier",
+        section.alias("section"),
+        F.coalesce(*[F.col(k).cast("string") for k in keys]).alias("label"),
+        *("lots", "won", "volume"),
+    ).filter((F.col("section") != "year") | (F.col("won") > 0))
+    parts = parts.filter((F.col("section") != "address") | (F.length("supplier") >= 2))
+    # One address, the most frequent one; each catalog and year keeps its row.
+    each = F.when(F.col("section") != "address", F.struct("label"))
+    order = F.struct(-F.col("lots"), F.col("label").isNull(), "label", "lots", "won", "volume")
+    best = parts.groupBy("supplier", "section", each.alias("_each")).agg(F.min(order).alias("b"))
+    return best.select(
         "supplier",
-        F.lit("year").alias("section"),
-        text(F.col("year")).alias("label"),
-        F.col("transactions_volume").alias("volume"),
-        count(F.col("bidding_count")).alias("count"),
+        "section",
+        F.col("b.label").alias("label"),
+        F.when(F.col("section") == "year", to_double("b.volume")).alias("volume"),
+        F.when(F.col("section") == "catalog", F.col("b.lots")).when(F.col("section") == "year", F.col("b.won")).alias("count"),
     )
-    return address.unionByName(catalog).unionByName(years)
 
 
 def yearly_from_months(volume: DataFrame) -> DataFrame:

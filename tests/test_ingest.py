@@ -1,13 +1,14 @@
 """The ingestion job from raw tables to notices and quarantine."""
 
 import json
+import time
 
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tenderloom.plans import ingest as I
 from tenderloom.plans import lots as L
-from tenderloom.schemas import FIRST_USABLE_MS, NOTICE_SCHEMA, RAW_DETAIL_SCHEMA, RAW_LIST_SCHEMA
+from tenderloom.schemas import FIRST_USABLE_MS, LOT_SCHEMA, NOTICE_SCHEMA, RAW_DETAIL_SCHEMA, RAW_LIST_SCHEMA
 
 T0 = 1700000000000
 DAY = 86400000
@@ -271,3 +272,35 @@ def test_quarantine_keeps_lots_as_json(spark):
     done, notices, errors = run(spark, lists, details)
     assert errors == {"mm": "record: number of lots differs"} and not notices
     assert len(json.loads(done.quarantine.first().content)) == 3
+
+
+def test_lots_are_merged_by_index(spark):
+    """The first purchase lot of an index counts; gaps, repeats, nulls and no purchase lot; many lots."""
+    shape = f"array<{LOT_SCHEMA.simpleString()}>"
+    lot = lambda i, name, budget: (name, i, True, budget, 1.0, False, "S", None, None)
+    names = [f.name for f in LOT_SCHEMA]
+    assert names == ["name", "index", "is_win", "budget", "amount", "is_percent", "supplier", "supplier_address", "reason"]
+    plan = [lot(3, "c", 3.0), lot(1, "a", 1.0), lot(1, "again", 9.0), lot(7, "g", 7.0), lot(None, "no index", 5.0)]
+    result = [lot(1, "r1", -1.0), lot(1, "r2", -1.0), lot(2, "r3", -1.0), lot(7, "r4", -1.0), lot(None, "r5", -1.0), lot(3, "r6", -1.0)]
+    rows = spark.createDataFrame([(plan, result), ([], result[:1]), (plan, [])], f"p {shape}, r {shape}")
+    got = [[(x["index"], x["name"], x["budget"]) for x in r.m] for r in rows.select(I._merged(F.col("p"), F.col("r")).alias("m")).collect()]
+    assert got == [
+        [(1, "a", 1.0), (1, "a", 1.0), (2, "r3", -1.0), (7, "g", 7.0), (None, "r5", -1.0), (3, "c", 3.0)],
+        [(1, "r1", -1.0)],
+        [],
+    ]
+    # The same rule on tables.
+    flat = lambda c: rows.limit(1).select(F.lit(1).alias("id"), F.inline(c))
+    once = flat("p").filter("name not in ('again', 'no index')")
+    table = L.merge_lots(once, flat("r")).select("index", "name", "budget")
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(got[0], key=str)
+
+    n = 5000
+    many = spark.range(1).select(
+        F.transform(F.sequence(F.lit(n), F.lit(1), F.lit(-1)), lambda i: I._lot_struct(index=i, name=F.concat(F.lit("p"), i), budget=i)).alias("p"),
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: I._lot_struct(index=i, amount=i)).alias("r"),
+    ).checkpoint()
+    began = time.time()
+    merged = many.select(F.inline(I._merged(F.col("p"), F.col("r")))).collect()
+    assert [(x["index"], x["name"], x["budget"]) for x in merged] == [(i, f"p{i}", float(i)) for i in range(1, n + 1)]
+    assert time.time() - began < 10

@@ -279,3 +279,30 @@ def test_axis_labels(spark):
     df = spark.createDataFrame([(3, 9, 0), (3, 0, 0), (0, 0, 2), (0, 0, 0)], "month int, day int, quarter int")
     shown = [r[0] for r in df.select(labels.axis_label(F.col("month"), F.col("day"), F.col("quarter"))).collect()]
     assert shown == ["03月09日", "3月", "第2季度", None]
+
+
+def test_supplier_detail_reads_the_lots_once(spark):
+    cols = "supplier string, supplier_address string, catalog string, scrape_timestamp long, is_win_bid boolean, is_win boolean, amount double, is_percent boolean, total_budget double"
+    rows = [
+        ("S1", "A", "goods", ms(2023, 1, 1), True, True, 10.0, False, 5.0), ("S1", "B", "goods", ms(2023, 5, 1), True, True, 50.0, True, 200.0),
+        ("S1", "B", None, ms(2024, 1, 1), True, False, 7.0, False, 5.0), ("S1", None, "work", None, True, True, 1.0, False, 5.0),
+        ("S1", "A", "work", ms(2025, 1, 1), True, True, -1.0, False, 5.0), ("S2", "C", "work", ms(2025, 1, 1), True, True, 3.0, False, 5.0),
+        ("S", "C", "work", ms(2025, 1, 1), True, True, 3.0, False, 5.0),
+    ]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lots = spark.createDataFrame(rows, cols)
+    counted = lots.mapInArrow(count, lots.schema)
+    got = {(r.section, r.label): (r.volume, r["count"]) for r in S.supplier_detail(counted, "S1").collect()}
+    assert got == {
+        ("address", "A"): (None, None), ("catalog", "goods"): (None, 2), ("catalog", "work"): (None, 2), ("catalog", None): (None, 1),
+        ("year", "2023"): (110.0, 2), ("year", None): (1.0, 1),
+    }
+    assert read.value == len(rows)
+    assert {r.section for r in S.supplier_detail(lots, "S").collect()} == {"catalog", "year"}
+    assert S.supplier_detail(lots, "nobody").count() == 0
