@@ -24,6 +24,7 @@ from tenderloom.operators.keyed_store import KeyedStore  # noqa: E402
 from tenderloom.plans import districts as D  # noqa: E402
 from tenderloom.plans import ingest as I  # noqa: E402
 from tenderloom.plans import lots as L  # noqa: E402
+from tenderloom.plans import page_search  # noqa: E402
 from tenderloom.plans import reports as R  # noqa: E402
 from tenderloom.plans import serving as S  # noqa: E402
 from tenderloom.session import checkpoint_root, use_engine_settings  # noqa: E402
@@ -138,15 +139,6 @@ def _serving() -> dict[str, Query]:
             R.volumes(X.notices(spark, sf), (grain,), DISTRICT), X.districts(spark, sf)
         )
 
-    def supplier_detail(spark: SparkSession, sf: str) -> DataFrame:
-        lots = X.notice_lots(spark, sf).filter(F.col("supplier") == SUPPLIER)
-        return S.supplier_detail(
-            R.supplier_addresses(lots),
-            R.supplier_catalogs(lots),
-            R.supplier_volumes(lots, YEAR, PROVINCE),
-            SUPPLIER,
-        )
-
     def outcome_label(n: DataFrame) -> DataFrame:
         code = labels.outcome_code(F.col("is_win_bid"), F.col("is_termination"))
         return R.count_by(n.select(code.alias("code")), "code").select(
@@ -192,7 +184,7 @@ def _serving() -> dict[str, Query]:
         "cities": _on_districts(D.cities),
         "supplier_page": lambda spark, sf: S.supplier_page(R.supplier_addresses(X.lots(spark, sf)), 2, 20),
         "supplier_catalogs_of": _on_lots(lambda x: S.supplier_catalogs_of(R.supplier_catalogs(x), SUPPLIER)),
-        "supplier_detail": supplier_detail,
+        "supplier_detail": _on_lots(lambda x: S.supplier_detail(x, SUPPLIER)),
         "yearly_from_months": _on_notices(
             lambda n: S.yearly_from_months(R.volumes(n, ("month",), PROVINCE))
         ),
@@ -372,8 +364,28 @@ def _ingest() -> dict[str, Query]:
     def ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
         return I.error_report(job(spark, sf).quarantine)
 
+    def search_job(spark: SparkSession, sf: str) -> I.Ingested:
+        # Raw tables are stored ones: every round of the search reads pages from them.
+        raw = tables.stored(A.searched_list(spark, sf), "raw-list"), tables.stored(A.searched_detail(spark, sf), "raw-detail")
+        return I.ingest(*raw, now_ms=F.lit(4102444800000))
+
+    def searched_notices(spark: SparkSession, sf: str) -> DataFrame:
+        return search_job(spark, sf).notices.select(
+            "result_source_article_id",
+            "purchase_source_article_id",
+            "total_budget",
+            "total_amount",
+            F.size("bid_items").alias("lots"),
+            F.size("result_article_id").alias("results"),
+        )
+
+    def page_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+        return search_job(spark, sf).pages.groupBy("side", "outcome").agg(F.count("*").alias("pages"))
+
     return {
         "ingested_notices": ingested_notices,
+        "searched_notices": searched_notices,
+        "page_outcomes": page_outcomes,
         "ingest_errors": ingest_errors,
         "classify_list": on(
             A.raw_list,
@@ -412,7 +424,7 @@ def _ingest() -> dict[str, Query]:
         "lot_budget": on(X.lots, L.budget_of_lots),
         "lot_amount": _on_lots(L.amount_of_lots),
         "budget_mismatch": lambda spark, sf: L.budget_mismatch(X.notices(spark, sf), X.lots(spark, sf)),
-        "first_usable": on(A.project_candidates, lambda df: I.first_usable(df, "project")),
+        "first_usable": on(A.project_candidates, page_search.first_usable),
         "completeness": _on_notices(
             lambda n: I.completeness(
                 n, ["procurement_method", "purchaser", "purchasing_agency", "total_amount", "project_code"]
@@ -546,6 +558,22 @@ def _sources_and_streams() -> dict[str, Query]:
         rows = spark.read.schema("id long, scrape_timestamp long, purchaser string, year int, month int").json(path)
         return rows.groupBy("year", "month").agg(F.count("*").alias("notices"), F.max("purchaser").alias("last_purchaser"))
 
+    def closed_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+        # Two years to a file, one file to a micro-batch; every tenth order comes a file later.
+        root = run_folder(spark)
+        timed = X.notices(spark, sf).select("id", "district_code", F.timestamp_millis("scrape_timestamp").alias("ts"))
+        delay = F.when(F.col("id") % 10 == 0, 1).otherwise(0)
+        dealt = timed.withColumn("file", F.least(F.floor((F.year("ts") - 1992) / 2) + delay, F.lit(3)))
+        dealt = tables.stored(dealt, "dealt")
+        for k in range(4):
+            dealt.filter(F.col("file") == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = Z.parquet_stream(spark, f"{root}/in", files_per_trigger=1)
+        Z.fold_windows(stream, f"{root}/out", f"{root}/log", "ts", ["district_code"]).awaitTermination()
+        closed, open_, late = Z.read_windows(spark, f"{root}/out")
+        late = Z.window_counts(late, "ts", ["district_code"])
+        parts = [df.withColumn("part", F.lit(p)) for p, df in (("closed", closed), ("open", open_), ("late", late))]
+        return frames.union_frames(parts).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
     def latest_of_stream(spark: SparkSession, sf: str) -> DataFrame:
         root = run_folder(spark)
 
@@ -594,6 +622,7 @@ def _sources_and_streams() -> dict[str, Query]:
         "streamed_volume_cube": streamed_volume_cube,
         "streamed_unique_events": streamed_unique_events,
         "streamed_daily_counts": streamed_daily_counts,
+        "closed_daily_counts": closed_daily_counts,
         "stored_notices_page": stored_notices_page,
         "json_by_month": json_by_month,
         "latest_of_stream": latest_of_stream,

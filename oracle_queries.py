@@ -657,6 +657,40 @@ plan AS (SELECT l_orderkey AS id, l_linenumber AS idx, concat('PLAN-', CAST(max(
   SELECT article_id, is_win, message FROM e WHERE NOT old EXCEPT SELECT article_id, is_win, message FROM e WHERE old""",
 }
 
+# Each line of an order is an announcement of a project; see the fixture for what its state c means.
+SEARCH = """
+line AS (SELECT l_orderkey AS project, l_partkey % 8 AS c, l_partkey % 1000 + 100 AS price, l_returnflag = 'R' AS bought,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM lineitem),
+res AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n) AS i, count(*) OVER (PARTITION BY project) AS results FROM line WHERE NOT bought),
+cand AS (SELECT *, CASE WHEN i = least(2, results) THEN 0 ELSE i END AS rank FROM res),
+own AS (SELECT project, n AS own_n, results FROM cand WHERE rank = 0 AND c <> 0),
+ending AS (SELECT project, min(rank) AS last FROM cand WHERE c > 2 GROUP BY project),
+chosen AS (SELECT o.project, own_n, o.results, x.n, x.c, x.price, e.last FROM own o LEFT JOIN ending e ON o.project = e.project
+  LEFT JOIN cand x ON x.project = e.project AND x.rank = e.last),
+plan AS (SELECT l.project, l.n, l.c, l.price FROM line l JOIN chosen h ON l.project = h.project WHERE bought AND h.c > 2 AND h.c <> 4),
+used AS (SELECT project, max(n) AS n FROM plan WHERE c > 2 GROUP BY project)"""
+
+INGEST["searched_notices"] = with_(
+    SEARCH,
+    """SELECT concat('A', CAST(h.project AS VARCHAR), '-', CAST(coalesce(h.n, own_n) AS VARCHAR)) AS result_source_article_id,
+  CASE WHEN u.n IS NOT NULL THEN concat('A', CAST(h.project AS VARCHAR), '-', CAST(u.n AS VARCHAR)) END AS purchase_source_article_id,
+  CAST(CASE WHEN u.n IS NULL THEN -1 ELSE p.price + 50 END AS DOUBLE) AS total_budget,
+  CAST(CASE WHEN h.c > 4 THEN h.price ELSE -1 END AS DOUBLE) AS total_amount,
+  CASE WHEN h.c > 4 THEN 2 ELSE 0 END AS lots, CAST(results AS INTEGER) AS results
+  FROM chosen h LEFT JOIN used u ON h.project = u.project LEFT JOIN plan p ON p.project = u.project AND p.n = u.n
+  WHERE h.c IS NULL OR h.c <> 3""",
+)
+INGEST["page_outcomes"] = with_(
+    SEARCH,
+    """SELECT side, outcome, count(*) AS pages FROM (
+  SELECT 'result' AS side, CASE WHEN x.rank > h.last THEN 'not needed' ELSE CASE x.c WHEN 0 THEN 'missing' WHEN 1 THEN 'type'
+    WHEN 2 THEN 'switch' WHEN 3 THEN 'error' WHEN 4 THEN 'without_items' ELSE 'usable' END END AS outcome
+  FROM cand x JOIN chosen h ON x.project = h.project
+  UNION ALL
+  SELECT 'purchase', CASE WHEN p.n < u.n THEN 'not needed' ELSE CASE p.c WHEN 0 THEN 'missing' WHEN 1 THEN 'old' WHEN 2 THEN 'switch' ELSE 'usable' END END
+  FROM plan p LEFT JOIN used u ON p.project = u.project) t GROUP BY side, outcome""",
+)
+
 OTHER = {
     "notice_json": with_(
         NOTICE,
@@ -716,6 +750,15 @@ def _page_sql(offset: int, size: int, where: str = "true") -> str:
     )
 
 
+OTHER["closed_daily_counts"] = with_(
+    NOTICE,
+    """, timed AS (SELECT *, least((year(ts) - 1992) // 2 + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END, 3) AS file FROM notice),
+  mark AS (SELECT f.file, (SELECT max(ts) FROM timed t WHERE t.file < f.file) - INTERVAL 2 DAY AS before, (SELECT max(ts) FROM timed) - INTERVAL 2 DAY AS final
+    FROM (SELECT DISTINCT file FROM timed) f)
+  SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, district_code, count(*) AS count,
+    CASE WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= before THEN 'late' WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= final THEN 'closed' ELSE 'open' END AS part
+  FROM timed t JOIN mark m ON t.file = m.file GROUP BY ALL""",
+).replace(") ,", "),")
 OTHER["deep_page"] = _page_sql(39 * 20, 20)
 OTHER["next_page"] = _page_sql(40 * 20, 20)
 OTHER["deep_city_page"] = _page_sql(5 * 10, 10, "district_code = 450100")

@@ -45,10 +45,19 @@ def with_dense_id(df: DataFrame, order: Sequence[str], name: str = "id") -> Data
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once: written to the shared folder and read back, with its columns prunable."""
+    return stored_and_counted(df, name, {})[0]
+
+
+def stored_and_counted(df: DataFrame, name: str, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`stored`, with aggregates over the rows as they are written."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = {}
+    if counts:
+        found = save_counted(df, path, counts)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), found
 
 
 def latest_rows(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def test_a_batch_costs_its_own_keys(spark, tmp_path):
     spark.range(20_000).write.parquet(source)
     Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id").awaitTermination()
     spark.range(19_990, 20_010).coalesce(1).write.mode("append").parquet(source)
-    query = Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id")
+    query = Z.fold_unique(Z.parquet_stream(spark, source), rows, log, "id", files=1)
     query.awaitTermination()
     last = query.lastProgress
     state = last["stateOperators"][0]
@@ -101,3 +101,33 @@ def test_consoles_reject_the_other_kind(spark, notices_path, capfd):
     query.processAllAvailable()
     query.stop()
     assert "district_code" in capfd.readouterr().out
+
+
+def test_late_rows_have_a_table_and_days_close_once(spark, tmp_path):
+    source, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    batches = [
+        [("2024-01-10 10:00", 1), ("2024-01-01 00:00", 1), (None, 2)],  # nothing is late in the first batch
+        [("2024-01-07 23:59", 1), ("2024-01-08 09:59", 1), ("2024-01-11 00:00", 2)],  # mark 01-08 10:00
+        [("2024-02-01 00:00", 1), ("2024-01-08 12:00", 1), ("2024-01-09 00:00", 1)],  # mark 01-09 00:00
+        [],
+        [("2024-01-31 00:00", 1), ("2024-01-29 12:00", None)],  # mark 01-30 00:00
+    ]
+    for batch in batches:
+        rows = spark.createDataFrame(batch, "at string, place int").select(F.col("at").cast("timestamp").alias("ts"), "place")
+        rows.coalesce(1).write.mode("append").parquet(source)
+        Z.fold_windows(Z.parquet_stream(spark, source), out, log, "ts", ["place"]).awaitTermination()
+
+    def found():
+        closed, open_, late = Z.read_windows(spark, out)
+        counts = [sorted((f"{r.day:%m-%d}", r.place, r["count"]) for r in df.collect()) for df in (closed, open_)]
+        return *counts, sorted((f"{r.ts:%m-%d %H}" if r.ts else "", r.place) for r in late.collect())
+
+    first = found()
+    assert first == (
+        [("01-01", 1, 1), ("01-08", 1, 1), ("01-09", 1, 1), ("01-10", 1, 1), ("01-11", 2, 1)],
+        [("01-31", 1, 1), ("02-01", 1, 1)],
+        [("", 2), ("01-07 23", 1), ("01-08 12", 1), ("01-29 12", None)],
+    )
+    uncommit(tmp_path / "log", max(int(p.name) for p in (tmp_path / "log" / "commits").iterdir() if p.name.isdigit()))
+    Z.fold_windows(Z.parquet_stream(spark, source), out, log, "ts", ["place"]).awaitTermination()
+    assert found() == first
