@@ -33,7 +33,11 @@ class Crf:
         self.move = np.zeros((n_labels, n_labels))
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        return self.emit[codes].sum(axis=-2)
+        """Template by template, so that only one score for each label and token is held."""
+        out = self.emit[codes[..., 0]]
+        for k in range(1, codes.shape[-1]):
+            out += self.emit[codes[..., k]]
+        return out
 
     def fit(self, codes: list[np.ndarray], labels: list[np.ndarray], rounds: int = 300, ridge: float = 0.02) -> None:
         x, n = padded(codes)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -146,12 +147,15 @@ def token_codes(text: str, start: int, end: int, before: int = 0) -> tuple[np.nd
     shape = [0, 0, *(_shape(m[0]) for m in found), 0, 0]
     hint = [(_HINTS.index(w) + 1 if (w := m[0].lower()) in _HINTS else 0) for m in found]
     run_of: dict[int, tuple[int, int, int]] = {}
+    k = 0  # runs and tokens both ascend
     for m in _RUN.finditer(text, start, end):
         parts = re.findall(r"[0-9]+", m[0])
         value = (min(sum(map(len, parts)), 21), min(len(parts), 7), min(m[0].count("."), 7))
-        for k, (a, b) in enumerate(places):
-            if a < m.end() and b > m.start():
-                run_of[k] = value
+        while k < len(places) and places[k][1] <= m.start():
+            k += 1
+        while k < len(places) and places[k][0] < m.end():
+            run_of[k] = value
+            k += 1
     piece_of = {}
     for m in _WORD.finditer(text, start, end):
         mixed = bool(re.search(r"[^\W\d_][0-9]|[0-9][^\W\d_]", m[0]))
@@ -176,6 +180,8 @@ def windows(text: str) -> list[tuple[int, int]]:
     for i in near:
         first, last = max(0, i - AROUND), min(len(words) - 1, i + AROUND)
         j = i + 1
+        if out and i <= out[-1][1]:  # words up to there have been looked at
+            last, j = max(last, out[-1][1]), out[-1][1] + 1
         while j <= last:
             if _LINK.search(text[words[j][0] : words[j][1]]):
                 last = min(len(words) - 1, max(last, j + AROUND))
@@ -327,9 +333,7 @@ def field_spans(field: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]
                 codes.append(x)
                 places.append(p)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    order = sorted(range(len(codes)), key=lambda k: len(codes[k]))
-    for at in range(0, len(order), 256):  # windows of like length share a batch
-        batch = order[at : at + 256]
+    for batch in _batches([len(x) for x in codes]):
         for k, label in zip(batch, field.decode([codes[k] for k in batch]), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], label, [0]))))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
@@ -345,14 +349,42 @@ def field_spans(field: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]
     return out
 
 
+#: Tokens of one batch, with the padding; a longer window is a batch of its own.
+BATCH_TOKENS = 1 << 16
+
+
+def _batches(lengths: list[int]) -> Iterator[list[int]]:
+    """Numbers of windows of like length; number times longest is bounded."""
+    batch: list[int] = []
+    for k in sorted(range(len(lengths)), key=lambda k: lengths[k]):
+        if batch and (len(batch) + 1) * lengths[k] > BATCH_TOKENS:
+            yield batch
+            batch = []
+        batch.append(k)
+    if batch:
+        yield batch
+
+
+def apart(more: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans of ``more`` that share no place with those of ``base`` (in order of their starts)."""
+    starts, reach = [a for a, _, _ in base], []
+    for _, b, _ in base:
+        reach.append(max(b, reach[-1]) if reach else b)
+    out = []
+    for span in more:
+        k = bisect_left(starts, span[1])  # base spans that start before its end
+        if not k or reach[k - 1] <= span[0]:
+            out.append(span)
+    return out
+
+
 def find_all(field: Crf, texts: list[str | None]) -> list[tuple[list, list]]:
     """Base spans, and the spans that the field adds, of each text."""
     texts = [t or "" for t in texts]
     found = []
     for text, more in zip(texts, field_spans(field, texts), strict=True):
         base = base_spans(text)
-        more = [s for s in more if not any(s[0] < b and s[1] > a for a, b, _ in base)] if more else []
-        found.append((base, more))
+        found.append((base, apart(more, base)))
     return found
 
 
