@@ -1,5 +1,7 @@
 """Base spans against the plain patterns, the field's training and decoding."""
 
+import time
+import tracemalloc
 import hashlib
 import itertools
 import random
@@ -117,3 +119,34 @@ def test_table(spark):
     assert got[None].n_ip == 1
     assert got[4].spans == "phone:200000:200014" and got[4].n_phone == 0 and got[4].n_added == 1
     assert pii.personal_data(docs.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["7 a ", "7 - ", "1.2 . ", "at . ", "x@y.zz "])
+def test_long_texts_take_time_in_proportion(piece):
+    """Rows of numbers, marks and links: no work in pairs of them."""
+    field = pii.train()
+    seconds = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        pii.find_all(field, [piece * n])
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 20 * max(seconds[0], 0.05)
+
+
+def test_one_long_window_beside_short_ones_is_not_padded():
+    lengths = [5] * 300 + [9_000, 200_000, 40]
+    batches = list(pii._batches(lengths))
+    assert sorted(k for b in batches for k in b) == list(range(len(lengths)))
+    assert all(len(b) == 1 or len(b) * max(lengths[k] for k in b) <= pii.BATCH_TOKENS for b in batches)
+    tracemalloc.start()
+    pii.find_all(pii.train(), ["call 1 " + ". " * 60_000, *["tel 030 1234 5678"] * 255])
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_added_spans_keep_away_from_base_spans():
+    rng = random.Random(5)
+    for _ in range(200):
+        spans = lambda n: [(a := rng.randrange(60), a + rng.randrange(1, 15), "ip") for _ in range(n)]
+        base, more = sorted(spans(rng.randrange(6))), spans(6)
+        assert pii.apart(more, base) == [s for s in more if not any(s[0] < b and s[1] > a for a, b, _ in base)]
