@@ -12,7 +12,7 @@ from tenderloom.functions.notice_text import (
     termination_reason,
     void_reasons,
 )
-from tenderloom.operators.pages import numbered_lots, split_sections, text_lines
+from tenderloom.operators.pages import _table_rows, numbered_lots, split_sections, text_lines
 
 AMOUNTS = {
     "报价:795000(元),报价大写:795000(元)": (795000.0, False),
@@ -224,3 +224,13 @@ def test_labels(spark):
     assert [r[0] for r in df.select(labels.number_or(F.col("x"))).collect()][-2:] == [labels.NO_DATA, labels.NO_DATA]
     outcome = spark.createDataFrame([(True, None), (False, True), (False, None), (None, False)], "w boolean, t boolean")
     assert [r[0] for r in outcome.select(labels.outcome_code(F.col("w"), F.col("t"))).collect()] == [1, 3, 2, 2]
+
+
+def test_lot_rows_beyond_two_digits():
+    """Rows 1 to 120 of a table; cells of three digits that do not go on with the numbering stay cells."""
+    lines = ["序号", "价", "名", "址"]
+    for n in range(1, 121):
+        lines += [str(n), f"报价:{n}(元)", f"S{n}x", "500"]
+    rows = _table_rows(lines)
+    assert [n for n, _ in rows] == list(range(1, 121))
+    assert all(cells == [f"报价:{n}(元)", f"S{n}x", "500"] for n, cells in rows)
