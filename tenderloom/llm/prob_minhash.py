@@ -11,11 +11,13 @@ agree in a slot with the probability Jaccard similarity
 which is the Jaccard similarity where all weights are equal.  Texts that share a band of their
 signature are candidates, and J of candidates is computed exactly from the shingles.
 
-Documents with equal words are one node from the start.  In each bucket the members are
-verified against a few leaders, and the links found make components.  Buckets that still hold
-several components are compared pair by pair across components, by a longer signature and in blocks of
-bounded size, and what may be similar is verified too.  No bucket is capped or gathered whole,
-and pairs inside a component are never formed.
+Documents with equal words are one node from the start, and buckets with equal members are one
+bucket.  In each bucket the members are verified against a leader, and the links found make
+components.  Buckets that still hold several components are cut into blocks of bounded rows and
+bytes; a task takes two blocks with the shingles of their members, verifies what the signatures
+leave open in the first bucket that a pair shares, and joins components as it goes.  It returns
+links only, at most one for each member: candidate pairs are never rows, no bucket is capped or
+gathered whole, and pairs inside a component are not looked at.
 
 Defined results: null and empty texts have no shingles and form one class of copies; a null id
 takes part by its text (a class of null ids only has a null class id); rows equal in id and
@@ -43,23 +45,14 @@ BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: A pair of similarity SIMILARITY agrees in fewer slots than this once in some millions (five deviations).
 LEAST_AGREE = int(SLOTS * SIMILARITY - 5 * (SLOTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Leaders of a bucket that its members are verified against.
-LEADERS = 3
-#: Slots (of one byte) of the fine signature, and how many of them are compared first.
-FINE, SIEVE = 2048, 256
-
-
-def _least_agree(slots: int) -> int:
-    """Fewer bytes than this agree for a pair of similarity SIMILARITY once in some millions."""
-    share = SIMILARITY + (1 - SIMILARITY) / 256
-    return int(slots * share - 5 * (slots * share * (1 - share)) ** 0.5)
-
-
-LEAST_FINE, LEAST_SIEVE = _least_agree(FINE), _least_agree(SIEVE)
-#: Rows that small buckets share a task's group with.
-GROUP = 4000
-#: Rows of a block when buckets are compared pair by pair.
-BLOCK = 512
+#: Rows and shingle bytes that small buckets share a task's group with.
+GROUP, GROUP_BYTES = 4000, 16 << 20
+#: Rows and shingle bytes of a block when buckets are compared across components.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Shingle bytes of a partition of blocks.
+PARTITION_BYTES = 64 << 20
+#: Candidates of a member that are verified before its component is looked up again.
+AT_ONCE = 16
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -116,6 +109,29 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((x[i] / (above[k] + rho * below[k])).sum())
 
 
+def similar_to(one: tuple, others: list[tuple]) -> np.ndarray:
+    """Which of ``others`` reach SIMILARITY to ``one``; a set is (ascending shingles, weights or None if all are 1)."""
+    a, x = one
+    sizes = np.array([len(b) for b, _ in others], np.int64)
+    ends = np.cumsum(sizes)
+    if not len(a):
+        return sizes == 0
+    every = np.concatenate([b for b, _ in others])
+    at = np.minimum(np.searchsorted(a, every), len(a) - 1)
+    hits = np.concatenate(([0], np.cumsum(a[at] == every)))
+    common = hits[ends] - hits[ends - sizes]
+    found = common >= SIMILARITY * (len(a) + sizes - common)
+    for k, (b, y) in enumerate(others):
+        if common[k] and not (x is None and y is None):
+            ones = [np.ones(len(v), np.uint32) if w is None else w for v, w in ((a, x), (b, y))]
+            found[k] = probability_jaccard(a, ones[0], b, ones[1]) >= SIMILARITY
+    return found
+
+
+def _stored_set(shingles: bytes, counts: bytes) -> tuple:
+    return np.frombuffer(shingles, "<u8"), np.frombuffer(counts, "<u4") if counts else None
+
+
 def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, content (hash of the exact text), node (digest of its words), signature, n_shingles."""
 
@@ -166,9 +182,8 @@ def _texts_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, doc_id: str,
     return texts.select("node", "text").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts_of) -> DataFrame:
-    """The ``pairs`` (a, b) that are similar, by the exact similarity of their shingles."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles, counts) of (node, text); counts are empty where each shingle occurs once."""
 
     def make():
         def work(found: list[str]) -> dict[str, list]:
@@ -176,37 +191,37 @@ def _verified(pairs: DataFrame, texts_of) -> DataFrame:
             cut = np.cumsum(sizes)[:-1]
             return {
                 "shingles": [v.astype("<u8").tobytes() for v in np.split(values, cut)],
-                "counts": [c.astype("<u4").tobytes() for c in np.split(counts, cut)],
+                "counts": [c.astype("<u4").tobytes() if (c != 1).any() else b"" for c in np.split(counts, cut)],
             }
 
         return work
 
-    sets = written(map_column(texts_of(needed), "text", make, SHINGLED, ["node"]), "near-shingles")
+    return written(map_column(texts, "text", make, SHINGLED, ["node"]), "near-shingles")
+
+
+def _verified(pairs: DataFrame, texts_of) -> DataFrame:
+    """The ``pairs`` (a, b) that are similar, by the exact similarity of their shingles."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(texts_of(needed))
 
-    @F.pandas_udf(T.DoubleType())
-    def similarity(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.BooleanType())
+    def similar(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
         found = [
-            probability_jaccard(
-                np.frombuffer(p, "<u8"), np.frombuffer(q, "<u4"), np.frombuffer(r, "<u8"), np.frombuffer(s, "<u4")
-            )
-            for p, q, r, s in zip(a, x, b, y, strict=True)
+            bool(similar_to(_stored_set(p, q), [_stored_set(r, s)])[0]) for p, q, r, s in zip(a, x, b, y, strict=True)
         ]
-        return pd.Series(found, dtype="float64")
+        return pd.Series(found, dtype="bool")
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("sa", "ca", "sb", "cb").alias("similarity"))
-    return written(found.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
+    found = pairs.join(left, "a").join(right, "b").filter(similar("sa", "ca", "sb", "cb"))
+    return written(found.select("a", "b"), "near-links")
 
 
 def _leader_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each member with the leaders of its bucket, where the signatures agree enough.
-
-    A leader is the least of a bucket by a seeded hash; several seeds give members that sit at
-    the rim of a family more than one chance."""
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(LEADERS)]
-    leaders = members.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
-    pairs = members.join(leaders, "key").select("node", F.explode("leaders").alias("leader")).filter("node != leader")
+    """Each member with the leader of its bucket, the least by a hash, where the signatures agree enough."""
+    least = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
+    leaders = members.groupBy("key").agg(least.alias("leader"))
+    pairs = members.join(leaders, "key").filter("node != leader")
     pairs = pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a").join(
         nodes.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b"
@@ -214,13 +229,49 @@ def _leader_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(both.filter(_agreement("s", "t") >= LEAST_AGREE).select("a", "b"), "near-pairs")
 
 
-def _cross_pairs(members: DataFrame, known: DataFrame, texts_of) -> DataFrame:
-    """(a, b) of one bucket and of different components whose fine signatures agree enough.
+def _links_within(group: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join the components of a group's pairs of blocks, from its rows
+    (key, kind, p, q, side, node, component, keys, signature, shingles, counts).
+
+    A pair is looked at in the least of the buckets that both are members of."""
+    group = group.sort_values(["key", "kind", "p", "q", "side"], kind="stable")
+    sig = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), SLOTS)
+    place = group[["key", "kind", "p", "q"]].to_numpy()
+    label = pd.factorize(group["component"])[0]
+    node, side = group["node"].to_numpy(), group["side"].to_numpy()
+    sets = [_stored_set(v, c) for v, c in zip(group["shingles"], group["counts"], strict=True)]
+    earlier = [{k for k in ks if k < key} for ks, key in zip(group["keys"], group["key"], strict=True)]
+    edge = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+    found = []
+    for first, last in zip([0, *edge.tolist()], [*edge.tolist(), len(group)], strict=True):
+        middle = first + int((side[first:last] == 0).sum())
+        itself = middle == last
+        for i in range(first, middle):
+            j = np.arange(i + 1 if itself else middle, last)
+            j = j[label[j] != label[i]]
+            agree = (sig[j] == sig[i]).sum(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            j = j[order[: int((agree >= LEAST_AGREE).sum())]]
+            j = np.array([k for k in j.tolist() if earlier[i].isdisjoint(earlier[k])], np.int64)
+            while len(j):
+                now, j = j[:AT_ONCE], j[AT_ONCE:]
+                for k in now[similar_to(sets[i], [sets[k] for k in now])].tolist():
+                    if label[k] != label[i]:
+                        found.append((max(node[i], node[k]), min(node[i], node[k])))
+                        label[label == label[k]] = label[i]
+                j = j[label[j] != label[i]]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _cross_links(members: DataFrame, known: DataFrame, nodes: DataFrame, texts_of) -> DataFrame:
+    """Links (a, b) that join the components of every bucket where members of different ones are similar.
 
     Members of a bucket's largest component are not compared with one another.  The others are
     compared with one another and with that component; both sides are cut into blocks, and a
     task holds two blocks at a time."""
-    placed = members.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(known, "node", "left").select(
+        "key", "node", "n_shingles", F.coalesce("component", "node").alias("component")
+    )
     placed = written(placed, "near-placed")
     per_bucket = (
         placed.groupBy("key", "component")
@@ -231,27 +282,25 @@ def _cross_pairs(members: DataFrame, known: DataFrame, texts_of) -> DataFrame:
     )
     rows = written(
         placed.join(per_bucket.select("key", "main"), "key").select(
-            "key", "node", "component", (F.col("component") == F.col("main")).alias("is_main")
+            "key", "node", "n_shingles", "component", (F.col("component") == F.col("main")).alias("is_main")
         ),
         "near-open",
     )
+    # A node has at most BANDS keys.
+    keys = written(rows.groupBy("node").agg(F.collect_list("key").alias("keys")), "near-keys")
+    sets = keys.join(_sets(texts_of(keys.select("node"))), "node").join(nodes.select("node", "signature"), "node")
 
-    def make():
-        def work(found: list[str]) -> dict[str, list]:
-            fine = signatures(*shingle_sets([normal(t) for t in found]), FINE).astype(np.uint8)
-            return {"fine": [f.tobytes() for f in fine]}
-
-        return work
-
-    shape = T.StructType([T.StructField("fine", T.BinaryType())])
-    fine = written(map_column(texts_of(rows.select("node").distinct()), "text", make, shape, ["node"]), "near-fine")
     sides = F.when(F.col("is_main"), F.array(F.struct(F.lit(1).alias("kind"), F.lit(1).alias("side")))).otherwise(
         F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side")) for k, s in ((0, 0), (0, 1), (1, 0))])
     )
-    rows = rows.select("key", "node", "component", F.inline(sides))
-    sizes = rows.groupBy("key", "kind").agg(
-        *[F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks{s}") for s in (0, 1)]
-    )
+    rows = rows.select("key", "node", "n_shingles", "component", F.inline(sides))
+
+    def blocks(side: int):
+        mine = F.col("side") == side
+        count, size = F.count(F.when(mine, 1)), F.coalesce(F.sum(F.when(mine, F.col("n_shingles") * 8)), F.lit(0))
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int").alias(f"blocks{side}")
+
+    sizes = rows.groupBy("key", "kind").agg(blocks(0), blocks(1))
     rows = rows.join(sizes.filter("blocks0 > 0 and blocks1 > 0"), ["key", "kind"])
     own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1")))
     other = F.when(F.col("side") == 0, F.col("blocks1")).otherwise(F.col("blocks0"))
@@ -262,35 +311,21 @@ def _cross_pairs(members: DataFrame, known: DataFrame, texts_of) -> DataFrame:
     # Of two equal sides one order of the blocks is enough, and a block against itself is sent once.
     rows = rows.filter("kind = 1 or p < q or (p = q and side = 0)")
     # Buckets of one block share a task's group with others, the rest have one for each pair of blocks.
-    n = rows.count()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("n_shingles") * 8), F.lit(0))).first()
     small = (F.col("blocks0") == 1) & (F.col("blocks1") == 1)
-    together = F.when(small, F.pmod(F.col("key"), F.lit(n // GROUP + 1))).otherwise(F.col("key"))
-    rows = rows.withColumn("together", together).withColumn("small", small).join(fine, "node")
-    rows = rows.select("together", "small", "key", "kind", "p", "q", "side", "node", "component", "fine")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "kind", "p", "q", "side"], kind="stable")
-        sig = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(len(group), FINE)
-        place = group[["key", "kind", "p", "q"]].to_numpy()
-        component = pd.factorize(group["component"])[0]
-        node, side = group["node"].to_numpy(), group["side"].to_numpy()
-        edge = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
-        found = set()
-        for first, last in zip([0, *edge.tolist()], [*edge.tolist(), len(group)], strict=True):
-            middle = first + int((side[first:last] == 0).sum())
-            itself = middle == last
-            for i in range(first, middle):
-                j = np.arange(i + 1 if itself else middle, last)
-                j = j[component[j] != component[i]]
-                j = j[(sig[j, :SIEVE] == sig[i, :SIEVE]).sum(axis=1) >= LEAST_SIEVE]
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= LEAST_FINE]
-                found.update((max(node[i], node[k]), min(node[i], node[k])) for k in j.tolist())
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    keys = ["small", "together", F.when(F.col("small"), 0).otherwise(F.col("kind"))]
-    keys += [F.when(F.col("small"), 0).otherwise(F.col(c)) for c in ("p", "q")]
-    pairs = rows.groupBy(*keys).applyInPandas(compare, "a binary, b binary")
-    return written(pairs.distinct(), "near-cross")
+    groups = max(n // GROUP, size // GROUP_BYTES) + 1
+    together = F.when(small, F.pmod(F.col("key"), F.lit(groups))).otherwise(F.col("key"))
+    rows = rows.withColumn("together", together).withColumn("small", small)
+    for c in ("kind", "p", "q"):
+        rows = rows.withColumn(f"of_{c}", F.when(F.col("small"), 0).otherwise(F.col(c)))
+    columns = ["key", "kind", "p", "q", "side", "node", "component"]
+    task = ["small", "together", "of_kind", "of_p", "of_q"]
+    rows = rows.select(*task, *columns).join(sets, "node")
+    # A fixed number of partitions: few bytes can be much work, so they are not put together by bytes.
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(least, size // PARTITION_BYTES + 1), *task)
+    links = rows.groupBy(*task).applyInPandas(_links_within, "a binary, b binary")
+    return written(links.distinct(), "near-cross")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,15 +333,20 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed = written(_signed(docs, doc_id, text), "near-signed")
     firsts = written(
         signed.groupBy("node").agg(
-            F.min(F.struct("doc_id", "content")).alias("first"), F.min("signature").alias("signature")
+            F.min(F.struct("doc_id", "content")).alias("first"),
+            F.min("signature").alias("signature"),
+            F.min("n_shingles").alias("n_shingles"),
         ),
         "near-nodes",
     )
     key = [F.xxhash64(F.lit(b), F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]
-    bands = firsts.select("node", F.explode(F.array(*key)).alias("key"))
-    shared = written(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-buckets")
+    bands = firsts.select("node", "n_shingles", F.explode(F.array(*key)).alias("key"))
+    # Buckets with equal members (as many, with equal sums of two hashes) are one bucket.
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")).alias(f"sum{k}") for k in (1, 2)]
+    filled = bands.groupBy("key").agg(F.count("*").alias("n"), *sums).filter("n > 1")
+    shared = written(filled.groupBy("n", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"), "near-buckets")
     bits = written(bit_map(shared.select(F.col("key").alias("h"))), "near-bucket-bits")
-    likely = with_bit(bands, F.col("key"), bits, "likely").filter("likely").select("key", "node")
+    likely = with_bit(bands, F.col("key"), bits, "likely").filter("likely").select("key", "node", "n_shingles")
     members = written(likely.join(shared, "key"), "near-members")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -314,9 +354,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     links = _verified(_leader_pairs(members, firsts.select("node", "signature")), texts_of)
     known = written(components(links), "near-known")
-    more = _cross_pairs(members, known, texts_of)
+    more = _cross_links(members, known, firsts, texts_of)
     if not more.isEmpty():
-        known = components(links.unionByName(_verified(more, texts_of)))
+        known = components(links.unionByName(more))
     rows = signed.select("doc_id", "content", "node").distinct().join(known, "node", "left")
     rows = written(rows.withColumn("component", F.coalesce("component", "node")), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "content")).alias("best")
