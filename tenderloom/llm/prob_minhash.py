@@ -41,6 +41,8 @@ from tenderloom.llm.shingles import WORDS, mix, normal, shingle_sets
 from tenderloom.llm.tables import bit_map, map_column, named_again, numbered_columns, with_bit, written
 
 SIMILARITY = 0.8
+#: What the sum of a similarity of weighted sets may lose to rounding.
+ROUNDING = 1e-12
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: A pair of similarity SIMILARITY agrees in fewer slots than this once in some millions (five deviations).
@@ -124,7 +126,7 @@ def similar_to(one: tuple, others: list[tuple]) -> np.ndarray:
     for k, (b, y) in enumerate(others):
         if common[k] and not (x is None and y is None):
             ones = [np.ones(len(v), np.uint32) if w is None else w for v, w in ((a, x), (b, y))]
-            found[k] = probability_jaccard(a, ones[0], b, ones[1]) >= SIMILARITY
+            found[k] = probability_jaccard(a, ones[0], b, ones[1]) >= SIMILARITY - ROUNDING
     return found
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tenderloom.llm import prob_minhash as near
@@ -103,6 +104,47 @@ def test_exact_similarity():
         assert abs(got - similarity(x, y)) < 1e-12
 
 
+def as_set(counts):
+    keys = sorted(counts)
+    weights = np.array([counts[k] for k in keys], "<u4")
+    return np.array(keys, "<u8"), None if (weights == 1).all() else weights
+
+
+def test_similar_to_many():
+    rng = random.Random(2)
+    sets = [Counter(range(5)), Counter(range(4)), Counter(range(10)), Counter(range(8)), Counter(), Counter([1, 1, 2, 2])]
+    sets += [Counter(rng.choices(range(9), k=rng.randint(1, 12))) for _ in range(60)]
+    for x in sets:
+        got = near.similar_to(as_set(x), [as_set(y) for y in sets])
+        # 4 of 5 and 8 of 10 common shingles are exactly the threshold, which is reached.
+        assert got.tolist() == [similarity(x, y) >= 0.8 - 1e-12 for y in sets]
+
+
+def test_links_within_blocks():
+    """Links join what is similar across components, once, and in the first shared bucket only."""
+    family = [Counter(range(k, k + 60)) for k in range(12)]  # neighbours up to six apart are similar
+    other = [Counter(range(1000, 1040)), Counter(range(1000, 1039))]
+    rows = []
+    for i, x in enumerate(family + other):
+        values, _ = as_set(x)
+        signature = near.signatures(values, np.ones(len(values)), np.array([len(values)]))[0]
+        component = b"aa" if i < 2 else bytes([i])
+        for key in (3, 9):
+            rows.append((key, 0, 0, 0, 0, bytes([i]), component, [9, 3], signature.astype("<u4").tobytes(), values.tobytes(), b""))
+    names = ["key", "kind", "p", "q", "side", "node", "component", "keys", "signature", "shingles", "counts"]
+    group = pd.DataFrame(rows, columns=names)
+    found = near._links_within(group)
+    assert len(found) == 10 + 1  # eleven components of the family and two others, joined without a loop
+    sets = family + other
+    assert all(similarity(sets[a[0]], sets[b[0]]) >= 0.8 for a, b in zip(found["a"], found["b"], strict=True))
+    assert near._links_within(group[group["key"] == 9]).empty
+    # One block against another: pairs inside a block are another task's.
+    two = group[group["key"] == 3].assign(kind=1, side=[int(i >= 6) for i in range(14)])
+    crossed = near._links_within(two)
+    assert len(crossed) and all((a[0] < 6) != (b[0] < 6) for a, b in zip(crossed["a"], crossed["b"], strict=True))
+    assert near._links_within(group[:0]).empty
+
+
 def test_shingles():
     texts = ["a b c d e f", "", None, "a b c", "c d e f g A B C D E", "ö ß a b c d"]
     values, counts, sizes = shingle_sets([normal(t) for t in texts])
