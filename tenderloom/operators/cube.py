@@ -32,6 +32,9 @@ GRAINS = {
 SCOPES = ("district", "province")
 TIME = ("year", "month", "day", "quarter")
 
+#: Least partitions per core of a set that is summed by key.
+TASKS_PER_CORE = 4
+
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -155,6 +158,10 @@ def _roll_by_key(
     The sets are then formed and summed inside the partition, so sparse keys do not
     send each cell once per set.  A key and year has at most districts times days
     cells, however many rows it had.
+
+    A cell takes the place of one group per set in the task's memory, so there are as
+    many more partitions as sets; left to the size of the moved cells, Spark would fill
+    each with tens of megabytes of cells, which are gigabytes of groups.
     """
 
     def one_set(number: int, scope: str, grain: str) -> Column:
@@ -169,7 +176,9 @@ def _roll_by_key(
     names = [c for c in cells.columns if c not in (*keys, "district_code", *TIME)]
     pairs = [(scope, grain) for scope in scopes for grain in grains]
     sets = F.array(*[one_set(i, *pair) for i, pair in enumerate(pairs)])
-    local = cells.repartition(*keys, "year").select(*keys, "year", *names, F.explode(sets).alias("set"))
+    spark = cells.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    local = cells.repartition(parts * len(pairs), *keys, "year").select(*keys, "year", *names, F.explode(sets).alias("set"))
     grouped = local.select(*keys, "year", *names, "set.*").groupBy(
         *keys, "year", "_set", "_district", "_month", "_day", "_quarter"
     )

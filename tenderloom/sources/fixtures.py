@@ -14,6 +14,10 @@ from tenderloom.plans.reports import level_of
 from tenderloom.schemas import PROVINCE_ROOT_CODE
 
 
+#: Least parts per core of a join of large tables.
+PARTS_PER_CORE = 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,5 +113,10 @@ def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notice_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat lots with the columns of their notice: what ``lots_of`` gives on nested records."""
-    return lots(spark, sf_dir).join(notices(spark, sf_dir), "id")
+    """Flat lots with the columns of their notice: what ``lots_of`` gives on nested records.
+
+    Both sides are dealt alike to a fixed number of parts: by the size of the moved rows Spark would make
+    few, and the joined rows and what is grouped from them in the same tasks are many times larger."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
+    both = (df.repartition(parts, "id") for df in (lots(spark, sf_dir), notices(spark, sf_dir)))
+    return next(both).join(next(both), "id")
