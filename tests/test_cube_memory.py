@@ -49,4 +49,4 @@ def test_lots_and_notices_are_dealt_alike(spark, tmp_path):
     lots = X.notice_lots(spark, str(tmp_path))
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), X.PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
     assert lots.rdd.getNumPartitions() == least
-    assert sorted((r.id, r.index) for r in lots.collect()) == [(1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
+    assert sorted((r["id"], r["index"]) for r in lots.collect()) == [(1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
