@@ -61,9 +61,8 @@ def seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.select(_t("R", F.col("id")).alias("article_id"))
 
 
-def linked_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result notices with the links of their project."""
-    rows = notices(spark, sf_dir).select("id", "scrape_timestamp")
+def _links() -> Column:
+    """The links of the project of notice ``id``; every seventh has none."""
     k, ts = F.col("id"), F.col("scrape_timestamp")
 
     def link(order: int, exists: Column, time: Column, type_: str, prefix: str) -> Column:
@@ -82,11 +81,13 @@ def linked_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         link(2, yes, ts - 20 * DAY_MS, "其他公告", "O"),
         link(4, k % 3 == 0, ts + 5 * DAY_MS, "采购监督结果", "S"),
     )
-    return rows.select(
-        _t("R", k).alias("article_id"),
-        "scrape_timestamp",
-        F.when(k % 7 != 0, links).otherwise(F.filter(links, lambda x: F.lit(False))).alias("links"),
-    )
+    return F.when(k % 7 != 0, links).otherwise(F.filter(links, lambda x: F.lit(False)))
+
+
+def linked_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result notices with the links of their project."""
+    rows = notices(spark, sf_dir).select("id", "scrape_timestamp")
+    return rows.select(_t("R", F.col("id")).alias("article_id"), "scrape_timestamp", _links().alias("links"))
 
 
 def titled_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,8 +344,9 @@ def raw_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     The purchase page is dated 30 years later than the order so that it is usable.
     """
     rows = table(spark, sf_dir, "orders")
-    linked = linked_notices(spark, sf_dir).withColumnRenamed("article_id", "articleId")
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    # Texts and links are put together after the join, so that only the columns they are made of are moved.
+    placed = rows.join(notices(spark, sf_dir).select("id", "scrape_timestamp"), k == F.col("id"))
     win = _t(
         "<p>三、中标（成交）信息</p><p>1.中标结果：</p><td>1</td><td>报价:",
         price,
@@ -360,7 +362,7 @@ def raw_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", _t("<p>二、项目废标的原因</p><p>供应商不足", k % 3, "家</p>"))
         .otherwise(_t("<p>二、终止说明</p><p>政策", k % 3, "变化</p>"))
     )
-    pages = rows.select(
+    pages = placed.select(
         _t("R", k).alias("articleId"),
         F.lit("结果公告").alias("title"),
         _t("CODE-", k).alias("projectCode"),
@@ -369,7 +371,8 @@ def raw_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(3004).alias("announcementType"),
         F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("publishDate"),
         content.alias("content"),
-    ).join(linked.select("articleId", F.col("links").alias("announcementLinkDtoList")), "articleId")
+        _links().alias("announcementLinkDtoList"),
+    )
     plan = _t(
         "<p>预算总金额（元）：",
         k % 100 + 51,
