@@ -43,6 +43,8 @@ from tenderloom.llm.tables import bit_map, map_column, named_again, numbered_col
 SIMILARITY = 0.8
 #: What the sum of a similarity of weighted sets may lose to rounding.
 ROUNDING = 1e-12
+#: The same for the bound that spares the exact similarity.
+BOUND_ROUNDING = 1e-9
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: A pair of similarity SIMILARITY agrees in fewer slots than this once in some millions (five deviations).
@@ -120,16 +122,38 @@ def similar_to(one: tuple, others: list[tuple]) -> np.ndarray:
         return sizes == 0
     every = np.concatenate([b for b, _ in others])
     at = np.minimum(np.searchsorted(a, every), len(a) - 1)
-    hits = np.concatenate(([0], np.cumsum(a[at] == every)))
+    hit = a[at] == every
+    hits = np.concatenate(([0], np.cumsum(hit)))
     common = hits[ends] - hits[ends - sizes]
     found = common >= SIMILARITY * (len(a) + sizes - common)
-    for k, (b, y) in enumerate(others):
-        if common[k] and not (x is None and y is None):
-            ones = [np.ones(len(v), np.uint32) if w is None else w for v, w in ((a, x), (b, y))]
-            found[k] = probability_jaccard(a, ones[0], b, ones[1]) >= SIMILARITY - ROUNDING
+    weighted = np.array([not (x is None and y is None) for _, y in others], bool)
+    if not weighted.any():
+        return found
+    x_all = np.ones(len(a)) if x is None else x.astype(float)
+    y_all = np.concatenate([np.ones(len(b)) if y is None else y.astype(float) for b, y in others])
+    found[weighted] = (_most_similar(x_all, y_all, at, hit, sizes) >= SIMILARITY - BOUND_ROUNDING)[weighted]
+    for k in np.flatnonzero(found & weighted).tolist():
+        b, y = others[k]
+        ones = [np.ones(len(v), np.uint32) if w is None else w for v, w in ((a, x), (b, y))]
+        found[k] = probability_jaccard(a, ones[0], b, ones[1]) >= SIMILARITY - ROUNDING
     return found
 
 
+def _most_similar(x: np.ndarray, y: np.ndarray, at: np.ndarray, hit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The most that J of one set (weights ``x``) and each of several (weights ``y`` one after the other, of
+    ``sizes``) can be; a hit is an element of the several that is element ``at`` of the one.
+
+    In J's sum of max(x_e / x_d, y_e / y_d), what is in one set alone counts in full and the common part for
+    at least the greater of its two sums.  Equal where the common weights have one ratio."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    whole = np.bincount(owner, y, n)
+    owner, x_d, y_d = owner[hit], x[at[hit]], y[hit]
+    x_both, y_both = np.bincount(owner, x_d, n), np.bincount(owner, y_d, n)
+    alone = (x.sum() - x_both)[owner] / x_d + (whole - y_both)[owner] / y_d
+    return np.bincount(owner, 1 / (alone + np.maximum(x_both[owner] / x_d, y_both[owner] / y_d)), n)
+
+
 def _stored_set(shingles: bytes, counts: bytes) -> tuple:
     return np.frombuffer(shingles, "<u8"), np.frombuffer(counts, "<u4") if counts else None
 

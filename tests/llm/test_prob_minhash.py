@@ -165,3 +165,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (200, 100)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in (100, 101, 102, 200)}}
+
+
+def test_exact_similarity_is_computed_where_the_bound_allows_it_only(monkeypatch):
+    """Weighted sets that cannot reach the similarity cost no sum of their own; results are those of all sums."""
+    rng = np.random.default_rng(3)
+    exact = near.probability_jaccard
+    calls = []
+    monkeypatch.setattr(near, "probability_jaccard", lambda *sets: calls.append(1) or exact(*sets))
+    pairs = similar = 0
+    for share in (0.5, 0.97):
+        for _ in range(60):
+            a = np.sort(rng.choice(90, 40, replace=False)).astype("<u8")
+            x = rng.integers(1, 4, len(a)).astype("<u4")
+            others = []
+            for _ in range(5):
+                keep = rng.random(len(a)) < share
+                y = x[keep] + (rng.random(int(keep.sum())) < 0.05).astype("<u4")
+                others.append((np.append(a[keep], np.uint64(99)), np.append(y, np.uint32(1))))
+            expected = [exact(a, x, b, y) >= near.SIMILARITY - near.ROUNDING for b, y in others]
+            assert near.similar_to((a, x), others).tolist() == expected
+            pairs, similar = pairs + len(others), similar + sum(expected)
+    assert 0 < similar <= len(calls) < pairs * 0.6
