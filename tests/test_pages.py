@@ -1,5 +1,8 @@
 """Pages read in parts: only what is asked for, whatever the markup, by tasks that follow the cores."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +34,31 @@ def test_plain_tags_are_read_as_all_markup_is(html):
     assert pages.text_lines(html) == [x for x in nodes if x and x not in pages.NOISE]
 
 
+PIECES = (
+    "<p>", "</p>", "<a title=\"x>y\">", "<td class='a'>", "<b c=\"d&e\">", "<script>", "</script>", "<Style x>", "</STYLE>",
+    "<strong>", "<s>", "<st>", "<scripty>", "<\u017fcript>", "<style-x>", "<!--", "-->", "<!-- x -->", "<!doctype html>", "<?x y?>",
+    "<!>", "<!->", "<script", "</", "<", ">", "&lt;", "&", "\"", "'", " ", "\u3000", "\n", "a", "b>", "1", "{margin:0}", "\u201c", "\\n",
+)
+
+
+def test_a_batch_of_pages_is_read_as_single_pages_are():
+    rng = random.Random(5)
+    html = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    html += [None, PAGE, "<html><style>p{}</style><!-- head --><p a=\"1\">x &amp; y</p></html>"]
+    assert pages._lines_of_pages(pa.array(html)) == [pages.text_lines(x) for x in html]
+    simple = pa.compute.match_substring_regex(pa.array(html), pages._SIMPLE_PAGE).to_pylist()
+    assert simple[-3:] == [None, True, True] and 100 < sum(map(bool, simple)) < len(html)
+
+
+def test_a_batch_of_several_runs_keeps_its_order(spark):
+    n = 2 * pages.PAGES_AT_ONCE + 7
+    df = spark.range(n, numPartitions=1).select(
+        "id", F.concat(F.lit("<p>一、项目编号：C"), F.col("id").cast("string"), F.lit("</p>")).alias("html")
+    )
+    read = df.select("id", pages.read_result_page(F.col("html"), F.lit(True), ["project_code"])["project_code"].alias("code"))
+    assert sorted((r.id, r.code) for r in read.collect()) == [(i, [f"C{i}"]) for i in range(n)]
+
+
 def test_only_asked_parts_are_read(spark):
     df = spark.createDataFrame([(PAGE, True), (None, True), (PAGE, None)], "content string, is_win_bid boolean")
     read = df.select(pages.read_result_page(F.col("content"), F.col("is_win_bid"), ["review", "lots"]).alias("s"))
