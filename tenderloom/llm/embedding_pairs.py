@@ -7,6 +7,10 @@ for a link are pruned; the remaining pairs of blocks are traversed, one row each
 any size is split over tasks.  A task returns link counts and one representative per connected
 set, never the pairs, so a group of copies costs its size.
 
+Vectors are shuffled and written once, in the precision they came in, when the blocks are made.
+Everything else is told by ids and 128 bits of hash.  Tasks read the pairs of blocks from the
+written blocks, so disk does not grow with the number of pairs.
+
 Links are exact: cosine >= threshold in double precision.  The pruning depends on the data; where
 all vectors are nearly orthogonal in many dimensions no bound can separate them and the pairs of
 blocks grow with the square of the number of blocks.
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 
 from tenderloom.llm.components import components
 from tenderloom.llm.cover_tree import CoverTree, links_and_roots
-from tenderloom.llm.tables import map_column, written
+from tenderloom.llm.tables import slices, written
 
 COSINE = 0.9
 #: Points of a block, pivots at most, and the sample that pivots are taken from.
@@ -36,7 +40,9 @@ PIVOTS = 64
 SAMPLE = 2048
 
 NODE = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType())])
-PLACED = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+PLACED = [T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())]
+#: Steps of a component when the nearest pivot is looked for.
+STEPS = 1 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,56 +67,106 @@ def _pivots(sample: list[list[float]], n: int) -> dict[int, np.ndarray]:
     return found
 
 
-def _placed(points: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    shared = points.sparkSession.sparkContext.broadcast(pivots)
-
-    def make():
-        def work(vectors: list[list[float]]) -> dict[str, np.ndarray]:
-            cell, away = np.full(len(vectors), -1, np.int32), np.full(len(vectors), 2.0)
-            size = np.array([len(v) for v in vectors])
-            for n, p in shared.value.items():
-                own = np.flatnonzero(size == n)
-                if len(own):
-                    cos = unit(np.array([vectors[i] for i in own])) @ p.T
-                    cell[own] = cos.argmax(axis=1)
-                    gap = unit(np.array([vectors[i] for i in own])) - p[cell[own]]
-                    away[own] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            return {"cell": cell, "away": away}
-
-        return work
-
-    return map_column(points, "embedding", make, PLACED, points.columns)
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding, usable, size and the hashes of all rows; rows of one id and vector agree in all."""
+    single = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
+    e = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", e.alias("embedding"))
+    e = F.col("embedding")
+    bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = (
+        F.col("vec_id").isNotNull()
+        & e.isNotNull()
+        & ~F.coalesce(bad, F.lit(True))
+        & F.coalesce(F.exists(e, lambda x: x != 0.0), F.lit(False))
+    )
+    # A hash passes over nulls, a text does not.
+    text = F.transform(e, lambda x: x + F.lit(0.0)).cast("string")
+    hashes = {
+        name: F.when(F.col("usable"), F.xxhash64(*seed, "embedding")).otherwise(F.xxhash64(*seed, text))
+        for name, seed in (("h", []), ("g", [F.lit(1)]))
+    }
+    return rows.withColumn("usable", usable).withColumns({**hashes, "size": F.coalesce(F.size(e), F.lit(-1))})
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * STEPS).astype(np.int64)
+
+
+def _place(vectors: list, pivots: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each vector and how far it is from the pivot.  Cells are chosen in whole numbers, so that a
+    vector gets the same one whatever vectors it comes with."""
+    cell, away = np.full(len(vectors), -1, np.int32), np.full(len(vectors), 2.0)
+    size = np.array([-1 if v is None else len(v) for v in vectors])
+    for n, p in pivots.items():
+        own = np.flatnonzero(size == n)
+        if len(own):
+            x = unit(np.array([vectors[i] for i in own]))
+            cell[own] = (_steps(x) @ _steps(p).T).argmax(axis=1)
+            gap = x - p[cell[own]]
+            away[own] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return cell, away
+
+
+def _placed(rows: DataFrame, pivots: dict[int, np.ndarray], carry: list[str], fold: bool = False) -> DataFrame:
+    """``carry`` columns with cell and distance; with ``fold``, of the copies in a batch only the first."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    names = [*carry, *(f.name for f in PLACED)]
 
+    def run(batches):
+        import pyarrow as pa
 
-def _block_row(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["id", "h"])
-    tree = CoverTree.build(unit(np.stack(group["embedding"].to_numpy())))
+        for batch in batches:
+            if fold:
+                keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g")])
+                batch = batch.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))
+            for part in slices(batch, "embedding"):
+                place = _place(part.column("embedding").to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *map(pa.array, place)], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in carry], *PLACED]))
+
+
+def _block_row(vectors: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    vectors = vectors.drop_duplicates(["h", "g"])[["h", "g", "embedding"]]
+    group = points.merge(vectors, on=["h", "g"]).sort_values(["id", "h"])
+    if len(group) < len(points):
+        raise ValueError("a vector is missing in its block")
+    given = np.stack(group["embedding"].to_numpy())
+    tree = CoverTree.build(unit(given))
     part = group.iloc[tree.order]
-    arrays = (
-        part["id"].to_numpy("<i8"), part["h"].to_numpy("<i8"), part["weight"].to_numpy("<i8"), tree.points, tree.order,
-        tree.centre, tree.radius, tree.first, tree.last, tree.child, tree.children,
-    )
-    row = {"size": [int(group["size"].iloc[0])], "cell": [int(group["cell"].iloc[0])], "block": [int(group["block"].iloc[0])]}
-    for name, x in zip(_PARTS, arrays, strict=True):
-        row[name] = [np.ascontiguousarray(x).tobytes()]
+    arrays = {
+        **{c: part[c].to_numpy("<i8") for c in ("id", "h", "weight")},
+        **{c: getattr(tree, c).astype(_KINDS.get(c, "<i4")) for c in _TREE},
+        "points": given[tree.order].astype("<f4" if given.dtype == np.float32 else "<f8"),
+    }
+    row = {c: [int(group[c].iloc[0])] for c in ("size", "cell", "block")}
+    for name in _PARTS:
+        row[name] = [np.ascontiguousarray(arrays[name]).tobytes()]
     return pd.DataFrame(row)
 
 
-_PARTS = ("id", "h", "weight", "points", "order", "centre", "radius", "first", "last", "child", "children")
-_REAL = {"points", "radius"}
+_TREE = ("order", "centre", "radius", "first", "last", "child", "children")
+_PARTS = ("id", "h", "weight", "points", *_TREE)
+_KINDS = {"id": "<i8", "h": "<i8", "weight": "<i8", "radius": "<f8"}
 
 
-def _read_block(row: dict, size: int) -> tuple[CoverTree, dict[str, np.ndarray]]:
-    x = {name: np.frombuffer(row[name], "<f8" if name in _REAL else "<i8") for name in _PARTS}
-    x["points"] = x["points"].reshape(-1, size)
-    return CoverTree(*[x[n] for n in ("points", "order", "centre", "radius", "first", "last", "child", "children")]), x
+def _read_block(row: dict) -> tuple[CoverTree, dict[str, np.ndarray]]:
+    x = {name: np.frombuffer(row[name], _KINDS.get(name, "<i4")) for name in _PARTS if name != "points"}
+    x = {name: v.astype(np.int64) if v.dtype == np.int32 else v for name, v in x.items()}
+    n = len(x["id"]) * row["size"]
+    points = np.frombuffer(row["points"], "<f4" if len(row["points"]) == 4 * n else "<f8").reshape(-1, row["size"])
+    return CoverTree(unit(points), *[x[c] for c in _TREE]), x
 
 
 def _block_pairs(blocks: DataFrame, cells: list, pivots: dict[int, np.ndarray], cosine: float) -> DataFrame:
-    """Rows (left, right) of block pairs that can hold a link; each block is repeated for its partners."""
+    """Rows (left, right) of block pairs that can hold a link.
+
+    Each task reads two parts of the written blocks; nothing is shuffled, so a block takes no disk for its partners."""
     limit = float(np.sqrt(2 - 2 * cosine)) + 1e-9
-    open_pairs = []
+    partners = []
     for u in cells:
+        near = []
         for v in cells:
             if u["size"] == v["size"] and u["cell"] <= v["cell"]:
                 apart = 0.0
@@ -118,18 +174,18 @@ def _block_pairs(blocks: DataFrame, cells: list, pivots: dict[int, np.ndarray],
                     p = pivots[u["size"]]
                     apart = float(np.linalg.norm(p[u["cell"]] - p[v["cell"]]))
                 if apart <= u["away"] + v["away"] + limit:
-                    open_pairs.append((u["size"], u["cell"], v["cell"], u["blocks"], v["blocks"]))
+                    near.append(v["cell"])
+        partners.append((u["size"], u["cell"], near))
     spark = blocks.sparkSession
     # At most PIVOTS cells for each vector length, so the pairs of cells are few whatever the input.
-    pairs = spark.createDataFrame(open_pairs, "size int, u int, v int, nu int, nv int")
+    table = spark.createDataFrame(partners, "size int, cell int, near array<int>")
     struct = F.struct(*blocks.columns)
-    left = blocks.select("size", F.col("cell").alias("u"), F.col("block").alias("i"), struct.alias("left"))
-    left = left.join(F.broadcast(pairs), ["size", "u"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    right = blocks.select("size", F.col("cell").alias("v"), F.col("block").alias("j"), struct.alias("right"))
-    right = right.join(F.broadcast(pairs), ["size", "v"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)))
-    key = ["size", "u", "v", "i", "j"]
-    once = "u < v or i < j"
-    return left.filter(once).select(*key, "left").join(right.filter(once).select(*key, "right"), key).select("left", "right")
+    left = blocks.join(F.broadcast(table), ["size", "cell"]).select("near", struct.alias("left"))
+    right = blocks.select(struct.alias("right"))
+    a, b = F.col("left"), F.col("right")
+    once = (a["cell"] < b["cell"]) | ((a["cell"] == b["cell"]) & (a["block"] < b["block"]))
+    can_link = (a["size"] == b["size"]) & F.array_contains(F.col("near"), b["cell"]) & once
+    return left.hint("shuffle_replicate_nl").join(right, can_link).select("left", "right")
 
 
 def _traversed(rows: DataFrame, cosine: float, same: bool) -> DataFrame:
@@ -140,8 +196,8 @@ def _traversed(rows: DataFrame, cosine: float, same: bool) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                a, xa = _read_block(row["left"], row["left"]["size"])
-                b, xb = (a, xa) if same else _read_block(row["right"], row["right"]["size"])
+                a, xa = _read_block(row["left"])
+                b, xb = (a, xa) if same else _read_block(row["right"])
                 links, root = links_and_roots(a, xa["weight"], b, xb["weight"], cosine, same)
                 ids, h = (x if same else np.concatenate((x, y)) for x, y in ((xa["id"], xb["id"]), (xa["h"], xb["h"])))
                 own = np.flatnonzero(links > 0)
@@ -157,41 +213,42 @@ def _traversed(rows: DataFrame, cosine: float, same: bool) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
-    rows = rows.withColumn("h", F.xxhash64("embedding"))
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = (
-        F.col("vec_id").isNotNull()
-        & F.col("embedding").isNotNull()
-        & ~F.coalesce(bad, F.lit(True))
-        & F.coalesce(F.exists("embedding", lambda x: x != 0.0), F.lit(False))
-    )
-    rows = written(rows.withColumn("usable", usable), "vector-rows")
+    given = _keyed(vectors)
+    vector = ["h", "g", "size"]
+    good = given.filter("usable")
+    n = good.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    # About twice the sample, by hash: copies of a vector count once.
+    every = max(1, n // (2 * SAMPLE))
+    some = good.filter(F.pmod("g", F.lit(every)) == 0).groupBy(*vector).agg(F.first("embedding").alias("embedding"))
+    sample = [r.embedding for r in some.orderBy("g", "h").limit(SAMPLE).select("embedding").collect()]
+    pivots = _pivots(sample, min(PIVOTS, max(1, n // BLOCK)))
+    row = ["vec_id", *vector, "usable"]
+    places = _placed(given.withColumn("embedding", F.when(F.col("usable"), F.col("embedding"))), pivots, row)
+    rows = written(places.groupBy(*row, "cell").agg(F.max("away").alias("away")), "vector-rows")
     points = written(
         rows.filter("usable")
-        .groupBy("embedding")
-        .agg(F.min(F.struct(F.col("vec_id").alias("id"), "h")).alias("node"), F.count("*").alias("weight"))
-        .select("embedding", "node.*", "weight"),
+        .groupBy(*vector, "cell")
+        .agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.max("away").alias("away")),
         "vector-points",
     )
-    n = points.count()
-    sample = [r.embedding for r in points.orderBy(F.xxhash64("id", "h"), "id").limit(SAMPLE).select("embedding").collect()]
-    pivots = _pivots(sample, min(PIVOTS, max(1, n // BLOCK)))
-    placed = written(_placed(points, pivots).withColumn("size", F.size("embedding")), "vector-cells")
-    per_cell = placed.groupBy("size", "cell").agg(
+    per_cell = points.groupBy("size", "cell").agg(
         F.max("away").alias("away"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     )
     cells = [r.asDict() for r in per_cell.collect()]  # at most PIVOTS rows for each vector length
     counts = points.sparkSession.createDataFrame(
         [(c["size"], c["cell"], c["blocks"]) for c in cells], "size int, cell int, blocks int"
     )
-    blocked = placed.join(F.broadcast(counts), ["size", "cell"]).withColumn(
-        "block", F.pmod(F.xxhash64("embedding", F.lit(3)), F.col("blocks")).cast("int")
-    )
+
+    def blocked(df: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("h", "g"), F.col("blocks")).cast("int")
+        return df.join(F.broadcast(counts), ["size", "cell"]).withColumn("block", block).drop("blocks", "away")
+
+    key = ["size", "cell", "block"]
     shape = "size int, cell int, block int, " + ", ".join(f"{p} binary" for p in _PARTS)
     blocks = written(
-        blocked.select("size", "cell", "block", "id", "h", "weight", "embedding")
-        .groupBy("size", "cell", "block")
+        blocked(_placed(good, pivots, [*vector, "embedding"], fold=True))
+        .groupBy(*key)
+        .cogroup(blocked(points).groupBy(*key))
         .applyInPandas(_block_row, shape),
         "vector-blocks",
     )
@@ -202,18 +259,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     known = components(found.select("a", "b"))
 
     # Copies of one vector are linked among themselves and share the links of their point.
-    per_point = points.select(F.struct("id", "h").alias("node"), "embedding", "weight")
-    per_point = written(
+    per_point = points.withColumn("node", F.struct("id", "h"))
+    per_point = (
         per_point.join(links, "node", "left")
         .join(known, "node", "left")
         .select(
-            "embedding",
+            *vector,
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
             F.coalesce(F.col("component")["id"], F.col("node")["id"]).alias("component_id"),
-        ),
-        "vector-results",
+        )
     )
-    good = rows.filter("usable").join(per_point, "embedding").select("vec_id", "n_links", "component_id")
+    good = rows.filter("usable").join(per_point, vector).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

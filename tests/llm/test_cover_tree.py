@@ -74,3 +74,41 @@ def test_vectors(spark, monkeypatch, block):
 
 def test_empty_table(spark):
     assert embedding_pairs.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_single_precision_and_signed_zeros(spark, monkeypatch):
+    monkeypatch.setattr(embedding_pairs, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 8))
+    rows = [(i, (centres[i % 5] + rng.normal(size=8) * 0.2).astype(np.float32).tolist()) for i in range(90)]
+    rows += [(90, [0.0, 1.0]), (91, [1.0, None]), (91, [None, 1.0]), (92, None), (92, []), (93, [0.0, 0.0])]
+    again = [*rows, (90, [-0.0, 1.0]), (93, [-0.0, 0.0]), (91, [1.0, None]), (92, None)]
+    table = spark.createDataFrame(again, "vec_id long, embedding array<float>").repartition(7)
+    got = sorted(map(tuple, embedding_pairs.near_vectors(table).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(embedding_pairs, "BLOCK", 8)
+    plans = []
+    pairs = embedding_pairs._block_pairs
+
+    def kept(*given):
+        plans.append(pairs(*given))
+        return plans[-1]
+
+    monkeypatch.setattr(embedding_pairs, "_block_pairs", kept)
+    rows = [(i, v) for i, v in enumerate(np.random.default_rng(2).normal(size=(60, 3)).tolist())]
+    embedding_pairs.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count()
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning" not in plan
+    left, right = zip(*[((r.left.cell, r.left.block), (r.right.cell, r.right.block)) for r in plans[0].collect()])
+    assert len(set(zip(left, right))) == len(left) and all(a < b for a, b in zip(left, right))
+
+
+def test_a_vector_gets_the_same_cell_in_any_batch():
+    x = np.random.default_rng(6).normal(size=(500, 64)).tolist()
+    pivots = {64: embedding_pairs.unit(np.array(x[:9]))}
+    cells, _ = embedding_pairs._place([*x, None, [1.0]], pivots)
+    assert [embedding_pairs._place([v], pivots)[0][0] for v in x] == cells[:-2].tolist()
+    assert cells[-2:].tolist() == [-1, -1]
